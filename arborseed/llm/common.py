@@ -165,3 +165,41 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+# --------------------------------------------------------------------------- dense counts summed over all tasks
+
+BLOCK, FANIN = 1 << 13, 64
+BLOCKS = "block int, salt int, data binary"
+
+
+def summed(rows: DataFrame, count, size: int) -> np.ndarray:
+    """The sum over all Arrow batches of what count(batch, total) adds to an int64 array of fixed size.
+
+    Each task adds up its own array and sends it in compressed blocks; blocks of a place are added in two rounds, the first
+    dealt by a salt, so no task reads more than a share of the tasks' blocks. The result's size is a parameter.
+    """
+    import zlib
+
+    import pandas as pd
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            count(batch, total)
+        at = np.flatnonzero(np.add.reduceat(total != 0, np.arange(0, size, BLOCK)))
+        data = [zlib.compress(total[b * BLOCK : (b + 1) * BLOCK].tobytes(), 1) for b in at]
+        salt = np.full(len(at), int(uuid.uuid4().int % FANIN), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(salt), pa.array(data, pa.binary())], ["block", "salt", "data"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in part["data"])
+        return pd.DataFrame({"block": part["block"][:1], "salt": part["salt"][:1], "data": [zlib.compress(total.tobytes(), 1)]})
+
+    once = rows.mapInArrow(run, BLOCKS).groupBy("block", "salt").applyInPandas(add, BLOCKS)
+    found = once.groupBy("block").applyInPandas(add, BLOCKS).toLocalIterator()
+    total = np.zeros(size, np.int64)
+    for r in found:
+        got = np.frombuffer(zlib.decompress(r["data"]), np.int64)
+        total[r["block"] * BLOCK : r["block"] * BLOCK + len(got)] = got
+    return total

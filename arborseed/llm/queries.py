@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, packing, secret_ledger
+from . import importance, kn_quality, line_spread, packing, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +24,27 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_spans(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_spread": op2_line_spread,
+    "op3_kn_quality": op3_kn_quality,
     "op4_packing": op4_packing,
+    "op7_importance": op7_importance,
     "op8_secret_ledger": op8_secret_ledger,
 }
 ORACLES: dict[str, str] = {
