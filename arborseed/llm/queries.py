@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, kn_quality, line_spread, packing, secret_ledger
+from . import html_blocks, importance, kn_quality, line_spread, packing, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_json() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -41,6 +45,7 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_blocks": op1_html_blocks,
     "op2_line_spread": op2_line_spread,
     "op3_kn_quality": op3_kn_quality,
     "op4_packing": op4_packing,
