@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_blocks, importance, jaccard_join, kn_quality, line_spread, packing, secret_ledger
+from . import html_blocks, importance, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_lsi_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsi_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_kn_quality": op3_kn_quality,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_lsi_decontam": op6_lsi_decontam,
     "op7_importance": op7_importance,
     "op8_secret_ledger": op8_secret_ledger,
 }
