@@ -86,8 +86,8 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return low
 
 
-def weights(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataFrame:
-    """All rows and columns of docs with log_weight and label (1 good, 0 bad, null unlabelled)."""
+def fitted(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> np.ndarray:
+    """log_ratios of all documents' counts and those of the documents labelled good."""
     sample = F.broadcast(labelled(labels, most))  # bounded by `most`
     tagged = docs.select(docs["doc_id"].alias("doc_id"), text_column(docs).alias("text")).join(sample, F.col("doc_id") == F.col("label_id"), "left")
 
@@ -99,18 +99,41 @@ def weights(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> DataF
             total[2 * SLOTS :] += np.bincount(slot[good[i:j][row]], minlength=2 * SLOTS)
 
     counts = summed(tagged.select("text", "good"), count, 4 * SLOTS)
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(counts[: 2 * SLOTS], counts[2 * SLOTS :]))  # 8 MB by SLOTS
+    return log_ratios(counts[: 2 * SLOTS], counts[2 * SLOTS :])
+
+
+def scored(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFrame:
+    """The given columns of every row of docs, and log_weight."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 8 MB by SLOTS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, data, off in chunks(batch.column(1)):
+            for i, j, data, off in chunks(batch.column(0)):
                 slot, row = slots(data, off)
-                out[i:j] = np.bincount(row, weights=ratio.value[slot], minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.round(out, 9))], ["doc_id", "label", "log_weight"])
+                out[i:j] = np.bincount(row, weights=shared.value[slot], minlength=j - i)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.round(out, 9))], [*columns, "log_weight"])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return docs.select(text_column(docs).alias("_text"), *columns).mapInArrow(score, f"{schema}, log_weight double")
+
+
+def gumbel_key(rows: DataFrame, seed: int):
+    unit = (F.pmod(F.xxhash64(F.lit(seed), rows["doc_id"]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return rows["log_weight"] - F.log(-F.log(unit))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return tagged.select("doc_id", "text", "good").mapInArrow(score, f"doc_id {kind}, label int, log_weight double")
+def drawn(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, most: int, k: int | None, seed: int) -> tuple[DataFrame, float]:
+    """(doc_id, log_weight, gumbel_key of all rows; the k-th largest key)."""
+    weighed = scored(docs, ratios, ["doc_id"])
+    keyed = stash(weighed.withColumn("gumbel_key", gumbel_key(weighed, seed)), "weights")
+    if k is None:
+        sample = F.broadcast(labelled(labels, most))  # bounded by `most`
+        known = keyed.join(sample, F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"]).select("log_weight", "good").toPandas()
+        cut = cut_of(known["log_weight"].to_numpy(float), known["good"].to_numpy() == 1)
+        k = keyed.where(F.col("log_weight") >= cut).count()
+    least = kth_largest(keyed, "gumbel_key", k) if k else float("inf")
+    return keyed, float("-inf") if least is None else least
 
 
 def importance_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, k: int | None = None, seed: int = 20) -> DataFrame:
@@ -120,12 +143,13 @@ def importance_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS
     the id and the seed, so repeated rows share their fate; keys equal to the k-th are all kept. Null and empty texts weigh
     0; a null id draws as any other; without labels of both kinds all rows are kept; an empty table gives no rows.
     """
-    scored = stash(weights(docs, labels, most), "weights")
-    if k is None:
-        known = scored.where(F.col("label").isNotNull()).dropDuplicates(["doc_id"]).select("log_weight", "label").toPandas()  # bounded by `most`
-        cut = cut_of(known["log_weight"].to_numpy(float), known["label"].to_numpy() == 1)
-        k = scored.where(F.col("log_weight") >= cut).count()
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(unit))).alias("gumbel_key"))
-    least = kth_largest(keyed, "gumbel_key", k) if k else float("inf")
-    return keyed.where(F.col("gumbel_key") >= (least if least is not None else 0.0)).withColumn("kept", F.lit(True))
+    keyed, least = drawn(docs, labels, fitted(docs, labels, most), most, k, seed)
+    return keyed.where(F.col("gumbel_key") >= least).withColumn("kept", F.lit(True))
+
+
+def sampled_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, seed: int = 20) -> DataFrame:
+    """The rows and columns of docs that importance_sample keeps; they are scored again rather than shuffled."""
+    ratios = fitted(docs, labels, most)
+    _, least = drawn(docs, labels, ratios, most, None, seed)
+    rows = scored(docs, ratios, docs.columns)
+    return rows.where(gumbel_key(rows, seed) >= least).drop("log_weight")
