@@ -58,17 +58,15 @@ def kmers(s: Column | str, k: int) -> Column:
     return F.regexp_extract_all(col(s), F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
-def is_syncmer(kmer: Column, k: int, s: int, t: int = 0, opened: bool = False) -> Column:
-    """Whether the least s-mer (by letters, ties count) lies at offset t, or also k-s-t unless opened."""
-    at = lambda x, j: F.substring(x, j + 1, s)
-    least = lambda x: F.array_min(F.array(*(at(x, j) for j in range(k - s + 1))))
+def is_syncmer(kmer: Column, other: Column, k: int, s: int, t: int = 0, opened: bool = False) -> Column:
+    """Whether on the k-mer or on its reverse complement `other` the least s-mer (by letters, ties count) is at offset t, or at k-s-t unless opened."""
 
     def one(x: Column) -> Column:
-        low = least(x)
-        hit = at(x, t) == low
-        return hit if opened else hit | (at(x, k - s - t) == low)
+        parts = [F.substring(x, j + 1, s) for j in range(k - s + 1)]
+        ends = parts[t] if opened or t == k - s - t else F.least(parts[t], parts[k - s - t])
+        return ends == F.least(*parts)
 
-    return one(kmer) if opened == "forward" else one(kmer) | one(reverse_complement(kmer))
+    return one(kmer) | one(other)
 
 
 def rotate_left(x: Column | str, r: int) -> Column:

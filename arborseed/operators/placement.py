@@ -14,9 +14,10 @@ from ..functions import sequence as S
 
 def seeds_of(rows: DataFrame, key: str, s: Column, k: int = 15, small: int = 8, t: int = 0, opened: bool = False) -> DataFrame:
     """(key, at, seed, rev): canonical syncmers of each sequence by letters; palindromes are dropped."""
-    found = rows.select(key, F.posexplode(S.kmers(s, k)).alias("at", "kmer")).where(S.is_syncmer(F.col("kmer"), k, small, t, opened))
-    other = S.reverse_complement("kmer")
-    return found.where(F.col("kmer") != other).select(key, "at", F.least("kmer", other).alias("seed"), (other < F.col("kmer")).alias("rev"))
+    both = F.transform(S.kmers(s, k), lambda x: F.struct(x.alias("kmer"), S.reverse_complement(x).alias("other")))
+    found = rows.select(key, F.posexplode(both).alias("at", "x")).select(key, "at", "x.*")
+    found = found.where((F.col("kmer") != F.col("other")) & S.is_syncmer(F.col("kmer"), F.col("other"), k, small, t, opened))
+    return found.select(key, "at", F.least("kmer", "other").alias("seed"), (F.col("other") < F.col("kmer")).alias("rev"))
 
 
 def kminmers_of(seeds: DataFrame, key: str, l: int = 3) -> DataFrame:  # noqa: E741

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.sequence import LETTERS, PATTERN
 from ..operators.placement import METRICS
 
-K, SMALL, DISCARD = 15, 8, 0.2
+K, SMALL, DISCARD, CUT = 15, 8, 0.2, 256
 _FROM, _TO = LETTERS + LETTERS.upper(), PATTERN * 2
 
 
@@ -17,6 +17,11 @@ def rc(x: str) -> str:
     return f"translate(reverse({x}), 'ACGT', 'TGCA')"
 
 
+def pieces(rows: str, key: str, more: int = 0) -> str:
+    """Pieces of CUT characters and the next `more`; a substring of a long text would be read from its start each time."""
+    return f"(SELECT {key}, c * {CUT} AS base0, substr(s, c * {CUT} + 1, {CUT} + {more}) AS piece FROM (SELECT {key}, s, unnest(range(0, length(s) // {CUT} + 1)) AS c FROM {rows}))"
+
+
 def seeds(rows: str, key: str, opened: bool = False) -> str:
     """(key, at, seed, rev) of the rows' column s."""
     last = K - SMALL
@@ -27,7 +32,7 @@ def seeds(rows: str, key: str, opened: bool = False) -> str:
         return first if opened else f"{first} OR substr({x}, {last + 1}, {SMALL}) = {low}"
 
     return f"""(SELECT {key}, pos0, least(kmer, other) AS seed, other < kmer AS rev FROM (SELECT {key}, pos0, kmer, {rc("kmer")} AS other FROM
-      (SELECT {key}, pos0, substr(s, pos0 + 1, {K}) AS kmer FROM (SELECT {key}, s, unnest(range(0, length(s) - {K - 1})) AS pos0 FROM {rows})))
+      (SELECT {key}, base0 + i AS pos0, substr(piece, i + 1, {K}) AS kmer FROM (SELECT {key}, base0, piece, unnest(range(0, least({CUT}, length(piece) - {K - 1}))) AS i FROM {pieces(rows, key, K - 1)})))
       WHERE kmer <> other AND ({hit("kmer")} OR {hit("other")}))"""
 
 
@@ -71,14 +76,14 @@ SUMMARY = "count(*) AS n, min(pos0)::BIGINT AS first_at, max(pos0)::BIGINT AS la
 THREE = f"""WITH s AS (SELECT p_partkey, {dna("p_name")} AS s FROM part), c AS (SELECT p_partkey, x, count(*) AS c FROM (SELECT p_partkey, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS x FROM s) GROUP BY ALL),
  d AS (SELECT s.p_partkey, CASE WHEN coalesce(sum(c), 0) < 2 THEN 0.0 ELSE 200.0 * sum(c * (c - 1) // 2) / (sum(c) * (sum(c) - 1)) END AS dust FROM s LEFT JOIN c USING (p_partkey) GROUP BY s.p_partkey)"""
 SITES = "WITH q AS (SELECT l_partkey AS site, " + ", ".join(f"coalesce(sum(l_quantity) FILTER (year(l_shipdate) % 4 = {i}), 0) AS q{b}" for i, b in enumerate("ACGT")) + " FROM lineitem GROUP BY l_partkey)"
-BASES = f"(SELECT doc_id, pos0 + 1 AS pos, substr(s, pos0 + 1, 1) AS base FROM (SELECT doc_id, s, unnest(range(0, length(s))) AS pos0 FROM {G}))"
+BASES = f"(SELECT doc_id, base0 + i + 1 AS pos, substr(piece, i + 1, 1) AS base FROM (SELECT doc_id, base0, piece, unnest(range(0, length(piece))) AS i FROM {pieces(G, 'doc_id')}))"
 PAIRS = f"WITH b AS MATERIALIZED {BASES}, s AS (SELECT p.base AS base_from, c.base AS base_to, count(*) AS n FROM b p JOIN b c ON p.doc_id + 1 = c.doc_id AND p.pos = c.pos WHERE p.base <> c.base GROUP BY ALL)"
 ids = lambda x: f"string_agg({x}, ',' ORDER BY {x})"
 
 ORACLES: dict[str, str] = {
     "reverse_complements": f"SELECT doc_id, md5({rc('s')}) AS h, length(s) AS n FROM {G}",
     "complements": f"SELECT doc_id, md5(translate(s, 'ACGT', 'TGCA')) AS h FROM {G}",
-    "homopolymer_compression": f"SELECT doc_id, md5(c) AS h, length(c) AS n FROM (SELECT doc_id, coalesce(string_agg(x, '' ORDER BY i), '') AS c FROM (SELECT doc_id, i, substr(s, i, 1) AS x, s FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM {G})) WHERE i = 1 OR x <> substr(s, i - 1, 1) GROUP BY doc_id UNION ALL SELECT doc_id, '' FROM {G} WHERE s = '')",
+    "homopolymer_compression": f"SELECT doc_id, md5(coalesce(c, '')) AS h, length(coalesce(c, '')) AS n FROM {G} LEFT JOIN (SELECT doc_id, string_agg(base, '' ORDER BY pos) AS c FROM (SELECT *, lag(base) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM {BASES}) WHERE b IS NULL OR b <> base GROUP BY doc_id) USING (doc_id)",
     "end_masks": f"SELECT doc_id, md5(CASE WHEN length(s) > 50 THEN substr(s, 26, length(s) - 50) ELSE '' END) AS h FROM {G}",
     "dust_of_names": f"{THREE} SELECT p_partkey, round(dust, 6) AS dust FROM d",
     "dust_filter": f"{THREE} SELECT p_partkey FROM d WHERE dust <= 5",
