@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mix, html_blocks, importance, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger
+from . import context_mix, html_blocks, importance, induced_dedup, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_induced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return induced_dedup.dedup_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_context_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mix.mixing_scores(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_lsi_decontam": op6_lsi_decontam,
     "op7_importance": op7_importance,
     "op8_secret_ledger": op8_secret_ledger,
+    "op9_induced_dedup": op9_induced_dedup,
     "op10_context_mix": op10_context_mix,
 }
 ORACLES: dict[str, str] = {
