@@ -128,6 +128,6 @@ def dust(seq: str, window: int = 64) -> float:
     return 200.0 * (most if len(three) > window else pairs) / (n * (n - 1))
 
 
-@F.pandas_udf("double")
-def dust_score(seqs: pd.Series) -> pd.Series:
-    return seqs.map(dust)
+def dust_score(column):
+    """An Arrow UDF: the DUST complexity of each sequence."""
+    return F.pandas_udf(lambda seqs: seqs.map(dust), "double")(column)
