@@ -510,7 +510,7 @@ def gap_islands(spark, d):
 
 @query
 def coordinate_prefix(spark, d):
-    x = R.prefix_coordinates(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", long("l_quantity").alias("q")), "l_orderkey", "l_linenumber", "q")
+    x = R.prefix_coordinates(table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("place"), long("l_quantity").alias("q")), "l_orderkey", "place", "q")
     return x.groupBy("l_orderkey").agg(long(F.max("scalar")).alias("last"), long(F.sum("scalar")).alias("total"))
 
 
