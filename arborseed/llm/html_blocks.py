@@ -164,6 +164,9 @@ LABELLED = (
     """<body><article><header><h1>+News of the harbour</h1></header><p>+No.</p><p>+Two ships came in during the night with grain on board.</p><div class="share">-Tell your friends</div><p>+<a>A paragraph that is a link as a whole</a></p><blockquote>+We were glad to see land.</blockquote>
     <div class="advert">-Cheap ferries all year round, book now and save a lot of money on the way</div><p>+They leave on Monday.</p><div class="related"><a>-More about ships</a><a>-More about grain</a></div></article><div>-A long line outside of the article that says nothing about it but has many words</div></body>""",
     """<body><header>-Site name and a slogan that is rather long for what it says</header><div class="content"><h1>+Title</h1><p>+Text</p><p>+More text of a few words</p><table><tr><td>+Cell one</td><td>+Cell two</td></tr></table></div><div>-Last changed today</div><div>-Some closing words of the site which are the same on every page that it has</div></body>""",
+    """<article><p>+Alone</p></article>""",
+    """<body><nav><a>-Up</a></nav><article><h1>+A name</h1><p>+Few words here</p><p>+And the page is cut off""",
+    """<p>+A page that is nothing but one paragraph of text, without any menu before it or footer after it, is all article.</p>""",
 )
 
 
