@@ -12,14 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hashed, buffers, chunks, drop_stash, grams, mix, stash, summed, text_column, words
 
-#: Words of a shingle, per cent of the union that linked sets share, buckets of the corpus counts.
-N, PERCENT, BUCKETS = 4, 85, 1 << 20
+#: Words of a shingle, per cent of the union that linked sets share, buckets of the corpus counts,
+#: slots of the filters that keep rows without a partner out of shuffles.
+N, PERCENT, BUCKETS, PRESENT = 4, 85, 1 << 20, 1 << 22
+#: Bytes of text that a worker shingles at a time.
+PASS = 1 << 19
 SETS = "doc_id long, n long, f1 long, f2 long, toks array<long>"
 
 
@@ -57,14 +61,14 @@ def prefix_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        for _, _, data, off in chunks(batch.column(0)):
+        for _, _, data, off in chunks(batch.column(0), PASS):
             total += np.bincount(bucket(shingle_sets(data, off, n)[0]), minlength=BUCKETS)
 
     counts = docs.sparkSession.sparkContext.broadcast(summed(rows.select("text"), count, BUCKETS))  # 8 MB by BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in chunks(batch.column(1)):
+            for i, j, data, off in chunks(batch.column(1), PASS):
                 g, r = shingle_sets(data, off, n)
                 size = np.bincount(r, minlength=j - i)
                 f1, f2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
@@ -104,7 +108,7 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
             right = buffers(batch.column(3))[1]
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(left + right, left[i] + right[i] + (1 << 21), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(left + right, left[i] + right[i] + PASS, "right")) - 1)
                 sides = []
                 for k in (2, 3):
                     data, off = buffers(batch.column(k)[i:j])
@@ -147,8 +151,8 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def links(postings: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, root) of the linked nodes, from postings (tok, id, n, pos, toks) of the shingles that nodes share."""
+def links(postings: DataFrame, prefixes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, root) of the linked nodes, from postings (tok, id, n, pos) of the shingles that nodes share and their prefixes (t_id, toks)."""
     order = F.xxhash64("id")
     pivots = postings.groupBy("tok").agg(F.min(F.struct("pos", order.alias("h"), "id", "n")).alias("p"), F.min(F.struct(order.alias("h"), "id", "n", "pos")).alias("q"))
     cand = None
@@ -163,7 +167,8 @@ def links(postings: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     # What is left: pairs across components, each formed once, at its first shared shingle.
     rooted = postings.join(roots.withColumnRenamed("node", "r_id"), F.col("id") == F.col("r_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("r_id")
     mixed = rooted.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("tok").alias("m_tok"))
-    rooted = stash(rooted.join(mixed, F.col("tok") == F.col("m_tok"), "left_semi"), "rooted")
+    rooted = rooted.join(mixed, F.col("tok") == F.col("m_tok"), "left_semi").join(prefixes, F.col("id") == F.col("t_id")).drop("t_id")
+    rooted = stash(rooted, "rooted")
     sizes = rooted.groupBy("tok", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("tok").agg(F.max(F.struct("size", "root"))["root"].alias("main")).withColumnRenamed("tok", "m_tok")
     few = rooted.join(main, (F.col("tok") == F.col("m_tok")) & (F.col("root") != F.col("main"))).select(*(F.col(c).alias(f"f_{c}") for c in rooted.columns), "main")
@@ -182,6 +187,50 @@ def links(postings: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return out
 
 
+def presence(values: DataFrame, slots: int = PRESENT) -> np.ndarray:
+    """Which hash slots the values of the first column reach: a filter of fixed size before an exact join."""
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        total[slot_of(batch.column(0).to_numpy(), slots)] += 1
+
+    return summed(values, count, slots) > 0
+
+
+def slot_of(values: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(values.astype(np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+
+
+def split_by(rows: DataFrame, column: str, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose column may be among the values, rows for which it surely isn't): only the first need an exact join."""
+    held = rows.sparkSession.sparkContext.broadcast(presence(values))  # a byte for each of PRESENT slots
+
+    @F.pandas_udf("boolean")
+    def reached(x: pd.Series) -> pd.Series:
+        return pd.Series(held.value[slot_of(x.fillna(0).to_numpy(), len(held.value))])
+
+    known = F.col(column).isNotNull()
+    return rows.where(known & reached(F.col(column))), rows.where(~(known & reached(F.col(column))))
+
+
+def shared_postings(heads: DataFrame) -> DataFrame:
+    """(tok, id, n, pos) of the prefix shingles that two or more of heads(id, n, toks) have."""
+    shared = stash(heads.select(F.explode("toks").alias("s_tok")).groupBy("s_tok").agg(F.count("*").alias("c")).where("c > 1").select("s_tok"), "shared")
+    held = heads.sparkSession.sparkContext.broadcast(presence(shared))  # a byte for each of PRESENT slots
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = batch.column(2)
+            size = np.diff(toks.offsets.to_numpy())
+            values = toks.flatten().to_numpy()
+            at = np.flatnonzero(held.value[slot_of(values, len(held.value))])
+            row = np.repeat(np.arange(len(size)), size)[at]
+            pos = at - (np.cumsum(size) - size)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32))], ["tok", "id", "n", "pos"])
+
+    rows = heads.select("id", "n", "toks").mapInArrow(run, "tok long, id long, n long, pos int")
+    return stash(rows.join(shared, F.col("tok") == F.col("s_tok"), "left_semi"), "postings")
+
+
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles and component_id, the least doc_id that its links reach.
 
@@ -192,21 +241,22 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     sets = stash(prefix_sets(docs, n, percent), "sets")
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     key = ["f1", "f2", "n"]
-    nodes = stash(known.groupBy(*key).agg(F.min("doc_id").alias("id")), "nodes")
-    reps = nodes.select(*(F.col(c).alias(f"k_{c}") for c in key), "id")
+    nodes = stash(known.groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "nodes")
+    renamed = nodes.select(*(F.col(c).alias(f"k_{c}") for c in key), "id", "rows")
     same = [(F.col(c) == F.col(f"k_{c}")) for c in key]
-    heads = known.join(reps, [*same, F.col("doc_id") == F.col("id")]).select("id", "n", "toks")
-    shared = heads.select(F.explode("toks").alias("s_tok")).groupBy("s_tok").agg(F.count("*").alias("c")).where("c > 1").select("s_tok")
-    rows = heads.select("id", "n", F.posexplode("toks").alias("pos", "tok"))
-    thin = stash(rows.join(shared, F.col("tok") == F.col("s_tok"), "left_semi"), "thin")
-    involved = stash(thin.groupBy("id").agg(F.max("pos").alias("last")), "involved")
-    toks = heads.join(involved.withColumnRenamed("id", "i_id"), F.col("id") == F.col("i_id")).select(F.col("id").alias("t_id"), "toks").dropDuplicates(["t_id"])
-    postings = stash(thin.join(toks, F.col("id") == F.col("t_id")).select("tok", "id", "n", "pos", "toks"), "postings")
+    copies = known.select("doc_id", *key).join(renamed.where("rows > 1"), [*same, F.col("doc_id") != F.col("id")]).select(F.col("doc_id").alias("c_id"))
+    copies = stash(copies.distinct(), "copies")
+    maybe, surely = split_by(known, "doc_id", copies)
+    heads = surely.union(maybe.join(copies, F.col("doc_id") == F.col("c_id"), "left_anti")).select(F.col("doc_id").alias("id"), "n", "toks")
+    postings = shared_postings(heads)
+    involved = stash(postings.select(F.col("id").alias("i_id")).distinct(), "involved")
+    here = F.col("id") == F.col("i_id")
+    prefixes = split_by(heads, "id", involved)[0].join(involved, here, "left_semi").select(F.col("id").alias("t_id"), "toks").dropDuplicates(["t_id"])
     text = docs.select(docs["doc_id"].cast("long").alias("id"), text_column(docs).alias("text"))
-    texts = stash(text.join(involved.withColumnRenamed("id", "i_id"), F.col("id") == F.col("i_id"), "left_semi").dropDuplicates(["id"]), "texts")
-    roots = links(postings, texts, n, percent)
+    texts = stash(split_by(text, "id", involved)[0].join(involved, here, "left_semi").dropDuplicates(["id"]), "texts")
+    roots = links(postings, stash(prefixes, "prefixes"), texts, n, percent)
     named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*(F.col(c).alias(f"k_{c}") for c in key), F.coalesce("root", "id").alias("component"))
-    for x in (thin, involved, postings, texts):
+    for x in (postings, involved, texts):
         drop_stash(x)
     out = sets.select("doc_id", *key).join(named, same, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
