@@ -1,9 +1,10 @@
 """LM scoring by logistic context mixing, beside a unigram base score.
 
 A text is a stream of bytes: its words, A-Z lower-cased, each with a space after it, then an end byte. Each byte is eight binary
-decisions. Predictors of several orders, kept in hashed tables of counts, each give a log-odds for a decision; gated weights,
-learned online from a stream of counted events, mix them, and an adaptive table refines the mix. The sum over all decisions is
-the text's log probability, hence its bits per byte. The tables hold counts of all training documents.
+decisions. Predictors of several orders, kept in hashed tables of counts, each give a log-odds for a decision; gated weights
+mix them, and an adaptive table refines the mix. Weights and refining table are learned in rounds over all bytes of all training
+documents: a decision depends on its byte and context alone, so each distinct event counts as often as it occurs. The sum over
+all decisions is the text's log probability, hence its bits per byte. The tables hold counts of all training documents.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import Hashed, chunks, mix, per_row, stash, summed, text_column, words
 
-#: Longest context in bytes; slots of each order's table; events that the mixer's weights are learned from at most.
-ORDERS, SLOT_BITS, EVENTS = 4, 19, 200_000
+#: Longest context in bytes; slots of each order's table; rounds over all events in which the weights are learned.
+ORDERS, SLOT_BITS, ROUNDS = 4, 19, 6
 SLOTS = 1 << SLOT_BITS
 #: Vocabulary entries that a worker holds at a time; a larger vocabulary is looked up in several passes.
 HELD = 8_000_000
 #: Added to both counts of a decision; bounds of the counts that gate the weights; steps of the refining table.
 PRIOR, GATES, CELLS = 0.4, (1, 4, 32), 24
+#: Pull of the weights towards their first values, in decisions; largest change of a gate's weights in a round.
+PULL, STRIDE = 4.0, 1.0
 END = 10
 #: The end token's place in the vocabulary; no word hashes to it but by a chance of 2**-64.
 END_HASH = 0x5BD1E9955BD1E995
@@ -129,13 +132,17 @@ class Mixer:
         self.counts = counts.astype(np.float32)
         self.weights = np.full((4**2, ORDERS + 1), 0.35)
         self.weights[:, ORDERS] = 0.0
+        self.first = self.weights.copy()
         self.hits = np.zeros((4**2, CELLS, 2))
         centre = squash((np.arange(CELLS) - CELLS / 2 + 0.5) / CELLS * 16)
         self.hits[:, :, 1], self.hits[:, :, 0] = 8 * centre, 8 * (1 - centre)
 
-    def inputs(self, slots: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(log-odds by order, gate) of decisions; leave: the bit whose own count is left out, while learning."""
-        n = np.stack([self.counts[k, slots[k]] for k in range(ORDERS)])
+    def found(self, slots: np.ndarray) -> np.ndarray:
+        """orders x decisions x 2: the tables' counts."""
+        return np.stack([self.counts[k, slots[k]] for k in range(ORDERS)])
+
+    def inputs(self, n: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log-odds by order, gate) of decisions from their counts; leave: the bit whose own count is left out, while learning."""
         if leave is not None:
             n[:, np.arange(n.shape[1]), leave] = np.maximum(0, n[:, np.arange(n.shape[1]), leave] - 1)
         x = np.log((n[:, :, 1] + PRIOR) / (n[:, :, 0] + PRIOR))
@@ -154,7 +161,7 @@ class Mixer:
         """One online pass over a stream of events, a small batch at a time."""
         for s in range(0, len(key), batch):
             for slots, bit in decisions(key[s : s + batch]):
-                x, gate = self.inputs(slots, bit)
+                x, gate = self.inputs(self.found(slots), bit)
                 p, cell = self.mixed(x, gate)
                 step = rate * (bit - p) * x
                 size = np.bincount(gate, minlength=len(self.weights))
@@ -162,25 +169,75 @@ class Mixer:
                     self.weights[:, k] += np.bincount(gate, weights=step[k], minlength=len(self.weights)) / np.sqrt(np.maximum(1, size))
                 np.add.at(self.hits, (gate, cell, bit), 1.0)
 
+    def gradients(self, n: np.ndarray, bit: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """gates x (gradient, curvature): sums over decisions of the log likelihood's derivatives by the weights."""
+        x, gate = self.inputs(n, bit)
+        p, _ = self.mixed(x, gate)
+        rise, bend = c * (bit - p), c * p * (1 - p)
+        size, k = len(self.weights), ORDERS + 1
+        out = np.zeros((size, k + k * k))
+        for i in range(k):
+            out[:, i] = np.bincount(gate, rise * x[i], size)
+            for j in range(i + 1):
+                out[:, k + i * k + j] = out[:, k + j * k + i] = np.bincount(gate, bend * x[i] * x[j], size)
+        return out
+
+    def stepped(self, sums: np.ndarray) -> None:
+        """A Newton step of each gate's weights by the sums of `gradients` over all events, at most STRIDE long."""
+        k = ORDERS + 1
+        rise = sums[:, :k] - PULL * (self.weights - self.first)
+        step = np.linalg.solve(sums[:, k:].reshape(-1, k, k) + PULL * np.eye(k), rise[:, :, None])[:, :, 0]
+        self.weights += step * np.minimum(1.0, STRIDE / np.maximum(np.abs(step).max(1, keepdims=True), 1e-12))
+
+    def refinements(self, n: np.ndarray, bit: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """gates x cells x 2: how often each bit followed where the mix fell into a cell."""
+        x, gate = self.inputs(n, bit)
+        _, cell = self.mixed(x, gate)
+        return np.bincount((gate * CELLS + cell) * 2 + bit, c, self.hits.size).reshape(self.hits.shape)
+
     def log_probability(self, key: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability in its context."""
         total = np.zeros(len(key))
         for slots, bit in decisions(key):
-            x, gate = self.inputs(slots)
+            x, gate = self.inputs(self.found(slots))
             p, cell = self.mixed(x, gate)
             q = self.refined(p, gate, cell)
             total += np.log10(np.where(bit == 1, q, 1 - q))
         return total
 
 
-def learned(events: DataFrame, seed: int = 10) -> Mixer:
-    """A mixer whose tables count all events and whose weights come from a bounded stream of them, drawn by their counts."""
-    mixer = Mixer(decision_counts(events))
-    some = events.orderBy(F.xxhash64("h"), "h").limit(EVENTS).toPandas()
-    if len(some):
-        c = some["c"].to_numpy(float)
-        drawn = np.random.default_rng(seed).choice(some["h"].to_numpy().view(np.uint64), EVENTS, p=c / c.sum())
-        mixer.learn(drawn)
+def totalled(rows: DataFrame, add, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all Arrow batches of add(batch), an array of fixed shape; a task sends one array, added in tasks' order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            total += add(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
+
+    total = np.zeros(shape)
+    for r in rows.mapInArrow(run, "data binary").toLocalIterator(prefetchPartitions=True):
+        total += np.frombuffer(r["data"]).reshape(shape)
+    return total
+
+
+def learned(events: DataFrame) -> Mixer:
+    """A mixer whose tables count all events (h, c) and whose weights and refining table are learned from all of them."""
+    spark, mixer = events.sparkSession, Mixer(decision_counts(events))
+    for i in range(ROUNDS + 1):
+        last = i == ROUNDS
+        shared = spark.sparkContext.broadcast(mixer)
+
+        def add(batch: pa.RecordBatch, shared=shared, last=last) -> np.ndarray:
+            m, key, c = shared.value, batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
+            return sum((m.refinements if last else m.gradients)(m.found(slots), bit, c) for slots, bit in decisions(key))
+
+        sums = totalled(events, add, mixer.hits.shape if last else (len(mixer.weights), (ORDERS + 1) * (ORDERS + 2)))
+        if last:
+            mixer.hits += sums
+        else:
+            mixer.stepped(sums)
+        shared.unpersist()
     return mixer
 
 

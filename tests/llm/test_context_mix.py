@@ -48,3 +48,16 @@ def test_stream_and_empty_table(spark):
     got, s_off = C.stream(data, start, end, first)
     assert [got[a:b].tobytes() for a, b in zip(s_off, s_off[1:])] == [b"ab c \n", b"\n", b"\xc3\xa9 z \n"]
     assert C.mixing_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_mixer_learns_from_every_training_byte(spark):
+    rng = np.random.default_rng(1)
+    key = np.unique(rng.integers(97, 101, (5000, 5)) @ (1 << 8 * np.arange(5)))
+    c = rng.integers(1, 1000, len(key))
+    events = spark.createDataFrame(list(zip(key.tolist(), c.tolist())), "h long, c long").repartition(3)
+    mixer = C.learned(events)
+    assert (mixer.hits - C.Mixer(np.zeros((C.ORDERS, 1, 2))).hits).sum() == pytest.approx(8 * c.sum())
+    again = C.Mixer(mixer.counts)
+    for _ in range(C.ROUNDS):
+        again.stepped(sum(again.gradients(again.found(s), b, c.astype(float)) for s, b in C.decisions(key.astype(np.uint64))))
+    assert mixer.weights == pytest.approx(again.weights, abs=1e-6)
