@@ -1,10 +1,11 @@
 """LM scoring by logistic context mixing, beside a unigram base score.
 
 A text is a stream of bytes: its words, A-Z lower-cased, each with a space after it, then an end byte. Each byte is eight binary
-decisions. Predictors of several orders, kept in hashed tables of counts, each give a log-odds for a decision; gated weights
+decisions. Predictors of several orders, kept as exact tables of counts, each give a log-odds for a decision; gated weights
 mix them, and an adaptive table refines the mix. Weights and refining table are learned in rounds over all bytes of all training
 documents: a decision depends on its byte and context alone, so each distinct event counts as often as it occurs. The sum over
-all decisions is the text's log probability, hence its bits per byte. The tables hold counts of all training documents.
+all decisions is the text's log probability, hence its bits per byte. The tables hold counts of all training documents; they grow
+with the distinct events, are partitioned by the two nearest bytes of the context and are compared by the whole context.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, chunks, mix, per_row, stash, summed, text_column, words
+from .common import Hashed, chunks, drop_stash, mix, per_row, stash, text_column, words
 
-#: Longest context in bytes; slots of each order's table; rounds over all events in which the weights are learned.
-ORDERS, SLOT_BITS, ROUNDS = 4, 19, 6
+#: Longest context in bytes; slots of each order's table of a mixer that is used alone; rounds over all events that weights are learned in.
+ORDERS, SLOT_BITS, ROUNDS = 4, 20, 6
 SLOTS = 1 << SLOT_BITS
-#: Vocabulary entries that a worker holds at a time; a larger vocabulary is looked up in several passes.
+#: Vocabulary entries, and events, that a worker holds at a time; larger tables are looked up in several passes.
 HELD = 8_000_000
+#: Events of a partition, about, and of a part of it that is handled at a time; contexts with the same two nearest bytes stay together.
+DEALT, PART = 1 << 17, 1 << 15
 #: Added to both counts of a decision; bounds of the counts that gate the weights; steps of the refining table.
 PRIOR, GATES, CELLS = 0.4, (1, 4, 32), 24
 #: Pull of the weights towards their first values, in decisions; largest change of a gate's weights in a round.
@@ -67,19 +71,26 @@ def vocabulary(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(kind, h, c) over the training documents: kind 0 counts tokens by hash, kind 1 bytes with their context."""
+    """(kind, h, c) over docs (text, held_out): kind 0 counts training tokens by hash, kind 1 bytes with their context.
+
+    Events of held-out documents are listed too; they count 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list] = [[], []]
         for batch in batches:
-            for i, j, data, off in chunks(batch.column(0)):
-                h, start, end, first = vocabulary(data, off)
-                kept[0].append(np.unique(h, return_counts=True))
-                kept[0].append((np.array([END_HASH], np.uint64), np.array([j - i])))
-                kept[1].append(np.unique(packed(*stream(data, start, end, first)), return_counts=True))
-                for k in (0, 1):
-                    if len(kept[k]) > 16:
-                        kept[k] = [_merged(kept[k])]
+            for out in (False, True):
+                column = batch.column(0).filter(pa.compute.equal(batch.column(1), out))
+                for i, j, data, off in chunks(column):
+                    h, start, end, first = vocabulary(data, off)
+                    key, c = np.unique(packed(*stream(data, start, end, first)), return_counts=True)
+                    kept[1].append((key, c * (not out)))
+                    if not out:
+                        kept[0].append(np.unique(h, return_counts=True))
+                        kept[0].append((np.array([END_HASH], np.uint64), np.array([j - i])))
+                    for k in (0, 1):
+                        if len(kept[k]) > 16:
+                            kept[k] = [_merged(kept[k])]
         for k in (0, 1):
             if kept[k]:
                 h, c = _merged(kept[k])
@@ -87,7 +98,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     part = h[s : s + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.view(np.int64)), pa.array(c[s : s + (1 << 18)])], ["kind", "h", "c"])
 
-    return docs.select("text").mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -109,16 +120,60 @@ def decisions(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield slots, ((symbol >> np.uint64(7 - depth)) & np.uint64(1)).astype(np.int64)
 
 
-def decision_counts(events: DataFrame) -> np.ndarray:
-    """orders x slots x 2: how often each bit followed, over all counted events."""
+def nearest_counts(events: DataFrame) -> np.ndarray:
+    """contexts x nodes x 2 of order 1: a byte after a byte, so its size is fixed and no two contexts share a place."""
+    out = np.zeros((256, 256, 2))
+    for g, c in events.where("c > 0").groupBy(F.col("h").bitwiseAND(0xFFFF)).agg(F.sum("c")).collect():  # 65,536 rows at most
+        for depth in range(8):
+            out[g >> 8, (1 << depth) | (g & 255) >> 8 - depth, g >> 7 - depth & 1] += c
+    return out
+
 
-    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        key, c = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
-        for slots, bit in decisions(key):
-            for k in range(ORDERS):
-                total[k * 2 * SLOTS : (k + 1) * 2 * SLOTS] += np.bincount(slots[k] * 2 + bit, weights=c, minlength=2 * SLOTS).astype(np.int64)
+def grouped(events: DataFrame, count: int) -> DataFrame:
+    """(h binary, c binary): the events (h, c) in parts, each with all events of the two nearest bytes that it holds."""
+    near = F.shiftright("h", 8).bitwiseAND(0xFFFF)
 
-    return summed(events.coalesce(4), count, ORDERS * SLOTS * 2, few=True).reshape(ORDERS, SLOTS, 2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not got:
+            return
+        h, c = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.lexsort((h, h >> np.uint64(8) & np.uint64(0xFFFF)))
+        h, c = h[order], c[order]
+        group = h >> np.uint64(8) & np.uint64(0xFFFF)
+        edge = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(h)]
+        s = 0
+        while s < len(h):
+            e = int(edge[np.searchsorted(edge, min(s + PART, len(h)))])
+            yield pa.RecordBatch.from_arrays([pa.array([x[s:e].tobytes()], pa.binary()) for x in (h, c)], ["h", "c"])
+            s = e
+
+    return events.select("h", "c").repartition(max(1, -(-count // DEALT)), near).mapInArrow(run, "h binary, c binary")
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for h, c in zip(batch.column(0), batch.column(1), strict=True):
+        yield np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.int64).astype(float)
+
+
+def counts_of(key: np.ndarray, c: np.ndarray, nearest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of the eight decisions of the events of a part: (counts by order x key x bit, the bit)."""
+    symbol, near = (key & np.uint64(255)).astype(np.int64), (key >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+    sorted_ = []
+    for k in range(2, ORDERS + 1):
+        code = (key & np.uint64((1 << 8 * (k + 1)) - 1)).astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        sorted_.append((order, code[order], c[order]))
+    for depth in range(8):
+        bit = symbol >> (7 - depth) & 1
+        n = np.zeros((ORDERS, len(key), 2))
+        n[0] = nearest[near, (1 << depth) | symbol >> (8 - depth)]
+        for k, (order, code, w) in enumerate(sorted_, 1):
+            node = code >> (8 - depth)
+            at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            one, both = np.add.reduceat(w * (code >> (7 - depth) & 1), at), np.add.reduceat(w, at)
+            n[k, order] = np.repeat(np.stack([both - one, one], 1), np.diff(np.r_[at, len(code)]), axis=0)
+        yield n, bit
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -126,10 +181,10 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """The predictors' tables, the gated weights and the refining table."""
+    """The gated weights and the refining table; alone, for small streams, with hashed tables of counts too."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.float32)
+    def __init__(self, counts: np.ndarray | None = None):
+        self.counts = None if counts is None else counts.astype(np.float32)
         self.weights = np.full((4**2, ORDERS + 1), 0.35)
         self.weights[:, ORDERS] = 0.0
         self.first = self.weights.copy()
@@ -197,9 +252,13 @@ class Mixer:
 
     def log_probability(self, key: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability in its context."""
-        total = np.zeros(len(key))
-        for slots, bit in decisions(key):
-            x, gate = self.inputs(self.found(slots))
+        return self.log_probability_of(((self.found(slots), bit) for slots, bit in decisions(key)), len(key))
+
+    def log_probability_of(self, counts: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+        """The same for events whose eight decisions have these counts."""
+        total = np.zeros(size)
+        for n, bit in counts:
+            x, gate = self.inputs(n)
             p, cell = self.mixed(x, gate)
             q = self.refined(p, gate, cell)
             total += np.log10(np.where(bit == 1, q, 1 - q))
@@ -221,16 +280,21 @@ def totalled(rows: DataFrame, add, shape: tuple[int, ...]) -> np.ndarray:
     return total
 
 
-def learned(events: DataFrame) -> Mixer:
-    """A mixer whose tables count all events (h, c) and whose weights and refining table are learned from all of them."""
-    spark, mixer = events.sparkSession, Mixer(decision_counts(events))
+def learned(events: DataFrame, nearest: np.ndarray) -> Mixer:
+    """The weights and refining table learned from all events (h binary, c binary) of `grouped`."""
+    spark, mixer = events.sparkSession, Mixer()
     for i in range(ROUNDS + 1):
         last = i == ROUNDS
-        shared = spark.sparkContext.broadcast(mixer)
+        shared = spark.sparkContext.broadcast((mixer, nearest))  # bounded by ORDERS, CELLS and the bytes
 
-        def add(batch: pa.RecordBatch, shared=shared, last=last) -> np.ndarray:
-            m, key, c = shared.value, batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
-            return sum((m.refinements if last else m.gradients)(m.found(slots), bit, c) for slots, bit in decisions(key))
+        def add(batch: pa.RecordBatch, shared=shared, last=last):
+            m, near = shared.value
+            total = 0.0
+            for key, c in parts_of(batch):
+                seen = c > 0
+                for n, bit in counts_of(key, c, near):
+                    total = total + (m.refinements if last else m.gradients)(n[:, seen], bit[seen], c[seen])
+            return total
 
         sums = totalled(events, add, mixer.hits.shape if last else (len(mixer.weights), (ORDERS + 1) * (ORDERS + 2)))
         if last:
@@ -241,20 +305,42 @@ def learned(events: DataFrame) -> Mixer:
     return mixer
 
 
-def vocabulary_part(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts), gathered partition by partition as plain bytes."""
+def event_scores(events: DataFrame, mixer: Mixer, nearest: np.ndarray) -> DataFrame:
+    """(h, lp): log10 of the probability of each event of `grouped`."""
+    shared = events.sparkSession.sparkContext.broadcast((mixer, nearest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, near = shared.value
+        for batch in batches:
+            for key, c in parts_of(batch):
+                lp = m.log_probability_of(counts_of(key, c, near), len(key)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lp)], ["h", "lp"])
+
+    return events.mapInArrow(run, "h long, lp float")
+
+
+def gathered(rows: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, values) of rows (h, value), gathered partition by partition as plain bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], ["h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], ["h", "v"])
 
-    h, c = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for r in tokens.select("h", "c").mapInArrow(run, "h binary, c binary").toLocalIterator():
+    h, v = [np.zeros(0, np.uint64)], [np.zeros(0, kind)]
+    for r in rows.mapInArrow(run, "h binary, v binary").toLocalIterator():
         h.append(np.frombuffer(r["h"], np.uint64))
-        c.append(np.frombuffer(r["c"], np.int64))
+        v.append(np.frombuffer(r["v"], kind))
     known = np.concatenate(h)
     order = np.argsort(known)
-    return known[order], np.concatenate(c)[order]
+    return known[order], np.concatenate(v)[order]
+
+
+def looked_up(known: np.ndarray, values: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The value of each wanted hash; 0 for one that the table lacks."""
+    if not len(known):
+        return np.zeros(len(want), values.dtype)
+    at = np.minimum(np.searchsorted(known, want), len(known) - 1)
+    return np.where(known[at] == want, values[at], values.dtype.type(0))
 
 
 def held_out():
@@ -270,64 +356,52 @@ def mixing_scores(docs: DataFrame, held: int = HELD) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_column(docs).alias("text"), held_out().alias("held_out"))
-    counts = stash(counted(rows.where(~F.col("held_out"))), "counts")
-    tokens = counts.where("kind = 0")
+    counts = stash(counted(rows), "counts")
+    tokens, events = counts.where("kind = 0").select("h", "c"), counts.where("kind = 1").select("h", "c")
     total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(learned(counts.where("kind = 1").select("h", "c")))  # bounded by ORDERS and SLOTS
+    distinct = events.count()
+    nearest = nearest_counts(events)
+    parted = stash(grouped(events, distinct), "events")
+    scores = stash(event_scores(parted, learned(parted, nearest), nearest), "scores")
+    drop_stash(parted)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = max(1, -(-kinds // held))
-    scored = rows.withColumns({"known": F.lit(0).cast("long"), "logs": F.lit(0.0)})
+    parts = max(1, -(-max(kinds, distinct) // held))
+    scored = rows.withColumns({"known": F.lit(0).cast("long"), "logs": F.lit(0.0), "score": F.lit(0.0)})
     for part in range(parts):
-        shared = spark.sparkContext.broadcast(vocabulary_part(tokens.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == part)))  # `held` rows, by the hash
+        here = F.pmod(F.xxhash64("h"), F.lit(parts)) == part  # `held` rows of each table, by the hash
+        shared = spark.sparkContext.broadcast((gathered(tokens.where(here), np.int64), gathered(scores.where(here), np.float32)))
         last = part == parts - 1
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            h_known, c_known = shared.value
-            seen, seen_lp = np.zeros(0, np.uint64), np.zeros(0)
-            fresh: list[tuple] = []
+            (h_known, c_known), (e_known, lp_known) = shared.value
             for batch in batches:
                 n = batch.num_rows
-                n_tokens, known = np.ones(n, np.int64), batch.column(3).to_numpy().copy()
-                logs, score, size = batch.column(4).to_numpy().copy(), np.zeros(n), np.ones(n, np.int64)
+                n_tokens, size = np.ones(n, np.int64), np.ones(n, np.int64)
+                known, logs, score = (batch.column(k).to_numpy().copy() for k in (3, 4, 5))
                 for i, j, data, off in chunks(batch.column(1)):
                     h, start, end, first = vocabulary(data, off)
                     h = np.concatenate([h, [np.uint64(END_HASH)]])
                     unique, back = np.unique(h, return_inverse=True)
-                    at = np.minimum(np.searchsorted(h_known, unique), max(0, len(h_known) - 1))
-                    c = np.where(h_known[at] == unique, c_known[at], 0)[back] if len(h_known) else np.zeros(len(h), np.int64)
+                    c = looked_up(h_known, c_known, unique)[back]
                     up = np.concatenate([[0.0], np.cumsum(np.log10(c[:-1] + 1.0))])
                     known[i:j] += per_row(c[:-1] > 0, first) + (c[-1] > 0)
                     logs[i:j] += up[first[1:]] - up[first[:-1]] + np.log10(c[-1] + 1.0)
                     n_tokens[i:j] += np.diff(first)
-                    if not last:
-                        continue
                     text, s_off = stream(data, start, end, first)
                     key, back = np.unique(packed(text, s_off), return_inverse=True)
-                    at = np.minimum(np.searchsorted(seen, key), max(0, len(seen) - 1))
-                    hit = seen[at] == key if len(seen) else np.zeros(len(key), bool)
-                    lp = np.zeros(len(key))
-                    lp[hit] = seen_lp[at[hit]]
-                    if not hit.all():
-                        lp[~hit] = model.value.log_probability(key[~hit])
-                        fresh.append((key[~hit], lp[~hit]))
-                        if sum(len(x[0]) for x in fresh) > 1 << 16:
-                            both = np.concatenate([seen, *(x[0] for x in fresh)]), np.concatenate([seen_lp, *(x[1] for x in fresh)])
-                            seen, at = np.unique(both[0], return_index=True)
-                            seen_lp, fresh = both[1][at], []
-                            if len(seen) > 1 << 21:
-                                seen, seen_lp = np.zeros(0, np.uint64), np.zeros(0)
-                    down = np.concatenate([[0.0], np.cumsum(lp[back])])
-                    score[i:j] = down[s_off[1:]] - down[s_off[:-1]]
+                    down = np.concatenate([[0.0], np.cumsum(looked_up(e_known, lp_known, key)[back], dtype=np.float64)])
+                    score[i:j] += down[s_off[1:]] - down[s_off[:-1]]
                     size[i:j] = np.diff(s_off)
                 if not last:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(known), pa.array(logs)], ["doc_id", "text", "held_out", "known", "logs"])
+                    columns = [*batch.columns[:3], pa.array(known), pa.array(logs), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "held_out", "known", "logs", "score"])
                     continue
                 base = logs - n_tokens * np.log10(total + kinds + 1.0)
                 bits = -score / np.log10(2.0) / size
                 columns = [batch.column(0), batch.column(2), pa.array(n_tokens), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(score), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(x.split()[0] for x in OUT.split(", "))])
 
-        schema = f"doc_id {kind}, {OUT}" if last else f"doc_id {kind}, text string, held_out boolean, known long, logs double"
+        schema = f"doc_id {kind}, {OUT}" if last else f"doc_id {kind}, text string, held_out boolean, known long, logs double, score double"
         scored = scored.mapInArrow(run, schema)
         if not last:
             scored = stash(scored, "part")

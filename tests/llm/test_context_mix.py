@@ -50,14 +50,45 @@ def test_stream_and_empty_table(spark):
     assert C.mixing_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_mixer_learns_from_every_training_byte(spark):
-    rng = np.random.default_rng(1)
+def some_events(spark, seed=1):
+    rng = np.random.default_rng(seed)
     key = np.unique(rng.integers(97, 101, (5000, 5)) @ (1 << 8 * np.arange(5)))
-    c = rng.integers(1, 1000, len(key))
+    c = rng.integers(0, 1000, len(key))
     events = spark.createDataFrame(list(zip(key.tolist(), c.tolist())), "h long, c long").repartition(3)
-    mixer = C.learned(events)
-    assert (mixer.hits - C.Mixer(np.zeros((C.ORDERS, 1, 2))).hits).sum() == pytest.approx(8 * c.sum())
-    again = C.Mixer(mixer.counts)
+    return key, c, events
+
+
+def test_counts_are_exact_for_every_context(spark):
+    key, c, events = some_events(spark)
+    nearest, want = C.nearest_counts(events), Counter()
+    for x, n in zip(key.tolist(), c.tolist()):
+        for k in range(1, C.ORDERS + 1):
+            for d in range(8):
+                want[k, x >> 8 & (1 << 8 * k) - 1, d, (x & 255) >> 8 - d, x >> 7 - d & 1] += n
+    seen = 0
+    for row in C.grouped(events, 10 * C.DEALT).collect():
+        h, w = np.frombuffer(row["h"], np.uint64), np.frombuffer(row["c"], np.int64)
+        seen += len(h)
+        for d, (n, bit) in enumerate(C.counts_of(h, w.astype(float), nearest)):
+            for i, x in enumerate(h.tolist()):
+                assert bit[i] == x >> 7 - d & 1
+                for k in range(1, C.ORDERS + 1):
+                    assert n[k - 1, i].tolist() == [want[k, x >> 8 & (1 << 8 * k) - 1, d, (x & 255) >> 8 - d, b] for b in (0, 1)]
+    assert seen == len(key)
+
+
+def test_mixer_learns_from_every_training_byte(spark):
+    key, c, events = some_events(spark)
+    nearest = C.nearest_counts(events)
+    mixer = C.learned(C.grouped(events, 10 * C.DEALT), nearest)
+    assert (mixer.hits - C.Mixer().hits).sum() == pytest.approx(8 * c.sum())
+    again = C.Mixer()
     for _ in range(C.ROUNDS):
-        again.stepped(sum(again.gradients(again.found(s), b, c.astype(float)) for s, b in C.decisions(key.astype(np.uint64))))
+        again.stepped(sum(again.gradients(n[:, c > 0], b[c > 0], c[c > 0]) for n, b in C.counts_of(key.astype(np.uint64), c.astype(float), nearest)))
     assert mixer.weights == pytest.approx(again.weights, abs=1e-6)
+
+
+def test_scores_do_not_depend_on_passes(spark):
+    df = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)]) for i in range(30)], "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["score"] for r in C.mixing_scores(df, held).collect()} for held in (1000, 60))
+    assert a == pytest.approx(b)
