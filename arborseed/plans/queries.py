@@ -423,7 +423,7 @@ def em_loglik(spark, d):
 @query
 def em_abundance(spark, d):
     oc = M.overlap_coefficients(nodes(spark, d), sample_seeds(spark, d))
-    return M.abundances(scores(spark, d), totals(spark, d), oc, 100)
+    return M.abundances(scores(spark, d), totals(spark, d), oc)
 
 
 @query

@@ -30,3 +30,16 @@ def test_query_matches_sql(spark, name):
 def test_entry_lists_what_there_is():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and set(catalog.QUERIES) <= set(queries)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the test tables are not here")
+def test_em_abundance_takes_all_ranks_of_the_reference(spark, monkeypatch):
+    import inspect
+
+    from arborseed.operators import mixture
+
+    bound, seen = inspect.signature(mixture.abundances), []
+    monkeypatch.setattr(mixture, "abundances", lambda *a, **k: seen.append(bound.bind(*a, **k)))
+    catalog.QUERIES["em_abundance"](spark, DIR)
+    seen[0].apply_defaults()
+    assert seen[0].arguments["top_oc"] == 1000
