@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import tree as T
 
 
 def seeds_of(rows: DataFrame, key: str, s: Column, k: int = 15, small: int = 8, t: int = 0, opened: bool = False) -> DataFrame:
@@ -113,17 +114,37 @@ def placements(scores: DataFrame) -> DataFrame:
     return near.groupBy("metric").agg(F.max("best_score").alias("score"), F.min("node").alias("best"), F.array_sort(F.collect_list("node")).alias("ties"))
 
 
-def top_candidates(scores: DataFrame, share: float = 0.01, most: int = 150) -> DataFrame:
-    """Union over the metrics of the best max(1, min(int(n share), most)) nodes with a positive score, ties by larger node."""
+def top_by_metric(scores: DataFrame, share: float = 0.01, most: int = 150) -> DataFrame:
+    """(metric, node): the best max(1, min(int(n share), most)) nodes with a positive score, ties by larger node."""
     total = scores.agg(F.greatest(F.lit(1), F.least(F.floor(F.count("*") * share), F.lit(most))).alias("top"))
     out = None
     for m in METRICS:
         ranked = scores.where(F.col(m) > 0).withColumn("rank", F.row_number().over(W.orderBy(F.col(m).desc(), F.col("node").desc()))).where(F.col("rank") <= most)
-        got = ranked.crossJoin(F.broadcast(total)).where(F.col("rank") <= F.col("top")).select("node")
+        got = ranked.crossJoin(F.broadcast(total)).where(F.col("rank") <= F.col("top")).select(F.lit(m).alias("metric"), "node")
         out = got if out is None else out.union(got)
-    return out.distinct()
+    return out
+
+
+def top_candidates(scores: DataFrame, share: float = 0.01, most: int = 150) -> DataFrame:
+    """Union over the metrics of `top_by_metric`."""
+    return top_by_metric(scores, share, most).select("node").distinct()
+
+
+def refinement_candidates(scores: DataFrame, tree: DataFrame, share: float = 0.01, most: int = 150, radius: int = 2, most_near: int = 150) -> DataFrame:
+    """(metric, node, seed_score): the best nodes of each metric, its first best one, and their neighbours in tree(node_id, parent_id).
+
+    Neighbours without a score, such as inner nodes, take no part.
+    """
+    chosen = top_by_metric(scores, share, most).union(placements(scores).select("metric", F.col("best").alias("node"))).distinct()
+    start = chosen.select(F.col("node").alias("source"), F.col("node").cast("string").alias("node_id")).distinct()
+    near = T.capped(T.within_radius(tree, start, radius).where("distance > 0"), most_near).select(F.col("source").alias("node"), F.col("node_id").alias("other"))
+    wide = chosen.join(near, "node").select("metric", F.col("other").alias("name"))
+    wide = wide.union(chosen.select("metric", F.col("node").cast("string").alias("name"))).distinct()
+    long = scores.select("node", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("seed_score")) for m in METRICS))).alias("x")).select("node", "x.*")
+    return wide.join(long.withColumn("name", F.col("node").cast("string")), ["metric", "name"]).select("metric", "node", "seed_score")
 
 
 def refined(candidates: DataFrame) -> DataFrame:
-    """The winner of (node, align_score, seed_score): best alignment, then seed score, then lowest node."""
-    return candidates.orderBy(F.col("align_score").desc(), F.col("seed_score").desc(), F.col("node")).limit(1)
+    """The winner of each metric's (metric, node, align_score, seed_score): best alignment, then seed score, then lowest node."""
+    w = W.partitionBy("metric").orderBy(F.col("align_score").desc(), F.col("seed_score").desc(), F.col("node"))
+    return candidates.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")

@@ -86,11 +86,20 @@ def consensus(reference: DataFrame, calls: DataFrame, key: str) -> DataFrame:
     return x.groupBy(key).agg(F.array_join(F.transform(listed, lambda p: p["base"]), "").alias("consensus"))
 
 
-def align(read: str, reference: str, k: int = 11, band: int = 16, match: int = 1, mismatch: int = -2, gap: int = -3) -> tuple[int, int, int]:
-    """(start, score, edits) of a read's best banded placement near its most frequent k-mer diagonal; start -1 without one."""
+def kmer_places(reference: str, k: int = 11) -> dict[str, list[int]]:
     where: dict[str, list[int]] = {}
     for i in range(len(reference) - k + 1):
         where.setdefault(reference[i : i + k], []).append(i)
+    return where
+
+
+def align(read: str, reference: str, k: int = 11, band: int = 16, match: int = 1, mismatch: int = -2, gap: int = -3, where: dict[str, list[int]] | None = None) -> tuple[int, int, int]:
+    """(start, score, edits) of a read's best banded placement near its most frequent k-mer diagonal; start -1 without one.
+
+    where: the reference's `kmer_places`, for callers that align several reads with it. A row is computed at once: a gap in the
+    read begins at the last place to its left from which the score, less the gap's cost, is highest.
+    """
+    where = kmer_places(reference, k) if where is None else where
     votes: dict[int, int] = {}
     for j in range(len(read) - k + 1):
         for i in where.get(read[j : j + k], ()):
@@ -100,29 +109,59 @@ def align(read: str, reference: str, k: int = 11, band: int = 16, match: int = 1
     diagonal = max(sorted(votes), key=votes.get)
     low = max(0, diagonal - band)
     target = reference[low : max(0, diagonal) + len(read) + band]
-    n, m = len(read), len(target)
+    m = len(target)
     score, edits, start = np.zeros(m + 1, int), np.zeros(m + 1, int), np.arange(m + 1)
-    for i in range(1, n + 1):
-        new, cost, origin = np.full(m + 1, i * gap), np.full(m + 1, i), np.zeros(m + 1, int)
-        for j in range(1, m + 1):
-            same = read[i - 1] == target[j - 1]
-            options = ((score[j - 1] + (match if same else mismatch), edits[j - 1] + (not same), start[j - 1]), (score[j] + gap, edits[j] + 1, start[j]), (new[j - 1] + gap, cost[j - 1] + 1, origin[j - 1]))
-            new[j], cost[j], origin[j] = max(options, key=lambda x: x[0])
-        score, edits, start = new, cost, origin
+    letters, at = np.frombuffer(target.encode(), np.uint8), np.arange(m + 1)
+    for i, letter in enumerate(read.encode(), 1):
+        same = letters == letter
+        over, down = score[:-1] + np.where(same, match, mismatch), score[1:] + gap
+        turn = over >= down
+        new = np.r_[i * gap, np.where(turn, over, down)]
+        cost = np.r_[i, np.where(turn, edits[:-1] + ~same, edits[1:] + 1)]
+        origin = np.r_[0, np.where(turn, start[:-1], start[1:])]
+        level = new - gap * at
+        left = np.maximum.accumulate(np.where(level >= np.maximum.accumulate(level), at, 0))
+        score, edits, start = new[left] + gap * (at - left), cost[left] + at - left, origin[left]
     j = int(score.argmax())
     return low + int(start[j]), int(score[j]), int(edits[j])
 
 
+def best_strand(read: str, reference: str, where: dict[str, list[int]] | None = None) -> tuple[int, int, int, bool]:
+    """(start, score, edits, rev) of the better strand."""
+    other = read[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    one, two = align(read, reference, where=where), align(other, reference, where=where)
+    return (*two, True) if two[1] > one[1] else (*one, False)
+
+
+def alignment_scores(references: DataFrame, reads: DataFrame, group: int = 32) -> DataFrame:
+    """(node, align_score): less the edits of all reads (read_id, seq) on each of references (node, reference).
+
+    A read that cannot be placed counts its length. Reads go in groups of about `group`, so that a reference is indexed once
+    for each group, and any number of tasks share a node.
+    """
+    groups = max(1, -(-reads.count() // group))
+    dealt = reads.groupBy(F.pmod(F.xxhash64("read_id"), F.lit(groups)).alias("g")).agg(F.collect_list("seq").alias("seqs"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for reference, seqs in zip(b["reference"], b["seqs"], strict=True):
+                where = kmer_places(reference)
+                out.append(-sum(best_strand(read, reference, where)[2] for read in seqs))
+            yield pd.DataFrame({"node": b["node"], "score": np.array(out, np.int64)})
+
+    pairs = references.crossJoin(dealt).select("node", "reference", "seqs")
+    pairs = pairs.repartition(4 * references.sparkSession.sparkContext.defaultParallelism)
+    found = pairs.mapInPandas(run, f"node {references.schema['node'].dataType.simpleString()}, score long")
+    return found.groupBy("node").agg(F.sum("score").alias("align_score"))
+
+
 def aligned(pairs: DataFrame) -> DataFrame:
     """pairs(read_id, node, seq, reference) with start, score, edits of the better strand and rev."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for read, ref in zip(b["seq"], b["reference"], strict=True):
-                other = read[::-1].translate(str.maketrans("ACGT", "TGCA"))
-                one, two = align(read, ref), align(other, ref)
-                rows.append((*two, True) if two[1] > one[1] else (*one, False))
+            rows = [best_strand(read, ref) for read, ref in zip(b["seq"], b["reference"], strict=True)]
             yield pd.concat([b[["read_id", "node"]].reset_index(drop=True), pd.DataFrame(rows, columns=["start", "score", "edits", "rev"])], axis=1)
 
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("read_id", "node")}

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..llm.common import stash
 from ..operators import mixture as M
 from ..operators import placement as P
 from ..operators import ranges as R
@@ -530,11 +531,16 @@ def set_operations(spark, d):
 
 @query
 def refined_placement(spark, d):
-    """The best alignment of each passage that has candidates among its best nodes."""
-    best = _assigned(spark, d).groupBy("read_id").agg(F.min("node").alias("node"))
-    g = genomes(spark, d).select(F.col("doc_id").alias("node"), F.col("s").alias("reference"))
-    pairs = best.join(reads(spark, d).withColumnRenamed("s", "seq"), "read_id").join(g, "node").select("read_id", "node", "seq", "reference")
-    return V.aligned(pairs)
+    """Of each metric's best documents and their neighbours in the tree of sources, the one that all passages align with best."""
+    x = stash(_scored(spark, d).select("node", *(rounded(m).alias(m) for m in P.METRICS)), "scored")
+    g = genomes(spark, d).select(F.col("doc_id").alias("node"), F.col("s").alias("reference"), "lang", "source")
+    source = F.concat(F.lit("s"), F.concat_ws("|", "lang", "source"))
+    up = g.select(F.col("node").cast("string").alias("node_id"), source.alias("parent_id"))
+    up = up.union(g.select(source.alias("node_id"), F.concat(F.lit("l"), "lang").alias("parent_id")).distinct())
+    chosen = stash(P.refinement_candidates(x, up), "candidates")
+    references = g.join(chosen.select("node").distinct(), "node").select("node", "reference")
+    found = V.alignment_scores(references, reads(spark, d).withColumnRenamed("s", "seq"))
+    return P.refined(chosen.join(found, "node")).select("metric", "node", "align_score", "seed_score")
 
 
 @query

@@ -59,3 +59,44 @@ def test_newick_and_capped(spark):
     assert T.newick([("r", None), ("a", "r"), ("b", "r")]) == "(a:1.0{1},b:1.0{2})r:1.0{0};"
     near = spark.createDataFrame([("s", "x", 1), ("s", "y", 0)], "source string, node_id string, distance int")
     assert [r["node_id"] for r in T.capped(near, 1).collect()] == ["y"]
+
+
+def slow_align(read, reference, low, band=16, match=1, mismatch=-2, gap=-3):
+    target = reference[low : low + len(read) + 2 * band]
+    row = [(0, 0, j) for j in range(len(target) + 1)]
+    for i, a in enumerate(read, 1):
+        new = [(i * gap, i, 0)]
+        for j, b in enumerate(target, 1):
+            (s, e, o), (su, eu, ou), (sl, el, ol) = row[j - 1], row[j], new[-1]
+            new.append(max((s + (match if a == b else mismatch), e + (a != b), o), (su + gap, eu + 1, ou), (sl + gap, el + 1, ol), key=lambda x: x[0]))
+        row = new
+    best = max(row, key=lambda x: x[0])
+    return low + best[2], best[0], best[1]
+
+
+def test_alignment_matches_the_plain_recurrence():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        ref = "".join(rng.choice(list("ACGT"), 120))
+        read = list(ref[16:76])
+        for at in rng.integers(14, 60, 3):
+            read[at] = rng.choice(["", "A", "CG", "T"])
+        read = "".join(read)
+        assert V.align(read, ref) == slow_align(read, ref, 0)
+
+
+def test_refinement_aligns_all_candidates(spark):
+    rng = np.random.default_rng(4)
+    genome = "".join(rng.choice(list("ACGT"), 300))
+    far = "".join(rng.choice(list("ACGT"), 300))
+    change = lambda s, places: "".join("ACGT"[("ACGT".index(c) + 1) % 4] if i in places else c for i, c in enumerate(s))
+    refs = {1: change(genome, {50, 150}), 2: genome, 3: change(genome, {50}), 4: far, 5: far}
+    reads = {i: genome[s : s + 60] for i, s in enumerate(range(0, 240, 30))}
+    x = spark.createDataFrame([(n, *[0.9 if n == 1 else 0.5 if n == 4 else 0.2 + n / 100] * 5) for n in refs], ["node", *P.METRICS])
+    tree = spark.createDataFrame([(str(n), "a" if n < 4 else "b") for n in refs], "node_id string, parent_id string")
+    chosen = P.refinement_candidates(x, tree)
+    assert {(r["metric"], r["node"]) for r in chosen.collect()} == {(m, n) for m in P.METRICS for n in (1, 2, 3)}
+    found = V.alignment_scores(spark.createDataFrame(list(refs.items()), "node long, reference string"), spark.createDataFrame(list(reads.items()), "read_id long, seq string"), 3)
+    want = {n: -sum(V.best_strand(q, r)[2] for q in reads.values()) for n, r in refs.items()}
+    assert {r["node"]: r["align_score"] for r in found.collect()} == want
+    assert {(r["metric"], r["node"]) for r in P.refined(chosen.join(found, "node")).collect()} == {(m, 2) for m in P.METRICS}
