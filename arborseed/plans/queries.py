@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..llm.common import stash
+from ..storage import stash
 from ..operators import mixture as M
 from ..operators import placement as P
 from ..operators import ranges as R
