@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..storage import drop_stash, fresh, shared_dir, stash, stash_path  # noqa: F401
 
 #: Bytes of text that one numpy pass handles; a longer single text is a pass of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 MASK = (1 << 64) - 1
 #: The odd base of the polynomial hash, congruent to 3 modulo 4, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C17
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="arborseed-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
+def release() -> None:
+    """Gives memory that numpy freed back to the system, so that idle workers stay small."""
+    import ctypes
+    import gc
 
-def stash_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns a reader of it; this cuts the lineage and survives lost executors."""
-    spark, at = df.sparkSession, stash_path(df.sparkSession, name)
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._stash_path = at
-    return out
+def tidy(run):
+    """run, a function of an iterator of batches, with its memory given back at the end of a task."""
 
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
-def drop_stash(df: DataFrame) -> None:
-    """Deletes the files of a stash that no later step reads."""
-    at = getattr(df, "_stash_path", None)
-    if at:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return wrapped
 
 
 def text_column(docs: DataFrame, name: str = "text"):
@@ -197,7 +192,7 @@ def summed(rows: DataFrame, count, size: int, few: bool = False) -> np.ndarray:
         total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in part["data"])
         return pd.DataFrame({"block": part["block"][:1], "salt": part["salt"][:1], "data": [zlib.compress(total.tobytes(), 1)]})
 
-    found = rows.mapInArrow(run, BLOCKS)
+    found = rows.mapInArrow(tidy(run), BLOCKS)
     if not few:
         found = found.groupBy("block", "salt").applyInPandas(add, BLOCKS).groupBy("block").applyInPandas(add, BLOCKS)
     total = np.zeros(size, np.int64)

@@ -2,16 +2,17 @@
 
 A document's ids are cut into full sequences and one remainder; the remainders of a group are placed longest first, each
 into the first bin that has room. The tournament tree holds the largest free capacity below each node, so the first bin
-with room is found in logarithmic time. Groups are dealt by a salted hash of the row, never by a key of the data, so a
-group's size is bounded whatever the table holds, and groups are packed independently.
+with room is found in logarithmic time. Groups are dealt by a salted hash of the row and, for rows repeated within a task, of
+their number there, so a group's size is bounded whatever the table holds; groups are packed independently.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import MASK, mix, tidy
+
 #: Tokens of a sequence, the id after each document, documents of a group on average.
 LENGTH, END_ID, GROUP = 1024, 0, 1024
 #: Pre-tokens whose ids a worker keeps.
-KEPT = 1_000_000
+KEPT = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, tie long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The public pattern that splits text before byte-pair merging, as tokenizers' byte-level pre-tokenizer applies it.
@@ -48,7 +51,10 @@ class _Ids(dict):
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.merge, self.letters = Tokenizer.from_file(tokenizer_json).model.tokenize, byte_letters()
+        self.whole, self.letters = Tokenizer.from_file(tokenizer_json), byte_letters()
+        self.merge = self.whole.model.tokenize
+        with open(tokenizer_json, encoding="utf-8") as f:
+            self.added = re.compile("|".join(re.escape(x["content"]) for x in json.load(f)["added_tokens"]) or "(?!)").search
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) > KEPT:
@@ -57,6 +63,13 @@ class _Ids(dict):
         made = self[piece] = struct.pack(f"<{len(found)}I", *[x.id for x in found])
         return made
 
+    def encoded(self, text: str, find) -> bytes:
+        """The ids of a text; one that holds an added token goes to the tokenizer as a whole."""
+        if self.added(text):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.__getitem__, find(text)))
+
 
 @cache
 def ids_of(tokenizer_json: str) -> _Ids:
@@ -105,24 +118,30 @@ def tokenized_pieces(docs: DataFrame, tokenizer_json: str, groups: int, length:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        from pyspark import TaskContext
 
         find, plain, odd, ids = regex.compile(SPLIT).findall, re.compile(PLAIN_SPLIT).findall, re.compile(NOT_PLAIN).search, ids_of(tokenizer_json)
-        end = np.array([END_ID], "<u4").tobytes()
+        end, task, seen = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId(), Counter()
+        names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
-            for doc, grp, tie, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                held = b"".join(map(ids.__getitem__, (find if odd(text := text or "") else plain)(text))) + end
+            for doc, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                grp = _group(tie, task, seen[tie], groups)
+                seen[tie] += 1
+                held = ids.encoded(text := text or "", find if odd(text) else plain) + end
                 total = len(held) // 4
                 rows += [(doc, s, min(length, total - s), zlib.crc32(held[4 * s : 4 * (s + length)]), total, grp, tie) for s in range(0, total, length)]
-            names = [x.split()[0] for x in PIECES.split(", ")]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    salt = F.xxhash64(F.lit(7), "doc_id", "text")
-    tie = F.xxhash64(F.lit(11), "doc_id", "text")
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = rows.select("doc_id", F.pmod(salt, F.lit(groups)).alias("grp"), tie.alias("tie"), "text")
-    return rows.mapInArrow(run, PIECES)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.lit(11), docs["doc_id"], docs["text"]).alias("tie"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(tidy(run), PIECES)
+
+
+def _group(tie: int, task: int, number: int, groups: int) -> int:
+    """The group of the number-th row of one hash in a task; it doesn't depend on the order of a task's rows."""
+    x = np.array([(tie + number * 0x9E3779B97F4A7C15 + (task + 1) * 0xC2B2AE3D27D4EB4F) & MASK], np.uint64)
+    return int(mix(x)[0] % np.uint64(groups))
 
 
 def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -140,9 +159,3 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, group: int
         return pieces.assign(sequence_id=pieces["grp"] * (1 << 32) + bins, offset=offsets)[[x.split()[0] for x in PACKED.split(", ")]]
 
     return tokenized_pieces(docs, tokenizer_json, groups, length).groupBy("grp").applyInPandas(fit, PACKED)
-
-
-def ids_from_ranks(path: str) -> dict[bytes, int]:
-    """The vocabulary of a rank file, for tests that decode pieces."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

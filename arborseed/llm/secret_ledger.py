@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash_path, text_column
+from .common import drop_stash, stash, stash_path, text_column
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,8 @@ ADDED_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE_RULES + ADDED_RULES
+#: Blobs that are due whose hashes are broadcast; more meet their texts in a join.
+FEW = 10_000
 SCANS = "sha string, rule string"
 FINDINGS = "sha string, rule string, kind string, start long, end long"
 
@@ -91,26 +93,28 @@ class SecretLedger:
         there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
 
-    def due(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(sha, keep, due): each blob with rules to run, and the least key of a row that holds it."""
-        held = docs.select(F.sha2(text_column(docs, text), 256).alias("sha"), docs[key].alias("keep"))
-        blobs = held.groupBy("sha").agg(F.min("keep").alias("keep"))
+    def due(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """(sha, due): each blob with rules to run."""
+        blobs = docs.select(F.sha2(text_column(docs, text), 256).alias("sha")).distinct()
         done = self._read("scans", SCANS).groupBy("sha").agg(F.collect_set("rule").alias("done"))
         every = F.array(*(F.lit(r.key) for r in self.rules))
         left = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
-        return blobs.join(done, "sha", "left").select("sha", "keep", left.alias("due")).where(F.size("due") > 0)
+        return blobs.join(done, "sha", "left").select("sha", left.alias("due")).where(F.size("due") > 0)
 
-    def update(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> int:
-        """Scans what is due and appends it to the ledger; returns the number of blobs scanned. A null text is an empty blob."""
-        from .common import drop_stash, stash
+    def update(self, docs: DataFrame, text: str = "text") -> int:
+        """Scans what is due and appends it to the ledger; returns the number of blobs scanned. A null text is an empty blob.
 
-        due = stash(self.due(docs, key, text), "due")
-        rows = docs.select(F.sha2(text_column(docs, text), 256).alias("sha"), docs[key].alias("keep"), text_column(docs, text).alias("text"))
-        d = due.select(F.col("sha").alias("d_sha"), F.col("keep").alias("d_keep"), "due")
-        blobs = rows.join(d, (rows["sha"] == d["d_sha"]) & rows["keep"].eqNullSafe(d["d_keep"])).select("sha", "text", "due")
+        Rows of one blob are brought together within each task first, so however many there are, a blob meets a row per task.
+        """
+        due = stash(self.due(docs, text), "due")
+        n = due.count()
+        rows = docs.select(F.sha2(text_column(docs, text), 256).alias("sha"), text_column(docs, text).alias("text"))
+        if n <= FEW:  # texts of blobs that were scanned before don't leave their task
+            blobs = rows.join(F.broadcast(due), "sha").groupBy("sha").agg(F.first("text").alias("text"), F.first("due").alias("due"))
+        else:
+            blobs = rows.groupBy("sha").agg(F.first("text").alias("text")).join(due, "sha")
         scan(blobs, self.rules).write.mode("append").parquet(f"{self.path}/findings")
         due.select("sha", F.explode("due").alias("rule")).write.mode("append").parquet(f"{self.path}/scans")
-        n = due.count()
         drop_stash(due)
         return n
 
@@ -139,8 +143,8 @@ def joined(spans: Column) -> Column:
 def secret_spans(docs: DataFrame, ledger: SecretLedger | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): counts of the base kinds, a digest of the base spans, all spans.
 
-    A null text is empty; repeated rows and null ids give a row each; an empty table gives no rows; further columns are
-    ignored. The ledger is updated first: only blobs and rule versions that it has not seen are scanned.
+    A null text is empty; repeated rows, repeated ids and null ids give a row each; an empty table gives no rows; further
+    columns are ignored. The ledger is updated first: only blobs and rule versions that it has not seen are scanned.
     """
     ledger = ledger or SecretLedger(docs.sparkSession)
     ledger.update(docs)

@@ -15,7 +15,6 @@ def encode(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_json())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
@@ -42,6 +41,18 @@ def test_pieces_round_trip(spark):
     assert packing.pack(docs.limit(0), tokenizer_json()).count() == 0
 
 
+def test_repeated_rows_are_dealt_to_all_groups(spark):
+    df = spark.createDataFrame([(7, "the same words again")] * 400 + [(None, None)] * 40, "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, tokenizer_json(), length=64, group=20).collect()
+    assert len(rows) == 440 and sum(r["doc_id"] is None for r in rows) == 40
+    sizes = np.bincount([r["sequence_id"] >> 32 for r in rows])
+    assert len(sizes) == 22 and sizes.max() < 60
+    filled = {}
+    for r in rows:
+        filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
+    assert max(filled.values()) <= 64
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_first_fit_decreasing_is_first_fit(lengths):
     bins, offsets = packing.first_fit_decreasing(lengths, 64)
