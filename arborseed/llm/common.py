@@ -200,3 +200,26 @@ def summed(rows: DataFrame, count, size: int, few: bool = False) -> np.ndarray:
         got = np.frombuffer(zlib.decompress(r["data"]), np.int64)
         total[r["block"] * BLOCK : r["block"] * BLOCK + len(got)] += got
     return total
+
+
+# --------------------------------------------------------------------------- bitmaps of hash values
+
+#: Bits of a bitmap: its size is fixed, 8 MB.
+BITMAP = 1 << 26
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """Packed bits that say which low bits the hash values of the first column have: a filter of fixed size before an exact join."""
+    from pyspark.sql import functions as F
+
+    slot = F.col(values.columns[0]).bitwiseAND(BITMAP - 1)
+    parts = values.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND((1 << 15) - 1)).alias("bits"))
+    out = np.zeros(BITMAP >> 3, np.uint8)
+    for r in parts.toLocalIterator(prefetchPartitions=True):
+        out[r["b"] << 12 : (r["b"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values.view(np.int64) & (BITMAP - 1)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)

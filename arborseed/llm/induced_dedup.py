@@ -1,19 +1,15 @@
 """Exact repeats of 400 bytes and more by external induced suffix sorting.
 
-Every window of a text belongs to its minimiser, a gram chosen by its content alone, so equal windows meet wherever they
-are. Windows whose minimiser occurs once are unique; the others' bytes form segments, equal segments once, dealt to shards by
-their minimiser. A shard's suffixes are sorted by recursive induction: S* substrings are sorted and named, a shorter text of
-names is sorted the same way, and priority queues, which spill sorted runs to disk, induce the L and then the S suffixes.
-Windows that share 400 bytes with a neighbour in suffix order are repeats.
+Every window of a text belongs to its minimiser, a gram chosen by its content alone, and to the side of the minimiser on which it
+has more bytes; with the nearest bytes on that side these make its key. Equal windows have equal keys wherever they are. Windows
+whose key occurs once are unique; runs of windows whose key has one content only are repeats as they stand. The bytes of the
+other runs form segments, equal segments once, dealt to shards by their key. A shard's suffixes are sorted by recursive
+induction through disk-backed queues whose tuples carry common prefixes; neighbours that share a window's bytes are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
-import pickle
-import tempfile
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,204 +18,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, buffers, chunks, stash, text_column
-from .jaccard_join import presence, slot_of
-
-#: Bytes of a repeat, bytes of a minimiser, bytes of segments in a shard, queue entries in memory.
-LENGTH, GRAM, SHARD, IN_MEMORY = 400, 32, 1 << 20, 200_000
-
-
-class RunQueue:
-    """A priority queue of tuples; beyond `most` entries in memory it spills a sorted run to a scratch file of its own."""
-
-    def __init__(self, most: int = IN_MEMORY):
-        self.most, self.heap, self.runs = most, [], []
-
-    def push(self, item: tuple) -> None:
-        heapq.heappush(self.heap, item)
-        if len(self.heap) > self.most:
-            self.heap.sort()
-            file = tempfile.TemporaryFile()
-            for s in range(0, len(self.heap), 4096):
-                pickle.dump(self.heap[s : s + 4096], file)
-            file.seek(0)
-            self.heap = []
-            run = self._read(file)
-            heapq.heappush(self.runs, (next(run), id(run), run))
-
-    @staticmethod
-    def _read(file) -> Iterator[tuple]:
-        with file:
-            while True:
-                try:
-                    part = pickle.load(file)
-                except EOFError:
-                    return
-                yield from part
-
-    def peek(self) -> tuple | None:
-        if self.runs and (not self.heap or self.runs[0][0] < self.heap[0]):
-            return self.runs[0][0]
-        return self.heap[0] if self.heap else None
-
-    def pop(self) -> tuple:
-        if self.runs and (not self.heap or self.runs[0][0] < self.heap[0]):
-            item, key, run = self.runs[0]
-            head = next(run, None)
-            if head is None:
-                heapq.heappop(self.runs)
-            else:
-                heapq.heapreplace(self.runs, (head, key, run))
-            return item
-        return heapq.heappop(self.heap)
-
-    def drain(self) -> Iterator[tuple]:
-        while self.peek() is not None:
-            yield self.pop()
-
-
-def induced_order(t: array, most: int = IN_MEMORY) -> array:
-    """The suffix array of t, whose last symbol is its least and occurs once."""
-    n = len(t)
-    if n <= 2:
-        return array("q", range(n - 1, -1, -1))
-    small = bytearray(n)  # 1: an S suffix, less than the next
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        small[i] = t[i] < t[i + 1] or t[i] == t[i + 1] and small[i + 1]
-    stars = array("q", (i for i in range(1, n) if small[i] and not small[i - 1]))
-    # Sort and name the S* substrings.
-    queue = RunQueue(most)
-    for k, i in enumerate(stars):
-        end = stars[k + 1] + 1 if k + 1 < len(stars) else n
-        queue.push((tuple(2 * t[j] + small[j] for j in range(i, end)), k))  # at equal symbols an L suffix is less than an S suffix
-    names, name, last, order = array("q", bytes(8 * len(stars))), -1, None, array("q")
-    for part, k in queue.drain():
-        if part != last:
-            name, last = name + 1, part
-        names[k] = name
-        order.append(k)
-    if name + 1 < len(stars):
-        order = induced_order(names, most)
-    # L suffixes, in ascending order: behind each suffix taken, an L suffix before it joins the queue of its symbol.
-    large, queue, turn, at = array("q"), RunQueue(most), 0, 0
-    while True:
-        head = queue.peek()
-        if at < len(order) and (head is None or t[stars[order[at]]] < head[0]):
-            i = stars[order[at]]
-            at += 1
-        elif head is not None:
-            i = queue.pop()[2]
-            large.append(i)
-        else:
-            break
-        if i and not small[i - 1]:
-            queue.push((t[i - 1], turn, i - 1))
-            turn += 1
-    # S suffixes, in descending order, from the L suffixes and themselves.
-    out, queue, turn, at = array("q"), RunQueue(most), 0, len(large) - 1
-    while True:
-        head = queue.peek()
-        if head is not None and (at < 0 or -head[0] >= t[large[at]]):
-            i = queue.pop()[2]
-        elif at >= 0:
-            i = large[at]
-            at -= 1
-        else:
-            break
-        out.append(i)
-        if i and small[i - 1]:
-            queue.push((-t[i - 1], turn, i - 1))
-            turn += 1
-    out.append(n - 1)
-    out.reverse()
-    return out
+from .common import Hashed, bitmap, buffers, chunks, drop_stash, in_bitmap, mix, stash, text_column, tidy
+from .induced_sort import IN_MEMORY, suffixes
+
+#: Bytes of a repeat, bytes of a minimiser, bytes of segments in a shard, bytes of a text that are looked at in one piece.
+LENGTH, GRAM, SHARD, PIECE = 400, 32, 1 << 21, 1 << 26
+POSITION = (1 << 27) - 1
 
 
 def repeated_windows(segments: list[bytes], length: int = LENGTH, most: int = IN_MEMORY) -> list[np.ndarray]:
     """For each segment which of its windows start again elsewhere in the segments."""
-    m = len(segments)
-    text, where = array("q"), []
-    for k, s in enumerate(segments):  # separators m-1 .. 0 differ and are less than any byte; the last is least
-        where.append(len(text))
-        text.extend(b + m for b in s)
-        text.append(m - 1 - k)
-    whole = b"".join(s + b"\n" for s in segments)
+    m, size = len(segments), np.array([len(s) for s in segments], np.int64)
+    where = np.cumsum(size + 1) - (size + 1)
+    text = np.zeros(int(size.sum()) + m, np.int32)
+    inside = np.ones(len(text), bool)
+    inside[where + size] = False
+    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int32) + m
+    text[where + size] = np.arange(m - 1, -1, -1)  # separators differ and are less than any byte; the last is least
+    order, common = suffixes(text, most)
+    fits = np.zeros(len(text), bool)
+    for w, s in zip(where.tolist(), size.tolist(), strict=True):
+        fits[w : w + max(0, s - length + 1)] = True
+    near = common >= length  # no common prefix reaches beyond a separator
     hit = np.zeros(len(text), bool)
-    stop = np.zeros(len(text), np.int64)
-    for w, s in zip(where, segments, strict=True):
-        stop[w : w + len(s) + 1] = w + len(s)
-    order = induced_order(text, most)
-    last = None
-    for i in order:
-        if i + length > stop[i]:
-            continue
-        if last is not None and whole[i : i + length] == whole[last : last + length]:
-            hit[i] = hit[last] = True
-        last = i
-    return [hit[w : w + max(0, len(s) - length + 1)] for w, s in zip(where, segments, strict=True)]
-
-
-def minimisers(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, window after the last, hash of the minimiser) of the runs of a text's windows with one minimiser."""
-    n, width = len(data), length - gram + 1
-    if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    start = np.arange(n - gram + 1)
-    g = Hashed(data).of(start, start + gram)
-    key = (g & ~np.uint64((1 << 27) - 1)) | start.astype(np.uint64) % np.uint64(1 << 27)
+    hit[order[near]] = True
+    hit[order[np.flatnonzero(near) - 1]] = True
+    hit &= fits
+    return [hit[w : w + max(0, s - length + 1)] for w, s in zip(where.tolist(), size.tolist(), strict=True)]
+
+
+def least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` keys in a row, by blocks."""
     pad = np.full(-len(key) % width, np.iinfo(np.uint64).max, np.uint64)
     blocks = np.concatenate([key, pad]).reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    windows = n - length + 1
-    at = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
-    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return begin, np.r_[begin[1:], windows], g[(at[begin] & np.uint64((1 << 27) - 1)).astype(np.int64)]
+    count = len(key) - width + 1
+    return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
+
+
+def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(first window, window after the last, row, key, whether it repeats within itself) of the runs of windows of one key.
+
+    They are those of the texts of a chunk; runs that follow each other at once join, and only such may repeat within themselves.
+
+    A window with the minimiser's gram at p goes by the `half` bytes before p if it has them, else by those behind the gram.
+    """
+    width, half = length - gram + 1, (length - gram + 1) // 2
+    none = np.zeros(0, np.int64)
+    count = np.maximum(np.diff(off) - length + 1, 0)
+    if not count.sum():
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool)
+    hashed = Hashed(data)
+    start = np.arange(len(data) - gram + 1)
+    g = hashed.of(start, start + gram)
+    at = least_in_windows((g & ~np.uint64(POSITION)) | start.astype(np.uint64), width)
+    row = np.repeat(np.arange(len(count)), count)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(off[:-1], count)
+    p = (at[window] & np.uint64(POSITION)).astype(np.int64)
+    before = p - window >= half
+    new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (before[1:] != before[:-1]) | (row[1:] != row[:-1])])
+    p, before = p[new], before[new]
+    low = np.where(before, p - half, p + gram)
+    key = mix(g[p] ^ mix(hashed.of(low, low + half) + before.astype(np.uint64)))
+    begin, end, owner = window[new], window[np.r_[new[1:], len(row)] - 1] + 1, row[new]
+    joins = np.r_[False, (key[1:] == key[:-1]) & (owner[1:] == owner[:-1]) & (begin[1:] == end[:-1])]  # a gram that repeats at once
+    first = np.flatnonzero(~joins)
+    after = np.r_[first[1:], len(end)]
+    return begin[first], end[after - 1], owner[first], key[first], after - first > 1
+
+
+def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, position of the first byte, bytes, offsets): chunks, a text beyond PIECE in overlapping pieces."""
+    for i, j, data, off in chunks(column):
+        if len(data) <= PIECE:
+            yield i, j, 0, data, off
+            continue
+        for s in range(0, len(data), PIECE):
+            part = data[s : s + PIECE + length - 1]
+            yield i, j, s, part, np.array([0, len(part)])
+
+
+def gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The byte ranges as a binary array."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    source = np.arange(off[-1]) + np.repeat(begin - off[:-1], size)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[source]))]).cast(pa.binary())
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for i, j, data, off in chunks(batch.column(1)):
-        for k in range(j - i):
-            yield i + k, data[off[k] : off[k + 1]]
+COUNTED = "key long, content long, c long"
+FOUND = "k1 long, k2 long, at long, n long, key long, bytes binary"
 
 
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, most: int = IN_MEMORY) -> DataFrame:
     """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else, in the same document or another. Null
-    texts are empty; repeated rows are documents of their own and so repeat each other; null ids are as good as any; an empty
-    table gives no rows; other columns are ignored.
+    texts are empty; repeated rows and rows of one id are documents of their own and so repeat each other; null ids are as good as
+    any; an empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text_column(docs).alias("text"))
-    key = F.xxhash64("doc_id", "text")
-    keyed = rows.select(key.alias("key"), "text")
+    spark = docs.sparkSession
+    gram = min(GRAM, length // 2)
+    text = text_column(docs)
+    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("k1"), F.xxhash64(F.lit(9), text, docs["doc_id"]).alias("k2"))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [minimisers(d, length)[2] for _, d in _texts(batch)]
-            h, c = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["anchor", "c"])
-
-    counts = keyed.mapInArrow(anchors, "anchor long, c long").groupBy("anchor").agg(F.sum("c").alias("c"))
-    twice = stash(counts.where("c > 1").select("anchor"), "anchors")
-    held = docs.sparkSession.sparkContext.broadcast(presence(twice))  # of a fixed size
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, _, data, off in pieces(batch.column(0), length):
+                begin, end, _, key, again = runs(data, off, length, gram)
+                content = Hashed(data).of(begin, end - 1 + length)
+                key, content = np.concatenate([key, key[again]]), np.concatenate([content, ~content[again]])  # these are to be sorted
+                order = np.lexsort((content, key))
+                key, content = key[order], content[order]
+                at = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
+                columns = [pa.array(x[at].view(np.int64)) for x in (key, content)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(np.r_[at, len(key)]))], ["key", "content", "c"])
+
+    counted = rows.select("text").mapInArrow(tidy(count), COUNTED).groupBy("key", "content").agg(F.sum("c").alias("c"))
+    kinds = counted.groupBy("key").agg(F.sum("c").alias("c"), F.count("*").alias("contents")).where("c > 1")
+    kinds = stash(kinds.select(F.col("key").alias("k_key"), (F.col("contents") > 1).alias("mixed")), "kinds")
+    shared = spark.sparkContext.broadcast([bitmap(kinds.where(f"mixed = {x}").select("k_key")) for x in ("false", "true")])  # 8 MB each
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), []
-            for k, d in _texts(batch):
-                begin, end, h = minimisers(d, length)
-                for i in np.flatnonzero(held.value[slot_of(h.view(np.int64), len(held.value))]):
-                    out.append((keys[k], int(begin[i]), int(h[i : i + 1].view(np.int64)[0]), d[begin[i] : end[i] - 1 + length].tobytes()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "at", "anchor", "bytes"])
-
-    parts = keyed.mapInArrow(segments, "key long, at long, anchor long, bytes binary").join(twice, "anchor", "left_semi")
-    parts = stash(parts.withColumn("name", F.md5("bytes")), "segments")
-    once = parts.groupBy("name", "anchor").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
-    size = parts.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
+            for i, _, s, data, off in pieces(batch.column(2), length):
+                begin, end, row, key, _ = runs(data, off, length, gram)
+                whole, mixed = (in_bitmap(x, key) for x in shared.value)
+                at = np.flatnonzero(whole | mixed)
+                begin, n, row, key, mixed = begin[at], (end - begin)[at], row[at], key[at], mixed[at]
+                held = gathered(data, begin, np.where(mixed, n - 1 + length, 0))
+                place = pa.array(i + row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(place), batch.column(1).take(place), pa.array(s + begin - off[row]), pa.array(n), pa.array(key.view(np.int64)), held], ["k1", "k2", "at", "n", "key", "bytes"])
+
+    found = rows.select("k1", "k2", "text").mapInArrow(tidy(find), FOUND).join(kinds, F.col("key") == F.col("k_key"))
+    name = F.when(F.col("mixed"), F.unhex(F.md5("bytes")))
+    parts = stash(found.select("k1", "k2", "at", "n", "key", "mixed", name.alias("name"), F.when(F.col("mixed"), F.col("bytes")).alias("bytes")), "parts")
+    drop_stash(kinds)
+    mixed = parts.where("mixed")
+    once = mixed.groupBy("key", "name").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes"))
+    size = once.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard))
 
     def sort(group: pd.DataFrame) -> pd.DataFrame:
@@ -229,28 +166,43 @@ def dedup_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, mos
             hit = hit | (copies > 1)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
             out += [(name, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-        return pd.DataFrame(out, columns=["name", "a", "b"])
+        return pd.DataFrame(out, columns=["h_name", "a", "b"])
 
-    found = once.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(sort, "name string, a long, b long")
-    spans = parts.select("key", "at", "name").join(found, "name").select("key", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") - 1 + length).alias("b"))
-    per_doc = stash(spans.distinct().groupBy("key").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
+    hits = once.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(sort, "h_name binary, a long, b long")
+    hits = stash(hits.distinct(), "hits")
+    sorted_ = mixed.drop("bytes").join(hits, F.col("name") == F.col("h_name")).select("k1", "k2", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") - 1 + length).alias("b"))
+    plain = parts.where("not mixed").select("k1", "k2", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).alias("b"))
+    spans = plain.union(sorted_).distinct().groupBy(F.col("k1").alias("s1"), F.col("k2").alias("s2")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = stash(spans, "spans")
+    drop_stash(parts, hits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column(1))
-            out = []
-            for k, spans in enumerate(batch.column(2).to_pylist()):
+            places, out = batch.column(2), []
+            first, ab = places.offsets.to_numpy(), places.flatten()
+            a, b = (ab.field(x).to_numpy() for x in (0, 1))
+            first = first - first[0]
+            for k in range(batch.num_rows):
                 d = data[off[k] : off[k + 1]]
-                gone = np.zeros(len(d) + 1, np.int64)
-                for s in spans or ():
-                    gone[s["a"]] += 1
-                    gone[s["b"]] -= 1
+                gone = np.zeros(len(d) + 1, np.int32)
+                np.add.at(gone, a[first[k] : first[k + 1]], 1)
+                np.add.at(gone, b[first[k] : first[k + 1]], -1)
                 lost = np.cumsum(gone[:-1]) > 0
-                begins = int((lost & ~np.r_[False, lost[:-1]]).sum()) if len(d) else 0
-                out.append((len(d), int(lost.sum()), begins, hashlib.sha256(d[~lost].tobytes()).hexdigest()))
+                out.append((len(d), int(lost.sum()), int((lost & ~np.r_[False, lost[:-1]]).sum()), hashlib.sha256(d[~lost].tobytes()).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.string(),), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kinds = (pa.int64(),) * 3 + (pa.string(),)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.withColumn("key", key).join(per_doc, "key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    held = spark.sparkContext.broadcast(bitmap(spans.select("s1")))  # 8 MB: rows that surely have no spans aren't shuffled
+
+    @F.pandas_udf("boolean")
+    def reached(x: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(held.value, x.to_numpy()))
+
+    maybe = rows.where(reached("k1")).join(spans, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left")
+    done = maybe.where(F.col("s1").isNotNull()).select("doc_id", "text", "spans").mapInArrow(tidy(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    zero = F.lit(0).cast("long")
+    untouched = lambda x: x.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return done.union(untouched(maybe.where(F.col("s1").isNull()))).union(untouched(rows.where(~reached("k1"))))
