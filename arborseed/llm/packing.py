@@ -27,7 +27,7 @@ from .common import MASK, mix, tidy
 #: Tokens of a sequence, the id after each document, documents of a group on average.
 LENGTH, END_ID, GROUP = 1024, 0, 1024
 #: Pre-tokens whose ids a worker keeps.
-KEPT = 200_000
+KEPT = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long, tie long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The public pattern that splits text before byte-pair merging, as tokenizers' byte-level pre-tokenizer applies it.
@@ -125,9 +125,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer_json: str, groups: int, length:
         names = [x.split()[0] for x in PIECES.split(", ")]
         for batch in batches:
             rows: list[tuple] = []
-            for doc, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                grp = _group(tie, task, seen[tie], groups)
+            ties = batch.column(1).to_pylist()
+            numbers = []
+            for tie in ties:
+                numbers.append(seen[tie])
                 seen[tie] += 1
+            dealt = _groups(batch.column(1).to_numpy().view(np.uint64), task, np.array(numbers, np.uint64), groups).tolist()
+            for doc, tie, grp, text in zip(batch.column(0).to_pylist(), ties, dealt, batch.column(2).to_pylist(), strict=True):
                 held = ids.encoded(text := text or "", find if odd(text) else plain) + end
                 total = len(held) // 4
                 rows += [(doc, s, min(length, total - s), zlib.crc32(held[4 * s : 4 * (s + length)]), total, grp, tie) for s in range(0, total, length)]
@@ -138,10 +142,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer_json: str, groups: int, length:
     return rows.mapInArrow(tidy(run), PIECES)
 
 
-def _group(tie: int, task: int, number: int, groups: int) -> int:
-    """The group of the number-th row of one hash in a task; it doesn't depend on the order of a task's rows."""
-    x = np.array([(tie + number * 0x9E3779B97F4A7C15 + (task + 1) * 0xC2B2AE3D27D4EB4F) & MASK], np.uint64)
-    return int(mix(x)[0] % np.uint64(groups))
+def _groups(tie: np.ndarray, task: int, number: np.ndarray, groups: int) -> np.ndarray:
+    """The groups of a task's rows by hash and number among the rows of that hash; they don't depend on the order of the rows."""
+    return (mix(tie + number * np.uint64(0x9E3779B97F4A7C15) + np.uint64((task + 1) * 0xC2B2AE3D27D4EB4F & MASK)) % np.uint64(groups)).astype(np.int64)
 
 
 def pack(docs: DataFrame, tokenizer_json: str, length: int = LENGTH, group: int = GROUP) -> DataFrame:
