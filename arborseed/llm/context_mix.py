@@ -1,8 +1,8 @@
 """LM scoring by logistic context mixing, beside a unigram base score.
 
 A text is a stream of bytes: its words, A-Z lower-cased, each with a space after it, then an end byte. Each byte is eight binary
-decisions. Predictors of several orders, kept as exact tables of counts, each give a log-odds for a decision; gated weights
-mix them, and an adaptive table refines the mix. Weights and refining table are learned in rounds over all bytes of all training
+decisions. Predictors by the 1 to 4 bytes before it and by the whole of its word so far, kept as exact tables of counts, each give
+a log-odds for a decision; weights gated by the place in the word and by the counts mix them, and an adaptive table refines the mix. Weights and refining table are learned in rounds over all bytes of all training
 documents: a decision depends on its byte and context alone, so each distinct event counts as often as it occurs. The sum over
 all decisions is the text's log probability, hence its bits per byte. The tables hold counts of all training documents; they grow
 with the distinct events, are partitioned by the two nearest bytes of the context and are compared by the whole context.
@@ -18,11 +18,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, chunks, drop_stash, mix, per_row, stash, text_column, words
+from .common import Hashed, chunks, drop_stash, mix, per_row, stash, text_column, tidy, words
 
-#: Longest context in bytes; slots of each order's table of a mixer that is used alone; rounds over all events that weights are learned in.
-ORDERS, SLOT_BITS, ROUNDS = 4, 20, 6
+#: Nearest bytes of a context; predictors: one for each number of nearest bytes, and one for the word so far; slots of each
+#: predictor's table of a mixer that is used alone; rounds over all events that weights are learned in.
+NEAR, ORDERS, SLOT_BITS, ROUNDS = 4, 5, 20, 4
 SLOTS = 1 << SLOT_BITS
+#: What each predictor sees of a context: the nearest bytes, then a hash of what is before them in the word.
+SEEN = [np.uint64((1 << 8 * k) - 1) for k in range(1, NEAR + 1)] + [np.uint64((1 << 56) - 1)]
 #: Vocabulary entries, and events, that a worker holds at a time; larger tables are looked up in several passes.
 HELD = 8_000_000
 #: Events of a partition, about, and of a part of it that is handled at a time; contexts with the same two nearest bytes stay together.
@@ -54,17 +57,34 @@ def stream(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
 
 
 def packed(text: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Each byte with the ORDERS bytes before it as one integer; the end byte stands before a text."""
-    place = np.arange(len(text)) - np.repeat(off[:-1], np.diff(off))
+    """Each byte with its context as one integer: the byte, the NEAR bytes before it (the end byte before a text), 24 bits of the word.
+
+    The word's bits are 0 where the word begins within the nearest bytes, which tell it whole; else a hash of its bytes before those.
+    """
+    at = np.arange(len(text))
+    place = at - np.repeat(off[:-1], np.diff(off))
     key = text.astype(np.uint64)
-    for back in range(1, ORDERS + 1):
+    for back in range(1, NEAR + 1):
         earlier = np.full(len(text), END, np.uint64)
         earlier[back:] = text[: len(text) - back]
         earlier[place < back] = END
         key |= earlier << np.uint64(8 * back)
+    begin = np.maximum.accumulate(np.where(np.r_[True, (text[:-1] == 32) | (text[:-1] == END)], at, 0)) if len(text) else at
+    far = np.flatnonzero(at - begin >= NEAR)
+    head = Hashed(text).of(begin[far], far - NEAR)
+    key[far] |= (np.uint64(1) + head % np.uint64((1 << 24) - 1)) << np.uint64(8 * (NEAR + 1))
     return key
 
 
+def place_in_word(key: np.ndarray) -> np.ndarray:
+    """How many bytes of its word are before each byte; NEAR for that many or more."""
+    out = np.full(len(key), NEAR, np.int64)
+    for back in range(NEAR, 0, -1):
+        byte = key >> np.uint64(8 * back) & np.uint64(255)
+        out[(byte == 32) | (byte == END)] = back - 1
+    return out
+
+
 def vocabulary(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, first = words(data, off)
     return Hashed(data, fold=True).of(start, end), start, end, first
@@ -98,7 +118,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     part = h[s : s + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.view(np.int64)), pa.array(c[s : s + (1 << 18)])], ["kind", "h", "c"])
 
-    return docs.select("text", "held_out").mapInArrow(run, "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(tidy(run), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +133,7 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 def decisions(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each of the eight decisions of a byte: (slots by order x key, the bit)."""
     symbol = key & np.uint64(255)
-    contexts = [mix((key >> np.uint64(8)) & np.uint64((1 << 8 * k) - 1) ^ np.uint64(k << 56)) for k in range(1, ORDERS + 1)]
+    contexts = [mix((key >> np.uint64(8)) & seen ^ np.uint64(k << 56)) for k, seen in enumerate(SEEN, 1)]
     for depth in range(8):
         node = (np.uint64(1) << np.uint64(depth)) | (symbol >> np.uint64(8 - depth))
         slots = np.stack([(mix(c + node * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c in contexts])
@@ -148,7 +168,7 @@ def grouped(events: DataFrame, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[s:e].tobytes()], pa.binary()) for x in (h, c)], ["h", "c"])
             s = e
 
-    return events.select("h", "c").repartition(max(1, -(-count // DEALT)), near).mapInArrow(run, "h binary, c binary")
+    return events.select("h", "c").repartition(max(1, -(-count // DEALT)), near).mapInArrow(tidy(run), "h binary, c binary")
 
 
 def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -160,8 +180,8 @@ def counts_of(key: np.ndarray, c: np.ndarray, nearest: np.ndarray) -> Iterator[t
     """For each of the eight decisions of the events of a part: (counts by order x key x bit, the bit)."""
     symbol, near = (key & np.uint64(255)).astype(np.int64), (key >> np.uint64(8) & np.uint64(255)).astype(np.int64)
     sorted_ = []
-    for k in range(2, ORDERS + 1):
-        code = (key & np.uint64((1 << 8 * (k + 1)) - 1)).astype(np.int64)
+    for seen in SEEN[1:]:
+        code = key & (seen << np.uint64(8) | np.uint64(255))
         order = np.argsort(code, kind="stable")
         sorted_.append((order, code[order], c[order]))
     for depth in range(8):
@@ -169,9 +189,9 @@ def counts_of(key: np.ndarray, c: np.ndarray, nearest: np.ndarray) -> Iterator[t
         n = np.zeros((ORDERS, len(key), 2))
         n[0] = nearest[near, (1 << depth) | symbol >> (8 - depth)]
         for k, (order, code, w) in enumerate(sorted_, 1):
-            node = code >> (8 - depth)
+            node = code >> np.uint64(8 - depth)
             at = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            one, both = np.add.reduceat(w * (code >> (7 - depth) & 1), at), np.add.reduceat(w, at)
+            one, both = np.add.reduceat(w * (code >> np.uint64(7 - depth) & np.uint64(1)), at), np.add.reduceat(w, at)
             n[k, order] = np.repeat(np.stack([both - one, one], 1), np.diff(np.r_[at, len(code)]), axis=0)
         yield n, bit
 
@@ -185,10 +205,10 @@ class Mixer:
 
     def __init__(self, counts: np.ndarray | None = None):
         self.counts = None if counts is None else counts.astype(np.float32)
-        self.weights = np.full((4**2, ORDERS + 1), 0.35)
+        self.weights = np.full((4**2 * (NEAR + 1), ORDERS + 1), 0.28)
         self.weights[:, ORDERS] = 0.0
         self.first = self.weights.copy()
-        self.hits = np.zeros((4**2, CELLS, 2))
+        self.hits = np.zeros((len(self.weights), CELLS, 2))
         centre = squash((np.arange(CELLS) - CELLS / 2 + 0.5) / CELLS * 16)
         self.hits[:, :, 1], self.hits[:, :, 0] = 8 * centre, 8 * (1 - centre)
 
@@ -196,12 +216,12 @@ class Mixer:
         """orders x decisions x 2: the tables' counts."""
         return np.stack([self.counts[k, slots[k]] for k in range(ORDERS)])
 
-    def inputs(self, n: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(log-odds by order, gate) of decisions from their counts; leave: the bit whose own count is left out, while learning."""
+    def inputs(self, n: np.ndarray, place: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(log-odds by order, gate) of decisions from their counts and places in words; leave: the bit whose own count is left out, while learning."""
         if leave is not None:
             n[:, np.arange(n.shape[1]), leave] = np.maximum(0, n[:, np.arange(n.shape[1]), leave] - 1)
         x = np.log((n[:, :, 1] + PRIOR) / (n[:, :, 0] + PRIOR))
-        gate = np.searchsorted(GATES, n[-1].sum(1), "right") * 4 + np.searchsorted(GATES, n[-2].sum(1), "right")
+        gate = place * 16 + np.searchsorted(GATES, n[-1].sum(1), "right") * 4 + np.searchsorted(GATES, n[-2].sum(1), "right")
         return np.vstack([x, np.ones(x.shape[1])]), gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +236,7 @@ class Mixer:
         """One online pass over a stream of events, a small batch at a time."""
         for s in range(0, len(key), batch):
             for slots, bit in decisions(key[s : s + batch]):
-                x, gate = self.inputs(self.found(slots), bit)
+                x, gate = self.inputs(self.found(slots), place_in_word(key[s : s + batch]), bit)
                 p, cell = self.mixed(x, gate)
                 step = rate * (bit - p) * x
                 size = np.bincount(gate, minlength=len(self.weights))
@@ -224,9 +244,9 @@ class Mixer:
                     self.weights[:, k] += np.bincount(gate, weights=step[k], minlength=len(self.weights)) / np.sqrt(np.maximum(1, size))
                 np.add.at(self.hits, (gate, cell, bit), 1.0)
 
-    def gradients(self, n: np.ndarray, bit: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def gradients(self, n: np.ndarray, place: np.ndarray, bit: np.ndarray, c: np.ndarray) -> np.ndarray:
         """gates x (gradient, curvature): sums over decisions of the log likelihood's derivatives by the weights."""
-        x, gate = self.inputs(n, bit)
+        x, gate = self.inputs(n, place, bit)
         p, _ = self.mixed(x, gate)
         rise, bend = c * (bit - p), c * p * (1 - p)
         size, k = len(self.weights), ORDERS + 1
@@ -244,21 +264,21 @@ class Mixer:
         step = np.linalg.solve(sums[:, k:].reshape(-1, k, k) + PULL * np.eye(k), rise[:, :, None])[:, :, 0]
         self.weights += step * np.minimum(1.0, STRIDE / np.maximum(np.abs(step).max(1, keepdims=True), 1e-12))
 
-    def refinements(self, n: np.ndarray, bit: np.ndarray, c: np.ndarray) -> np.ndarray:
+    def refinements(self, n: np.ndarray, place: np.ndarray, bit: np.ndarray, c: np.ndarray) -> np.ndarray:
         """gates x cells x 2: how often each bit followed where the mix fell into a cell."""
-        x, gate = self.inputs(n, bit)
+        x, gate = self.inputs(n, place, bit)
         _, cell = self.mixed(x, gate)
         return np.bincount((gate * CELLS + cell) * 2 + bit, c, self.hits.size).reshape(self.hits.shape)
 
     def log_probability(self, key: np.ndarray) -> np.ndarray:
         """log10 of each byte's probability in its context."""
-        return self.log_probability_of(((self.found(slots), bit) for slots, bit in decisions(key)), len(key))
+        return self.log_probability_of(((self.found(slots), bit) for slots, bit in decisions(key)), place_in_word(key))
 
-    def log_probability_of(self, counts: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    def log_probability_of(self, counts: Iterator[tuple[np.ndarray, np.ndarray]], place: np.ndarray) -> np.ndarray:
         """The same for events whose eight decisions have these counts."""
-        total = np.zeros(size)
+        total = np.zeros(len(place))
         for n, bit in counts:
-            x, gate = self.inputs(n)
+            x, gate = self.inputs(n, place)
             p, cell = self.mixed(x, gate)
             q = self.refined(p, gate, cell)
             total += np.log10(np.where(bit == 1, q, 1 - q))
@@ -275,7 +295,7 @@ def totalled(rows: DataFrame, add, shape: tuple[int, ...]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["data"])
 
     total = np.zeros(shape)
-    for r in rows.mapInArrow(run, "data binary").toLocalIterator(prefetchPartitions=True):
+    for r in rows.mapInArrow(tidy(run), "data binary").toLocalIterator(prefetchPartitions=True):
         total += np.frombuffer(r["data"]).reshape(shape)
     return total
 
@@ -292,8 +312,9 @@ def learned(events: DataFrame, nearest: np.ndarray) -> Mixer:
             total = 0.0
             for key, c in parts_of(batch):
                 seen = c > 0
+                place = place_in_word(key)[seen]
                 for n, bit in counts_of(key, c, near):
-                    total = total + (m.refinements if last else m.gradients)(n[:, seen], bit[seen], c[seen])
+                    total = total + (m.refinements if last else m.gradients)(n[:, seen], place, bit[seen], c[seen])
             return total
 
         sums = totalled(events, add, mixer.hits.shape if last else (len(mixer.weights), (ORDERS + 1) * (ORDERS + 2)))
@@ -313,10 +334,10 @@ def event_scores(events: DataFrame, mixer: Mixer, nearest: np.ndarray) -> DataFr
         m, near = shared.value
         for batch in batches:
             for key, c in parts_of(batch):
-                lp = m.log_probability_of(counts_of(key, c, near), len(key)).astype(np.float32)
+                lp = m.log_probability_of(counts_of(key, c, near), place_in_word(key)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lp)], ["h", "lp"])
 
-    return events.mapInArrow(run, "h long, lp float")
+    return events.mapInArrow(tidy(run), "h long, lp float")
 
 
 def gathered(rows: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +348,7 @@ def gathered(rows: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], ["h", "v"])
 
     h, v = [np.zeros(0, np.uint64)], [np.zeros(0, kind)]
-    for r in rows.mapInArrow(run, "h binary, v binary").toLocalIterator():
+    for r in rows.mapInArrow(tidy(run), "h binary, v binary").toLocalIterator():
         h.append(np.frombuffer(r["h"], np.uint64))
         v.append(np.frombuffer(r["v"], kind))
     known = np.concatenate(h)
@@ -402,7 +423,7 @@ def mixing_scores(docs: DataFrame, held: int = HELD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(x.split()[0] for x in OUT.split(", "))])
 
         schema = f"doc_id {kind}, {OUT}" if last else f"doc_id {kind}, text string, held_out boolean, known long, logs double, score double"
-        scored = scored.mapInArrow(run, schema)
+        scored = scored.mapInArrow(tidy(run), schema)
         if not last:
             scored = stash(scored, "part")
     return scored

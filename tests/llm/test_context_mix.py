@@ -84,7 +84,7 @@ def test_mixer_learns_from_every_training_byte(spark):
     assert (mixer.hits - C.Mixer().hits).sum() == pytest.approx(8 * c.sum())
     again = C.Mixer()
     for _ in range(C.ROUNDS):
-        again.stepped(sum(again.gradients(n[:, c > 0], b[c > 0], c[c > 0]) for n, b in C.counts_of(key.astype(np.uint64), c.astype(float), nearest)))
+        again.stepped(sum(again.gradients(n[:, c > 0], C.place_in_word(key.astype(np.uint64))[c > 0], b[c > 0], c[c > 0]) for n, b in C.counts_of(key.astype(np.uint64), c.astype(float), nearest)))
     assert mixer.weights == pytest.approx(again.weights, abs=1e-6)
 
 
@@ -92,3 +92,29 @@ def test_scores_do_not_depend_on_passes(spark):
     df = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)]) for i in range(30)], "doc_id long, text string")
     a, b = ({r["doc_id"]: r["score"] for r in C.mixing_scores(df, held).collect()} for held in (1000, 60))
     assert a == pytest.approx(b)
+
+
+def test_keys_tell_the_word_so_far_apart():
+    text = b"abcdefgh xbcdefgh bcdefgh \n"
+    data = np.frombuffer(text, np.uint8)
+    key = C.packed(data, np.array([0, len(data)]))
+    at = {w: i for i, w in ((7, "abcdefgh"), (16, "xbcdefgh"), (24, "bcdefgh"))}
+    near = np.uint64((1 << 40) - 1)
+    assert len({int(key[i] & near) for i in at.values()}) == 1 and len({int(key[i]) for i in at.values()}) == 3
+    want, place = [], 0
+    for c in text:
+        want.append(min(place, 4))
+        place = 0 if c in b" \n" else place + 1
+    assert C.place_in_word(key).tolist() == want
+
+
+def test_scores_beat_the_base_on_most_held_out_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = [(d, " ".join(rng.choices(words, weights, k=150) + [words[0] + str(d)])) for d in range(600)]
+    got = C.mixing_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    out = [r for r in got if r["held_out"]]
+    assert len(out) > 40 and sum(r["score"] > r["base_score"] for r in out) > 0.8 * len(out)
