@@ -30,8 +30,12 @@ APART_WORDS = frozenset(
 HOLDS = frozenset("article main".split())
 HOLDS_WORDS = frozenset("article main content post story entry".split())
 CLOSED_BY = {"p": frozenset("p"), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "tr": frozenset(["tr", "td", "th", "p"])}
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A quote begins a value only behind an equals sign; elsewhere it is a letter like any other.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"(?<![^\s/\"'])(class|id|role|hidden|style|aria-hidden)(?![^\s=/])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Parts of names that turn the word before them round; endings that are written together with a word.
+NEGATED = frozenset("free less".split())
+ENDINGS = ("list", "lists", "box", "form", "area", "section", "wrap", "wrapper", "block", "bar", "item", "items", "container", "text", "body", "left", "right", "links", "widget", "panel")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "inside", "heading", "listed")
 
 
@@ -43,41 +47,76 @@ class Block:
         self.apart, self.inside, self.heading, self.listed = apart, inside, heading, listed
 
 
+def _parts(names: str) -> set[str]:
+    """The words of class, id or role names: parts at hyphens, digits and capitals, a known ending cut off, without those that are negated."""
+    out: set[str] = set()
+    for name in names.split():
+        parts = [x.lower() for x in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)]
+        for part, then in zip(parts, [*parts[1:], ""], strict=True):
+            if then in NEGATED:
+                continue
+            out.add(part)
+            for end in ENDINGS:
+                if part.endswith(end) and part[: -len(end)] in APART_WORDS:
+                    out.add(part[: -len(end)])
+    return out
+
+
 def _kinds(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     """(apart, holds the article, hidden) of an element by its name, class, id and role."""
     tokens: set[str] = set()
     hidden = False
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "aria-hidden" and value == "true":
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name == "aria-hidden" and value.lower() == "true":
             hidden = True
         elif name in ("class", "id", "role"):
-            tokens.update(re.findall("[a-z]+", value))
+            tokens |= _parts(value)
     whole = tag in ("html", "body")
     holds = tag in HOLDS or not whole and bool(tokens & HOLDS_WORDS) and not tokens & APART_WORDS
     return tag in APART or not (whole or tag in HOLDS) and bool(tokens & APART_WORDS), holds, hidden
 
 
+class _Place:
+    """An open element: whether it is apart, inside the article, hidden; all as the text in it is."""
+
+    __slots__ = ("tag", "apart", "inside", "hidden")
+
+    def __init__(self, tag: str, apart: bool, inside: bool, hidden: bool):
+        self.tag, self.apart, self.inside, self.hidden = tag, apart, inside, hidden
+
+
 def blocks(page: str) -> list[Block]:
-    """The flat blocks of a page that hold text, in page order."""
+    """The flat blocks of a page that hold text, in page order. Text of a hidden element is left out up to that element's own end."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # element, apart, inside the article
+    stack = [_Place("", False, False, False)]
     block: Block | None = None
-    links = at = 0
+    linked_at = at = 0  # open elements where a link began; 0 outside of links
     n = len(page)
 
     def put(text: str) -> None:
         nonlocal block
+        if stack[-1].hidden:
+            return
         if block is None:
             if not text or text.isspace():
                 return
-            names = {x[0] for x in stack}
-            block = Block(stack[-1][1], stack[-1][2], bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"}))
+            names = {x.tag for x in stack}
+            block = Block(stack[-1].apart, stack[-1].inside, bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}), bool(names & {"li", "td", "th", "dt", "dd"}))
             found.append(block)
         block.parts.append(text)
-        if links:
+        if linked_at:
             block.linked.append(text)
 
+    def close(tag: str) -> None:
+        nonlocal linked_at
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag == tag:
+                del stack[k:]
+                break
+        if linked_at > len(stack):
+            linked_at = 0
+
     while at < n:
         m = MARKUP.search(page, at)
         put(page[at : m.start() if m else n])
@@ -87,10 +126,14 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing = bool(m[1])
+        closing, above = bool(m[1]), stack[-1]
         if tag in INLINE:
             if tag == "a":
-                links = 0 if closing else 1
+                linked_at = 0 if closing else len(stack)
+            if closing and above.hidden:
+                close(tag)
+            elif not closing and tag not in VOID and (above.hidden or _kinds(tag, m[3])[2]):
+                stack.append(_Place(tag, above.apart, above.inside, True))
             continue
         if tag == "br":
             put(" ")
@@ -106,26 +149,19 @@ def blocks(page: str) -> list[Block]:
             else:
                 block = None if tag not in ("script", "style", "noscript") else block
             continue
-        block, links = None, 0
+        block = None
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            close(tag)
             continue
-        while len(stack) > 1 and stack[-1][0] in CLOSED_BY.get(tag, CLOSED_BY["p"]):
-            stack.pop()
-        apart, holds, hidden = _kinds(tag, m[3])
+        while len(stack) > 1 and stack[-1].tag in CLOSED_BY.get(tag, CLOSED_BY["p"]):
+            close(stack[-1].tag)
         above = stack[-1]
-        if tag == "header" and above[2]:
+        apart, holds, hidden = _kinds(tag, m[3])
+        if tag == "header" and above.inside:
             apart = False  # an article's own header holds its title
-        if hidden:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else at
-            continue
-        stack.append((tag, above[1] or apart, above[2] or holds))
+        stack.append(_Place(tag, above.apart or apart, above.inside or holds, above.hidden or hidden))
     out = []
     for b in found:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
@@ -164,6 +200,11 @@ LABELLED = (
     """<body><article><header><h1>+News of the harbour</h1></header><p>+No.</p><p>+Two ships came in during the night with grain on board.</p><div class="share">-Tell your friends</div><p>+<a>A paragraph that is a link as a whole</a></p><blockquote>+We were glad to see land.</blockquote>
     <div class="advert">-Cheap ferries all year round, book now and save a lot of money on the way</div><p>+They leave on Monday.</p><div class="related"><a>-More about ships</a><a>-More about grain</a></div></article><div>-A long line outside of the article that says nothing about it but has many words</div></body>""",
     """<body><header>-Site name and a slogan that is rather long for what it says</header><div class="content"><h1>+Title</h1><p>+Text</p><p>+More text of a few words</p><table><tr><td>+Cell one</td><td>+Cell two</td></tr></table></div><div>-Last changed today</div><div>-Some closing words of the site which are the same on every page that it has</div></body>""",
+    """<body><div><a><div>-Home</div></a><a><div>-Shop</div></a></div><div id="commentlist"><p>-Nice text, I read it all and sent it to a friend of mine who likes such things too</p></div>
+    <div class="ad-free-story"><h2>+Salt</h2><p>+Salt was dear once, for it kept meat and fish through the winter and had to be brought from far away by cart.</p><p>+See the <a>old road</a> too.</p></div>
+    <div><a><p>-Another story that you may like</p></a><a><p>-One more story from our archive of stories</p></a></div><div>-Terms</div></body>""",
+    """<body><table><tr><td><a>-News</a></td><td><a>-Maps</a></td></tr></table><div><h3>+The mill</h3><p>+The mill stands by the brook, and its wheel has not turned for thirty years, yet the miller's house is still lived in.</p>
+    <p>+<a>A short note on mills</a> is kept in the hall, where guests may read it while they wait for their bread to be baked.</p><p>+Old stones.</p><p>+They were cut in the hills and came down the river on rafts in the spring, when the water was high.</p></div><div><a>-Back to the start</a></div></body>""",
     """<article><p>+Alone</p></article>""",
     """<body><nav><a>-Up</a></nav><article><h1>+A name</h1><p>+Few words here</p><p>+And the page is cut off""",
     """<p>+A page that is nothing but one paragraph of text, without any menu before it or footer after it, is all article.</p>""",

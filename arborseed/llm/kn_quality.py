@@ -20,7 +20,7 @@ from .common import Hashed, chunks, drop_stash, grams, mix, per_row, stash, text
 from .context_mix import gathered, looked_up
 
 #: Characters of an n-gram; n-grams that a worker holds at a time; half width of a band in interquartile ranges, and its least value in nats.
-ORDER, HELD, WIDTH, LEAST = 4, 4_000_000, 6.0, 0.15
+ORDER, HELD, WIDTH, LEAST = 4, 4_000_000, 4.0, 0.1
 #: Symbols of 16 bits: what the lowest order is interpolated with.
 SYMBOL_KINDS = 1 << 16
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"

@@ -160,11 +160,23 @@ def test_secrets_and_the_ledger(spark):
     ("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One\n two<script>x('</p>')</script><p>Three <b>fo</b>ur.</article><footer>End</footer>", "T & U One two Three four."),
     ("<body><div class='sidebar'><p>Not this one here</p></div><main><p>Yes</p><div class='comments'><p>Nor this</p></div></main><form>No</form>", "Yes"),
     ("<article><p>Cut off &am", "Cut off &am"),
+    ("<article><div hidden><div>a</div>leak</div><p>ok</p></article>", "ok"),
+    ("<article><p>one <span hidden>no <span>not</span> leak</span>two</p><p style='Display : none'>gone<p>three</article>", "one two three"),
+    ("<article><p title=John's>Text stays</p><p>kept don't end</p><p data-x='a > b'>and this</p></article>", "Text stays kept don't end and this"),
+    ("<div class='ad-free-story'><p>A story without adverts has quite a number of words in its first paragraph, and some more.</p></div><div class='ad-box'><p>Buy it now</p></div>",
+     "A story without adverts has quite a number of words in its first paragraph, and some more."),
+    ("<article><p>The text of the article.</p><div id='commentlist'><p>A reader says this about it.</p></div></article>", "The text of the article."),
+    ("<article>" + "<p>long &lt;text&gt;</p>" * 20_000 + "</article>", " ".join(["long <text>"] * 20_000)),
 ])
 def test_main_text(page, want):
     assert html_blocks.main_text(page) == want
 
 
+def test_links_around_blocks_count_as_links():
+    page = html_blocks.blocks("<div><a href=x><div>All of it</div></a><p>none of <a href=y>it</a> here</p><div><a>open link</div><p>not a link</p></div>")
+    assert [(b.text, b.links) for b in page] == [("All of it", 1.0), ("none of it here", 0.25), ("open link", 1.0), ("not a link", 0.0)]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é x</article>", 3), (None, None, None, 4)], "page_id long, url string, html string, text int")
     assert sorted((tuple(r) for r in html_blocks.extract(df).collect()), key=str) == sorted([(1, "u", "é x", 3), (None, None, "", 0)], key=str)
