@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, grams, Hashed, mix, per_row, stash, summed, text_column, words
+from .common import Hashed, chunks, drop_stash, fresh, grams, mix, stash, summed, text_column, tidy, words
 
 #: Slots of each n-gram length; labelled rows that the target model and the cut are fitted on at most; see importance_weights.
 SLOTS, MAX_LABELS = 1 << 20, 20_000
@@ -102,9 +103,10 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> np.nda
     return log_ratios(counts[: 2 * SLOTS], counts[2 * SLOTS :])
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFrame:
-    """The given columns of every row of docs, and log_weight."""
+def scored(docs: DataFrame, ratios: np.ndarray, columns: list[str], weight: str = "log_weight") -> DataFrame:
+    """The given columns of every row of docs, and its log weight."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # 8 MB by SLOTS
+    names = [f"c{i}" for i in range(len(columns))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,15 +114,16 @@ def scored(docs: DataFrame, ratios: np.ndarray, columns: list[str]) -> DataFrame
             for i, j, data, off in chunks(batch.column(0)):
                 slot, row = slots(data, off)
                 out[i:j] = np.bincount(row, weights=shared.value[slot], minlength=j - i)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.round(out, 9))], [*columns, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.round(out, 9))], [*names, "w"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(text_column(docs).alias("_text"), *columns).mapInArrow(score, f"{schema}, log_weight double")
+    schema = StructType([*(StructField(n, docs.schema[c].dataType) for n, c in zip(names, columns, strict=True)), StructField("w", DoubleType())])
+    rows = docs.select(text_column(docs).alias("t"), *(docs[c].alias(n) for n, c in zip(names, columns, strict=True)))
+    return rows.mapInArrow(tidy(score), schema).toDF(*columns, weight)
 
 
-def gumbel_key(rows: DataFrame, seed: int):
+def gumbel_key(rows: DataFrame, seed: int, weight: str = "log_weight"):
     unit = (F.pmod(F.xxhash64(F.lit(seed), rows["doc_id"]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return rows["log_weight"] - F.log(-F.log(unit))
+    return rows[weight] - F.log(-F.log(unit))
 
 
 def drawn(docs: DataFrame, labels: DataFrame, ratios: np.ndarray, most: int, k: int | None, seed: int) -> tuple[DataFrame, float]:
@@ -148,8 +151,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS
 
 
 def sampled_documents(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS, seed: int = 20) -> DataFrame:
-    """The rows and columns of docs that importance_sample keeps; they are scored again rather than shuffled."""
-    ratios = fitted(docs, labels, most)
-    _, least = drawn(docs, labels, ratios, most, None, seed)
-    rows = scored(docs, ratios, docs.columns)
-    return rows.where(gumbel_key(rows, seed) >= least).drop("log_weight")
+    """The rows and columns of docs, whatever their names, that importance_sample keeps; they are scored again rather than shuffled."""
+    ratios, weight = fitted(docs, labels, most), fresh("log_weight", docs.columns)
+    keyed, least = drawn(docs, labels, ratios, most, None, seed)
+    drop_stash(keyed)
+    rows = scored(docs, ratios, docs.columns, weight)
+    return rows.where(gumbel_key(rows, seed, weight) >= least).drop(weight)
