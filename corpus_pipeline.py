@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborseed.llm import importance, jaccard_join, line_spread, lsi_decontam, packing
-from arborseed.llm.common import drop_stash, stash
 from arborseed.llm.queries import table, tokenizer_json
+from arborseed.storage import drop_stash, fresh, stash
 
 #: Words of a shingle and per cent of overlap of near duplicates.
 WORDS, PERCENT = 5, 80
@@ -27,8 +27,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: of each component of near duplicates the document with the least id stays, and so does any row without id."""
     found = jaccard_join.jaccard_components(docs, WORDS, PERCENT)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    name = fresh("gone_id", docs.columns)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
