@@ -1,10 +1,11 @@
 """N-gram Jaccard join: components of documents whose shingle sets overlap by a threshold, by rare-first prefix filtering.
 
-Documents of one set are one node. Shingles are ordered rare first, by the corpus counts of their hash buckets, then by
-hash; a set's prefix is so long that two linked sets share a prefix shingle. Nodes that share one are compared under length
-and positional filters, then under a suffix filter, and verified once per pair. A frequent shingle's nodes are compared with
-two of them first, the one with the fewest rare shingles and a random one; afterwards only pairs across components are left,
-each formed at its first shared shingle. No link between components is lost, and no group is expanded into all its pairs.
+Rows of one set are one node. Shingles are ordered rare first, by the corpus counts of their hash buckets, then by hash; a set's
+prefix is so long that two linked sets share a prefix shingle. Nodes that share one are compared under length and positional
+filters, then under a suffix filter (histograms of the sets by hash range), and the few pairs left are verified on their texts
+once per pair. A shingle's nodes are compared with one of them first, the one with the fewest rare shingles; afterwards only pairs across components are
+formed, off the pivot's component with all others. No link between components is lost. The pairs formed for a shingle are at most
+its nodes times those outside of the pivot's component; they are filtered before any text is fetched, and AQE splits the joins.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, buffers, chunks, drop_stash, grams, mix, stash, summed, text_column, words
+from .common import Hashed, bitmap, buffers, chunks, drop_stash, grams, in_bitmap, mix, stash, summed, text_column, tidy, words
 
-#: Words of a shingle, per cent of the union that linked sets share, buckets of the corpus counts,
-#: slots of the filters that keep rows without a partner out of shuffles.
-N, PERCENT, BUCKETS, PRESENT = 4, 85, 1 << 20, 1 << 22
-#: Bytes of text that a worker shingles at a time.
-PASS = 1 << 19
-SETS = "doc_id long, n long, f1 long, f2 long, toks array<long>"
+#: Words of a shingle, per cent of the union that linked sets share, buckets of the corpus counts.
+N, PERCENT, BUCKETS = 4, 85, 1 << 20
+#: Bytes of text that a worker shingles at a time; shingles to a range of a set's histogram, at most.
+PASS, TO_RANGE = 1 << 19, 4
+SETS = "doc_id long, v long, n long, f1 long, f2 long, bins binary, toks array<long>"
+PAIR = ("a", "va", "b", "vb")
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -56,9 +57,26 @@ def bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
+def histograms(g: np.ndarray, r: np.ndarray, size: np.ndarray) -> pa.Array:
+    """For each row the numbers of its shingles by range of the hash, a byte each; the longer the set, the more ranges, 2**k.
+
+    A row that a byte can't hold gets none, and no pair of it is filtered.
+    """
+    bits = np.maximum(3, np.ceil(np.log2(np.maximum(size, 1) / TO_RANGE))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(1 << bits)])
+    at = first[:-1][r] + (g >> (64 - bits[r]).astype(np.uint64)).astype(np.int64)
+    c = np.bincount(at, minlength=first[-1])
+    whole = np.maximum.reduceat(c, first[:-1]) < 256 if len(size) else np.zeros(0, bool)
+    kept = np.where(whole, 1 << bits, 0)
+    data = c[np.repeat(whole, 1 << bits)].astype(np.uint8)
+    off = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(data)])
+
+
 def prefix_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: the size of its set, a 128-bit fingerprint of it, and its prefix, rare shingles first."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    """Per row of docs: a hash of its text, the size of its set, a 128-bit fingerprint and histogram of it, its prefix, rare shingles first."""
+    text = text_column(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("v"), text.alias("text"))
 
     def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
         for _, _, data, off in chunks(batch.column(0), PASS):
@@ -68,7 +86,7 @@ def prefix_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in chunks(batch.column(1), PASS):
+            for i, j, data, off in chunks(batch.column(2), PASS):
                 g, r = shingle_sets(data, off, n)
                 size = np.bincount(r, minlength=j - i)
                 f1, f2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
@@ -76,6 +94,7 @@ def prefix_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
                     at = (np.cumsum(size) - size)[size > 0]
                     f1[size > 0] = np.add.reduceat(mix(g), at)
                     f2[size > 0] = np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), at)
+                bins = histograms(g, r, size)
                 order = np.lexsort((g, counts.value[bucket(g)], r))
                 g, r = g[order], r[order]
                 place = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
@@ -83,9 +102,10 @@ def prefix_sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
                 in_prefix = place < long[r]
                 kept = np.where(size > 0, long, 0)
                 toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(g[in_prefix].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), toks], ["doc_id", "n", "f1", "f2", "toks"])
+                columns = [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bins, toks]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SETS.split(", ")])
 
-    return rows.mapInArrow(run, SETS)
+    return rows.mapInArrow(tidy(run), SETS)
 
 
 def may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
@@ -94,43 +114,65 @@ def may_link(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> C
     return length & ((100 + percent) * F.least(na - pa_, nb - pb) >= percent * (na + nb))
 
 
-def _by_bins(g: np.ndarray, r: np.ndarray, rows: int) -> np.ndarray:
-    return np.bincount(r * 16 + (g >> np.uint64(60)).astype(np.int64), minlength=rows * 16).reshape(rows, 16)
+def differences(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """How much two histograms of each pair differ in all, at the coarser one's ranges; 0 where one is missing."""
+    out = np.zeros(len(one), np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(size, axis=0).tolist():
+        if not la or not lb:
+            continue
+        at, few = np.flatnonzero((size == (la, lb)).all(1)), min(la, lb)
+        for s in range(0, len(at), max(1, PASS // max(la, lb))):
+            part = at[s : s + max(1, PASS // max(la, lb))]
+            x, y = (np.frombuffer(b"".join(side[i] for i in part), np.uint8).reshape(len(part), few, -1).sum(2, dtype=np.int64) for side in (one, two))
+            out[part] = np.abs(x - y).sum(1)
+    return out
 
 
-def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """pairs (a, b) with `linked`: a suffix filter by ranges of the hash, then the exact overlap of the two sets."""
+def near(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, va, b, vb) that pass the suffix filter: sets that overlap enough differ little in every partition of the hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in (4, 6))
+            need = -(-percent * (na + nb) // (100 + percent))
+            ok = differences(batch.column(5).to_pylist(), batch.column(7).to_pylist()) <= na + nb - 2 * need
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in range(4)], list(PAIR))
+
+    one, two = (heads.select(F.col("id").alias(f"{x}_id"), F.col("v").alias(f"{x}_v"), F.col("n").alias(f"{x}_n"), F.col("bins").alias(f"{x}_bins")) for x in "ab")
+    rows = pairs.join(one, (F.col("a") == F.col("a_id")) & (F.col("va") == F.col("a_v"))).join(two, (F.col("b") == F.col("b_id")) & (F.col("vb") == F.col("b_v")))
+    return rows.select(*PAIR, "a_n", "a_bins", "b_n", "b_bins").mapInArrow(tidy(run), "a long, va long, b long, vb long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """pairs with `linked`: the exact overlap of the two sets. Only texts of the pairs' nodes are fetched."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
-            left = buffers(batch.column(2))[1]
-            right = buffers(batch.column(3))[1]
+            left, right = buffers(batch.column(4))[1], buffers(batch.column(5))[1]
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(left + right, left[i] + right[i] + PASS, "right")) - 1)
-                sides = []
-                for k in (2, 3):
-                    data, off = buffers(batch.column(k)[i:j])
-                    sides.append(shingle_sets(data, off, n))
-                (ga, ra), (gb, rb) = sides
+                (ga, ra), (gb, rb) = (shingle_sets(*buffers(batch.column(k)[i:j]), n) for k in (4, 5))
                 na, nb = np.bincount(ra, minlength=j - i), np.bincount(rb, minlength=j - i)
-                need = -(-percent * (na + nb) // (100 + percent))
-                hamming = np.abs(_by_bins(ga, ra, j - i) - _by_bins(gb, rb, j - i)).sum(1)
-                may = hamming <= na + nb - 2 * need
-                ma, mb = may[ra], may[rb]
-                g, r = np.concatenate([ga[ma], gb[mb]]), np.concatenate([ra[ma], rb[mb]])
+                g, r = np.concatenate([ga, gb]), np.concatenate([ra, rb])
                 order = np.lexsort((g, r))
                 g, r = g[order], r[order]
                 both = np.bincount(r[1:][(g[1:] == g[:-1]) & (r[1:] == r[:-1])], minlength=j - i)
-                linked[i:j] = may & (both >= need) & (na > 0)
+                linked[i:j] = (both >= -(-percent * (na + nb) // (100 + percent))) & (na > 0)
                 i = j
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], ["a", "b", "linked"])
-
-    one = texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text"))
-    two = texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text"))
-    rows = pairs.join(one, F.col("a") == F.col("a_id")).join(two, F.col("b") == F.col("b_id")).select("a", "b", "a_text", "b_text")
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked)], [*PAIR, "linked"])
+
+    involved = stash(pairs.select(F.col("a").alias("i_id"), F.col("va").alias("i_v")).union(pairs.select("b", "vb")).distinct(), "involved")
+    text = docs.select(docs["doc_id"].cast("long").alias("id"), F.xxhash64(text_column(docs)).alias("v"), text_column(docs).alias("text"))
+    held = split_by(text, "id", involved.select("i_id"))[0].join(involved, (F.col("id") == F.col("i_id")) & (F.col("v") == F.col("i_v")), "left_semi")
+    texts = stash(held.groupBy("id", "v").agg(F.first("text").alias("text")), "texts")  # repeated rows meet within their tasks first
+    one, two = (texts.select(F.col("id").alias(f"{x}_id"), F.col("v").alias(f"{x}_v"), F.col("text").alias(f"{x}_text")) for x in "ab")
+    rows = pairs.join(one, (F.col("a") == F.col("a_id")) & (F.col("va") == F.col("a_v"))).join(two, (F.col("b") == F.col("b_id")) & (F.col("vb") == F.col("b_v")))
+    out = stash(rows.select(*PAIR, "a_text", "b_text").mapInArrow(tidy(run), "a long, va long, b long, vb long, linked boolean"), "tested")
+    drop_stash(involved, texts)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,112 +193,110 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def links(postings: DataFrame, prefixes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, root) of the linked nodes, from postings (tok, id, n, pos) of the shingles that nodes share and their prefixes (t_id, toks)."""
-    order = F.xxhash64("id")
-    pivots = postings.groupBy("tok").agg(F.min(F.struct("pos", order.alias("h"), "id", "n")).alias("p"), F.min(F.struct(order.alias("h"), "id", "n", "pos")).alias("q"))
-    cand = None
-    for name in ("p", "q"):
-        side = pivots.select(F.col("tok").alias("p_tok"), F.col(f"{name}.id").alias("p_id"), F.col(f"{name}.n").alias("p_n"), F.col(f"{name}.pos").alias("p_pos"))
-        fits = may_link(percent, F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"))
-        got = postings.join(side, (F.col("tok") == F.col("p_tok")) & (F.col("id") != F.col("p_id")) & fits)
-        got = got.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b"))
-        cand = got if cand is None else cand.union(got)
-    tested = stash(verify(cand.distinct(), texts, n, percent), "tested")
-    roots = components(tested.where("linked").select("a", "b"))
-    # What is left: pairs across components, each formed once, at its first shared shingle.
+def ordered(one: tuple[Column, Column], two: tuple[Column, Column]) -> list[Column]:
+    """A pair's columns, the smaller node first."""
+    x, y = F.struct(one[0].alias("id"), one[1].alias("v")), F.struct(two[0].alias("id"), two[1].alias("v"))
+    low, high = F.least(x, y), F.greatest(x, y)
+    return [low["id"].alias("a"), low["v"].alias("va"), high["id"].alias("b"), high["v"].alias("vb")]
+
+
+def links(postings: DataFrame, heads: DataFrame, docs: DataFrame, n: int, percent: int, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the linked ids, from postings (tok, id, v, n, pos) and heads (id, v, n, bins); known: further links (a, b)."""
+    # The node with the fewest rare shingles before the shared one is likely the least edited of near copies, so nearest to all others.
+    order = (F.col("pos"), F.xxhash64("id", "v").alias("h"))
+    pivots = postings.groupBy("tok").agg(F.min(F.struct(*order, "id", "v", "n")).alias("q"), F.count("*").alias("c")).where("c > 1")
+    pivots = stash(pivots.select(F.col("tok").alias("p_tok"), *(F.col(f"q.{x}").alias(f"p_{x}") for x in ("id", "v", "n", "pos"))), "pivots")
+    fits = may_link(percent, F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"))
+    got = postings.join(pivots, (F.col("tok") == F.col("p_tok")) & (F.col("id") != F.col("p_id")) & fits)
+    got = got.select(*ordered((F.col("id"), F.col("v")), (F.col("p_id"), F.col("p_v")))).distinct()
+    pairs = stash(near(got, heads, percent), "pairs")
+    drop_stash(pivots)
+    tested = verified(pairs, docs, n, percent)
+    drop_stash(pairs)
+    found = tested.where("linked").select("a", "b")
+    found = stash(found if known is None else found.union(known), "links")
+    roots = components(found)
+    # What is left: pairs across components.
     rooted = postings.join(roots.withColumnRenamed("node", "r_id"), F.col("id") == F.col("r_id"), "left").withColumn("root", F.coalesce("root", "id")).drop("r_id")
-    mixed = rooted.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("tok").alias("m_tok"))
-    rooted = rooted.join(mixed, F.col("tok") == F.col("m_tok"), "left_semi").join(prefixes, F.col("id") == F.col("t_id")).drop("t_id")
     rooted = stash(rooted, "rooted")
-    sizes = rooted.groupBy("tok", "root").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("tok").agg(F.max(F.struct("size", "root"))["root"].alias("main")).withColumnRenamed("tok", "m_tok")
-    few = rooted.join(main, (F.col("tok") == F.col("m_tok")) & (F.col("root") != F.col("main"))).select(*(F.col(c).alias(f"f_{c}") for c in rooted.columns), "main")
+    mixed = rooted.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(*order, "root")).alias("q")).where("low < high")
+    mixed = stash(mixed.select(F.col("tok").alias("m_tok"), F.col("q.root").alias("main")), "mixed")
+    across = stash(rooted.join(mixed, F.col("tok") == F.col("m_tok")).drop("m_tok"), "across")
+    drop_stash(rooted, mixed)
+    few = across.where(F.col("root") != F.col("main")).select(*(F.col(c).alias(f"f_{c}") for c in ("tok", "id", "v", "n", "pos", "root")))
     fits = may_link(percent, F.col("n"), F.col("pos"), F.col("f_n"), F.col("f_pos"))
-    once = (F.col("root") == F.col("main")) | (F.col("id") < F.col("f_id"))
-    first = ~F.arrays_overlap(F.slice("toks", F.lit(1), F.col("pos")), F.slice("f_toks", F.lit(1), F.col("f_pos")))
-    rest = few.join(rooted, (F.col("tok") == F.col("f_tok")) & (F.col("root") != F.col("f_root")) & once & fits & first)
-    rest = rest.select(F.least("id", "f_id").alias("a"), F.greatest("id", "f_id").alias("b")).distinct()
-    seen = tested.select(F.col("a").alias("s_a"), F.col("b").alias("s_b"))
-    rest = rest.join(seen, (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_b")), "left_anti")
-    more = stash(verify(rest, texts, n, percent).where("linked"), "more")
-    found = more.select("a", "b").union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    out = components(found)
-    for x in (tested, roots, rooted, more):
-        drop_stash(x)
+    once = (F.col("root") == F.col("main")) | (F.struct("id", "v") < F.struct("f_id", "f_v"))
+    rest = few.join(across, (F.col("tok") == F.col("f_tok")) & (F.col("root") != F.col("f_root")) & once & fits)
+    rest = rest.select(*ordered((F.col("id"), F.col("v")), (F.col("f_id"), F.col("f_v")))).distinct()
+    seen = tested.select(*(F.col(c).alias(f"s_{c}") for c in PAIR))
+    rest = stash(near(rest, heads, percent), "pairs")
+    more = verified(rest.join(seen, [F.col(c) == F.col(f"s_{c}") for c in PAIR], "left_anti"), docs, n, percent)
+    drop_stash(across, rest, tested)
+    out = components(more.where("linked").select("a", "b").union(found))
+    drop_stash(roots, more, found)
     return out
 
 
-def presence(values: DataFrame, slots: int = PRESENT) -> np.ndarray:
-    """Which hash slots the values of the first column reach: a filter of fixed size before an exact join."""
-
-    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
-        total[slot_of(batch.column(0).to_numpy(), slots)] += 1
-
-    return summed(values, count, slots) > 0
-
-
-def slot_of(values: np.ndarray, slots: int) -> np.ndarray:
-    return (mix(values.astype(np.int64).view(np.uint64)) % np.uint64(slots)).astype(np.int64)
-
-
 def split_by(rows: DataFrame, column: str, values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose column may be among the values, rows for which it surely isn't): only the first need an exact join."""
-    held = rows.sparkSession.sparkContext.broadcast(presence(values))  # a byte for each of PRESENT slots
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(values.select(F.xxhash64(values.columns[0]))))  # 8 MB
 
     @F.pandas_udf("boolean")
     def reached(x: pd.Series) -> pd.Series:
-        return pd.Series(held.value[slot_of(x.fillna(0).to_numpy(), len(held.value))])
+        return pd.Series(in_bitmap(held.value, x.to_numpy()))
 
-    known = F.col(column).isNotNull()
-    return rows.where(known & reached(F.col(column))), rows.where(~(known & reached(F.col(column))))
+    maybe = F.col(column).isNotNull() & reached(F.xxhash64(column))
+    return rows.where(maybe), rows.where(~maybe)
 
 
 def shared_postings(heads: DataFrame) -> DataFrame:
-    """(tok, id, n, pos) of the prefix shingles that two or more of heads(id, n, toks) have."""
-    shared = stash(heads.select(F.explode("toks").alias("s_tok")).groupBy("s_tok").agg(F.count("*").alias("c")).where("c > 1").select("s_tok"), "shared")
-    held = heads.sparkSession.sparkContext.broadcast(presence(shared))  # a byte for each of PRESENT slots
+    """(tok, id, v, n, pos) of the prefix shingles that two or more of heads(id, v, n, toks) have, and of some that one has."""
+    shared = heads.select(F.explode("toks").alias("s_tok")).groupBy("s_tok").agg(F.count("*").alias("c")).where("c > 1").select("s_tok")
+    held = heads.sparkSession.sparkContext.broadcast(bitmap(shared))  # 8 MB
+    names = ["tok", "id", "v", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks = batch.column(2)
+            toks = batch.column(3)
             size = np.diff(toks.offsets.to_numpy())
             values = toks.flatten().to_numpy()
-            at = np.flatnonzero(held.value[slot_of(values, len(held.value))])
+            at = np.flatnonzero(in_bitmap(held.value, values))
             row = np.repeat(np.arange(len(size)), size)[at]
             pos = at - (np.cumsum(size) - size)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32))], ["tok", "id", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(values[at]), *(batch.column(k).take(pa.array(row)) for k in range(3)), pa.array(pos.astype(np.int32))], names)
 
-    rows = heads.select("id", "n", "toks").mapInArrow(run, "tok long, id long, n long, pos int")
-    return stash(rows.join(shared, F.col("tok") == F.col("s_tok"), "left_semi"), "postings")
+    return stash(heads.select("id", "v", "n", "toks").mapInArrow(tidy(run), "tok long, id long, v long, n long, pos int"), "postings")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Per row of docs (doc_id, text): n_shingles and component_id, the least doc_id that its links reach.
 
-    Null, empty and wordless texts have no shingles and stand alone; rows of one doc_id count as one document; a row without
-    doc_id has a null component and links nothing. Repeated rows give a row each; an empty table gives no rows; other
-    columns are ignored.
+    Null, empty and wordless texts have no shingles and link nothing; rows of one doc_id are one document and share a component,
+    whatever their texts, and each row has its own n_shingles; a row without doc_id has a null component and links nothing.
+    Repeated rows give a row each; an empty table gives no rows; other columns are ignored.
     """
     sets = stash(prefix_sets(docs, n, percent), "sets")
-    known = sets.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     key = ["f1", "f2", "n"]
+    named = sets.where(F.col("doc_id").isNotNull())
+    known = named.where(F.col("n") > 0)
     nodes = stash(known.groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "nodes")
-    renamed = nodes.select(*(F.col(c).alias(f"k_{c}") for c in key), "id", "rows")
+    # Rows whose set no other row has are nodes as they are; of the others, each set's least row.
+    maybe, alone = split_by(known, "f1", nodes.where("rows > 1").select("f1"))
+    least = maybe.groupBy(*key).agg(F.min(F.struct("doc_id", "v", "bins", "toks")).alias("m")).select("m.doc_id", "m.v", "n", "m.bins", "m.toks")
+    heads = stash(alone.select("doc_id", "v", "n", "bins", "toks").union(least).withColumnRenamed("doc_id", "id"), "heads")
+    # Ids with several texts link those texts' nodes.
+    several = named.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select(F.col("doc_id").alias("m_id"))
+    several = stash(several, "several")
+    renamed = nodes.select(*(F.col(c).alias(f"k_{c}") for c in key), "id")
     same = [(F.col(c) == F.col(f"k_{c}")) for c in key]
-    copies = known.select("doc_id", *key).join(renamed.where("rows > 1"), [*same, F.col("doc_id") != F.col("id")]).select(F.col("doc_id").alias("c_id"))
-    copies = stash(copies.distinct(), "copies")
-    maybe, surely = split_by(known, "doc_id", copies)
-    heads = surely.union(maybe.join(copies, F.col("doc_id") == F.col("c_id"), "left_anti")).select(F.col("doc_id").alias("id"), "n", "toks")
+    some = bool(several.limit(1).count())
+    own = known.join(several, F.col("doc_id") == F.col("m_id"), "left_semi").join(renamed, same).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct() if some else None
     postings = shared_postings(heads)
-    involved = stash(postings.select(F.col("id").alias("i_id")).distinct(), "involved")
-    here = F.col("id") == F.col("i_id")
-    prefixes = split_by(heads, "id", involved)[0].join(involved, here, "left_semi").select(F.col("id").alias("t_id"), "toks").dropDuplicates(["t_id"])
-    text = docs.select(docs["doc_id"].cast("long").alias("id"), text_column(docs).alias("text"))
-    texts = stash(split_by(text, "id", involved)[0].join(involved, here, "left_semi").dropDuplicates(["id"]), "texts")
-    roots = links(postings, stash(prefixes, "prefixes"), texts, n, percent)
-    named = nodes.join(roots, F.col("id") == F.col("node"), "left").select(*(F.col(c).alias(f"k_{c}") for c in key), F.coalesce("root", "id").alias("component"))
-    for x in (postings, involved, texts):
-        drop_stash(x)
-    out = sets.select("doc_id", *key).join(named, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    roots = links(postings, heads.drop("toks"), docs, n, percent, own)
+    drop_stash(postings, heads, several)
+    component = renamed.join(roots, F.col("id") == F.col("node"), "left").select(*(f"k_{c}" for c in key), F.coalesce("root", "id").alias("component"))
+    out = sets.select("doc_id", *key).join(component, same, "left")
+    if some:
+        out = out.join(roots.select(F.col("node").alias("own_id"), F.col("root").alias("own_root")), F.col("doc_id") == F.col("own_id"), "left")
+    found = F.coalesce(*([F.col("own_root")] if some else []), F.col("component"), F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), found).alias("component_id"))
