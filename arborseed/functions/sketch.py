@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 M = (1 << 64) - 1
@@ -25,71 +28,175 @@ def rol(x: np.ndarray, r: int) -> np.ndarray:
 
 
 def window_hashes(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(forward, reverse-complement) hashes of all windows of n bases, each as the xor of rotated base values."""
-    count = max(0, len(code) - n + 1)
-    fwd, rev = np.zeros(count, np.uint64), np.zeros(count, np.uint64)
-    a, b = _VALUE[code], _VALUE[_OTHER[code]]
-    for j in range(n):
-        fwd ^= rol(a[j : j + count], n - 1 - j)
-        rev ^= rol(b[j : j + count], j)
-    return fwd, rev
+    """(forward, reverse-complement) hashes of all windows of n bases, each as the xor of rotated base values.
 
+    A window of n + m bases is a window of n, rotated, and the one of m behind it, so windows double up to n.
+    """
+    out = []
+    for turned, values in ((False, _VALUE[code]), (True, _VALUE[_OTHER[code]])):
+        have, size, whole, done = values, 1, None, 0
+        for bit in range(n.bit_length()):
+            if n >> bit & 1:
+                count = max(0, len(code) - done - size + 1)
+                if whole is None:
+                    whole = have[:count]
+                elif turned:
+                    whole = whole[:count] ^ rol(have[done : done + count], done)
+                else:
+                    whole = rol(whole[:count], size) ^ have[done : done + count]
+                done += size
+            if n >> (bit + 1):
+                count = max(0, len(code) - 2 * size + 1)
+                have = have[:count] ^ rol(have[size : size + count], size) if turned else rol(have[:count], size) ^ have[size : size + count]
+                size *= 2
+        out.append(whole)
+    return out[0], out[1]
+
+
+def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w values in a row."""
+    size, count = 1, len(h) - w + 1
+    if count <= 0:
+        return h[:0]
+    while 2 * size <= w:
+        h = np.minimum(h[:-size], h[size:])
+        size *= 2
+    return np.minimum(h[:count], h[w - size : w - size + count])
 
-def syncmers(seq: str, k: int, s: int, t: int = 0, opened: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical hash, whether the reverse strand's was smaller, position) of the syncmers of a sequence.
+
+def syncmers_of(code: np.ndarray, k: int, s: int, t: int = 0, opened: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical hash, whether the reverse strand's was smaller, position) of the syncmers of base codes; 4 is no base.
 
     A window is one if on either strand its least s-mer hash (ties count) is at offset t of that strand, or at k-s-t unless
     opened. Windows with another letter than a base and palindromes are dropped.
     """
-    code = _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
     count = len(code) - k + 1
     if count <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     fwd, rev = window_hashes(code, k)
     small_f, small_r = window_hashes(code, s)
     w = k - s + 1
-    f = np.lib.stride_tricks.sliding_window_view(small_f, w)
-    r = np.lib.stride_tricks.sliding_window_view(small_r, w)[:, ::-1]  # that strand's own order
-    hit = (f[:, t] == f.min(1)) | (r[:, t] == r.min(1))
+    least_f, least_r = sliding_least(small_f, w), sliding_least(small_r, w)
+    hit = (small_f[t : t + count] == least_f) | (small_r[w - 1 - t : w - 1 - t + count] == least_r)  # each strand from its own end
     if not opened:
-        hit |= (f[:, w - 1 - t] == f.min(1)) | (r[:, w - 1 - t] == r.min(1))
+        hit |= (small_f[w - 1 - t : w - 1 - t + count] == least_f) | (small_r[t : t + count] == least_r)
     bad = np.concatenate([[0], np.cumsum(code == 4)])
-    hit &= (bad[k:] - bad[:-k] == 0) & (fwd != rev)
+    hit &= (bad[k:] == bad[:-k]) & (fwd != rev)
     at = np.flatnonzero(hit)
     return np.minimum(fwd, rev)[at], (rev < fwd)[at], at
 
 
-def kminmers(seq: str, k: int, s: int, t: int = 0, l: int = 3, opened: bool = False) -> list[tuple[int, bool, int, int]]:  # noqa: E741
-    """(hash, rev, begin, end) over l consecutive syncmers; the smaller of both reading orders; l of 0 or 1: the syncmers."""
-    h, rev, pos = syncmers(seq, k, s, t, opened)
+def codes(seq: str) -> np.ndarray:
+    return _CODE[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+
+
+def syncmers(seq: str, k: int, s: int, t: int = 0, opened: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """syncmers_of a sequence."""
+    return syncmers_of(codes(seq), k, s, t, opened)
+
+
+def folded(h: np.ndarray, rev: np.ndarray, pos: np.ndarray, row: np.ndarray, k: int, l: int) -> tuple[np.ndarray, ...]:  # noqa: E741
+    """(hash, rev, begin, end, row) over l consecutive syncmers of a row; the smaller of both reading orders, equal ones are dropped."""
     if l <= 1:
-        return [(int(a), bool(b), int(p), int(p) + k - 1) for a, b, p in zip(h, rev, pos, strict=True)]
-    n = len(h) - l + 1
-    if n <= 0:
-        return []
+        return h, rev, pos, pos + k - 1, row
+    n = max(0, len(h) - l + 1)
     f, r = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for j in range(l):
         f = rol(f, k) ^ h[j : j + n]
         r = rol(r, k) ^ h[l - 1 - j : l - 1 - j + n]
-    return [(int(min(a, b)), bool(b < a), int(p), int(q) + k - 1) for a, b, p, q in zip(f, r, pos, pos[l - 1 :], strict=False) if a != b]
+    ok = (f != r) & (row[:n] == row[l - 1 : l - 1 + n])
+    return np.minimum(f, r)[ok], (r < f)[ok], pos[:n][ok], (pos[l - 1 : l - 1 + n] + k - 1)[ok], row[:n][ok]
+
+
+def kminmers(seq: str, k: int, s: int, t: int = 0, l: int = 3, opened: bool = False) -> list[tuple[int, bool, int, int]]:  # noqa: E741
+    """(hash, rev, begin, end) over l consecutive syncmers; l of 0 or 1: the syncmers."""
+    h, rev, pos = syncmers(seq, k, s, t, opened)
+    return [(int(a), bool(b), int(c), int(d)) for a, b, c, d, _ in zip(*folded(h, rev, pos, np.zeros(len(h), np.int64), k, l), strict=True)]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketch(column, k: int = 19, s: int = 8, t: int = 0, l: int = 3, opened: bool = False):  # noqa: E741
-    """An Arrow UDF: the k-min-mers of each sequence."""
+def checked(k: int, s: int, t: int, l: int) -> None:  # noqa: E741
     if not (0 < s <= k and 0 <= t <= k - s and l >= 0):
         raise ValueError("needs 0 < s <= k, 0 <= t <= k - s and l >= 0")
 
-    @F.pandas_udf(SEEDS)
-    def run(seqs: pd.Series) -> pd.Series:
-        return seqs.map(lambda x: [{"hash": signed(h), "rev": r, "pos": b, "end": e} for h, r, b, e in kminmers(x or "", k, s, t, l, opened)])
+
+#: Bases that one pass over a batch handles; a longer sequence is a pass of its own.
+PASS = 1 << 20
+
+
+def sketched(column: pa.Array, k: int, s: int, t: int, l: int, opened: bool) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, ...]]]:  # noqa: E741
+    """(first row, end row, offsets, k-min-mers with positions in their rows) of runs of an Arrow string column, a run at a time."""
+    column = column.fill_null("").cast(pa.large_string())
+    raw, n, first = column.buffers(), len(column), column.offset
+    off = np.frombuffer(raw[1], np.int64, count=first + n + 1)[first:] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None and raw[2].size else np.zeros(0, np.uint8)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + PASS, "right")) - 1)
+        here = off[i : j + 1] - off[i] + np.arange(j - i + 1)  # a letter that is no base stands behind each sequence
+        code = np.full(here[-1], 4, np.int64)
+        inside = np.ones(len(code), bool)
+        inside[here[1:] - 1] = False
+        code[inside] = _CODE[data[off[i] : off[j]]]
+        h, rev, pos = syncmers_of(code, k, s, t, opened)
+        row = np.searchsorted(here, pos, "right") - 1
+        h, rev, begin, end, row = folded(h, rev, pos, row, k, l)
+        yield i, j, row, (h, rev, begin - here[row], end - here[row])
+        i = j
+
+
+def sketch(column, k: int = 19, s: int = 8, t: int = 0, l: int = 3, opened: bool = False):  # noqa: E741
+    """An Arrow UDF: the k-min-mers of each sequence."""
+    checked(k, s, t, l)
+
+    @F.arrow_udf(SEEDS)
+    def run(seqs: pa.Array) -> pa.Array:
+        parts, sizes = [[], [], [], []], [np.zeros(1, np.int32)]
+        for i, j, row, found in sketched(seqs, k, s, t, l, opened):
+            sizes.append(np.bincount(row, minlength=j - i))
+            for part, x in zip(parts, found, strict=True):
+                part.append(x)
+        h, rev, begin, end = (np.concatenate([*p, np.zeros(0, np.int64)]) if i != 0 else np.concatenate([*p, np.zeros(0, np.uint64)]) for i, p in enumerate(parts))
+        columns = [pa.array(h.view(np.int64)), pa.array(rev.astype(bool)), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.StructArray.from_arrays(columns, ["hash", "rev", "pos", "end"]))
 
     return run(column)
 
 
+def seed_rows(rows: DataFrame, key: str, seq: str, k: int, s: int, t: int = 0, l: int = 1, opened: bool = False) -> DataFrame:  # noqa: E741
+    """(key, at, seed, rev): the k-min-mers of the sequences of rows (l of 1: the syncmers), as signed 64-bit hashes."""
+    checked(k, s, t, l)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, row, (h, rev, begin, _) in sketched(batch.column(1), k, s, t, l, opened):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(begin), pa.array(h.view(np.int64)), pa.array(rev)], [key, "at", "seed", "rev"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, at long, seed long, rev boolean")
+
+
+def seed_totals(rows: DataFrame, key: str, seq: str, k: int, s: int, t: int = 0, l: int = 1, opened: bool = False) -> DataFrame:  # noqa: E741
+    """(node, seed, n, n_fwd, n_rev) of each row by its key: what `seed_rows` grouped by key and seed gives if keys don't repeat."""
+    checked(k, s, t, l)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, row, (h, rev, *_) in sketched(batch.column(1), k, s, t, l, opened):
+                order = np.lexsort((h, row))
+                h, row, rev = h[order], row[order], rev[order].astype(np.int64)
+                at = np.flatnonzero(np.r_[np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
+                n = np.diff(np.r_[at, len(h)])
+                back = np.add.reduceat(rev, at) if len(at) else n
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row[at])), pa.array(h[at].view(np.int64)), pa.array(n), pa.array(n - back), pa.array(back)], ["node", "seed", "n", "n_fwd", "n_rev"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(seq).cast("string")).mapInArrow(run, f"node {kind}, seed long, n long, n_fwd long, n_rev long")
+
+
 def homopolymer_hashes(k: int) -> list[int]:
     """Canonical hashes of the four runs of k equal bases."""
     out = []

@@ -9,25 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import sequence as S
+from ..functions import sketch as K
 from . import tree as T
 
 
-def seeds_of(rows: DataFrame, key: str, s: Column, k: int = 15, small: int = 8, t: int = 0, opened: bool = False) -> DataFrame:
-    """(key, at, seed, rev): canonical syncmers of each sequence by letters; palindromes are dropped."""
-    both = F.transform(S.kmers(s, k), lambda x: F.struct(x.alias("kmer"), S.reverse_complement(x).alias("other")))
-    found = rows.select(key, F.posexplode(both).alias("at", "x")).select(key, "at", "x.*")
-    found = found.where((F.col("kmer") != F.col("other")) & S.is_syncmer(F.col("kmer"), F.col("other"), k, small, t, opened))
-    return found.select(key, "at", F.least("kmer", "other").alias("seed"), (F.col("other") < F.col("kmer")).alias("rev"))
+def seeds_of(rows: DataFrame, key: str, s: str, k: int = 15, small: int = 8, t: int = 0, opened: bool = False) -> DataFrame:
+    """(key, at, seed, rev): canonical hashes of the syncmers of each sequence; palindromes are dropped."""
+    return K.seed_rows(rows, key, s, k, small, t, 1, opened)
 
 
-def kminmers_of(seeds: DataFrame, key: str, l: int = 3) -> DataFrame:  # noqa: E741
-    """(key, at, kminmer, rev): l consecutive seeds joined in the smaller of both orders; equal orders are dropped."""
-    w = W.partitionBy(key).orderBy("at")
-    next_ = [F.col("seed"), *(F.lead("seed", j).over(w) for j in range(1, l))]
-    fwd, rev = F.concat_ws("", *next_), F.concat_ws("", *reversed(next_))
-    rows = seeds.select(key, "at", fwd.alias("fwd"), rev.alias("back"), F.lead("seed", l - 1).over(w).isNotNull().alias("whole"))
-    return rows.where("whole and fwd <> back").select(key, "at", F.least("fwd", "back").alias("kminmer"), (F.col("back") < F.col("fwd")).alias("rev"))
+def kminmers_of(rows: DataFrame, key: str, s: str, k: int = 15, small: int = 8, t: int = 0, l: int = 3, opened: bool = False) -> DataFrame:  # noqa: E741
+    """(key, at, seed, rev): hashes folded over l consecutive syncmers in the smaller of both orders; equal orders are dropped."""
+    return K.seed_rows(rows, key, s, k, small, t, l, opened)
 
 
 def trimmed(seeds: DataFrame, length: Column, start: int, end: int, k: int) -> DataFrame:
@@ -46,7 +39,7 @@ def seed_counts(read_seeds: DataFrame) -> DataFrame:
 
 
 def without_homopolymers(counts: DataFrame, k: int) -> DataFrame:
-    return counts.where(~F.col("seed").isin([min(c * k, o * k) for c, o in ("AT", "CG", "GC", "TA")]))
+    return counts.where(~F.col("seed").isin(K.homopolymer_hashes(k)))
 
 
 def mask_top(counts: DataFrame, fraction: float) -> DataFrame:

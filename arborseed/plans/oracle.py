@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.sequence import LETTERS, PATTERN
+from ..functions.sketch import NT, homopolymer_hashes
 from ..operators.placement import METRICS
 
 K, SMALL, DISCARD, CUT = 15, 8, 0.2, 256
@@ -22,18 +23,43 @@ def pieces(rows: str, key: str, more: int = 0) -> str:
     return f"(SELECT {key}, c * {CUT} AS base0, substr(s, c * {CUT} + 1, {CUT} + {more}) AS piece FROM (SELECT {key}, s, unnest(range(0, length(s) // {CUT} + 1)) AS c FROM {rows}))"
 
 
-def seeds(rows: str, key: str, opened: bool = False) -> str:
-    """(key, at, seed, rev) of the rows' column s."""
+def rol(x: str, r: int) -> str:
+    """x, an unsigned 64-bit value, rotated to the left."""
+    r %= 64
+    return x if not r else f"((({x} & {(1 << 64 - r) - 1}::UBIGINT) << {r}) | ({x} >> {64 - r}))"
+
+
+def window_hash(x: str, n: int, turned: bool) -> str:
+    """The xor of n rotated values in a row, read forwards or, turned, backwards."""
+    out = rol(x, 0 if turned else n - 1)
+    for j in range(1, n):
+        out = f"xor({out}, {rol(f'lead({x}, {j}) OVER w', j if turned else n - 1 - j)})"
+    return out
+
+
+def as_signed(x: str) -> str:
+    return f"CASE WHEN {x} >= 9223372036854775808 THEN ({x}::HUGEINT - 18446744073709551616)::BIGINT ELSE {x}::BIGINT END"
+
+
+def base_values(column: str, letters: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{c}' THEN {NT[o]}::UBIGINT" for c, o in zip("ACGT", letters, strict=True)) + " END"
+
+
+def hashed(rows: str, key: str, opened: bool = False) -> str:
+    """(key, pos0, h unsigned, rev) of the syncmers of the rows' column s."""
     last = K - SMALL
+    base = f"(SELECT {key}, base0 + i AS pos0, substr(piece, i + 1, 1) AS c FROM (SELECT {key}, base0, piece, unnest(range(0, length(piece))) AS i FROM {pieces(rows, key)}))"
+    values = f"(SELECT {key}, pos0, {base_values('c', 'ACGT')} AS v, {base_values('c', 'TGCA')} AS z FROM {base})"
+    windows = f"(SELECT {key}, pos0, {window_hash('v', K, False)} AS f, {window_hash('z', K, True)} AS r, {window_hash('v', SMALL, False)} AS sf, {window_hash('z', SMALL, True)} AS sr FROM {values} WINDOW w AS (PARTITION BY {key} ORDER BY pos0))"
+    hit = "sf = mf OR lr = mr" + ("" if opened else " OR lf = mf OR sr = mr")
+    return f"""(SELECT {key}, pos0, least(f, r) AS h, r < f AS rev FROM (SELECT {key}, pos0, f, r, sf, sr, lead(sf, {last}) OVER w AS lf, lead(sr, {last}) OVER w AS lr,
+      min(sf) OVER v AS mf, min(sr) OVER v AS mr FROM {windows} WINDOW w AS (PARTITION BY {key} ORDER BY pos0), v AS (PARTITION BY {key} ORDER BY pos0 ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING))
+      WHERE f IS NOT NULL AND f <> r AND ({hit}))"""
 
-    def hit(x: str) -> str:
-        low = "least(" + ", ".join(f"substr({x}, {j + 1}, {SMALL})" for j in range(last + 1)) + ")"
-        first = f"substr({x}, 1, {SMALL}) = {low}"
-        return first if opened else f"{first} OR substr({x}, {last + 1}, {SMALL}) = {low}"
 
-    return f"""(SELECT {key}, pos0, least(kmer, other) AS seed, other < kmer AS rev FROM (SELECT {key}, pos0, kmer, {rc("kmer")} AS other FROM
-      (SELECT {key}, base0 + i AS pos0, substr(piece, i + 1, {K}) AS kmer FROM (SELECT {key}, base0, piece, unnest(range(0, least({CUT}, length(piece) - {K - 1}))) AS i FROM {pieces(rows, key, K - 1)})))
-      WHERE kmer <> other AND ({hit("kmer")} OR {hit("other")}))"""
+def seeds(rows: str, key: str, opened: bool = False) -> str:
+    """(key, pos0, seed, rev) of the rows' column s; the seed is the hash as a signed value."""
+    return f"(SELECT {key}, pos0, {as_signed('h')} AS seed, rev FROM {hashed(rows, key, opened)})"
 
 
 G = f"(SELECT doc_id, lang, source, {dna('text')} AS s FROM documents)"
@@ -78,6 +104,7 @@ THREE = f"""WITH s AS (SELECT p_partkey, {dna("p_name")} AS s FROM part), c AS (
 SITES = "WITH q AS (SELECT l_partkey AS site, " + ", ".join(f"coalesce(sum(l_quantity) FILTER (year(l_shipdate) % 4 = {i}), 0) AS q{b}" for i, b in enumerate("ACGT")) + " FROM lineitem GROUP BY l_partkey)"
 BASES = f"(SELECT doc_id, base0 + i + 1 AS pos, substr(piece, i + 1, 1) AS base FROM (SELECT doc_id, base0, piece, unnest(range(0, length(piece))) AS i FROM {pieces(G, 'doc_id')}))"
 PAIRS = f"WITH b AS MATERIALIZED {BASES}, s AS (SELECT p.base AS base_from, c.base AS base_to, count(*) AS n FROM b p JOIN b c ON p.doc_id + 1 = c.doc_id AND p.pos = c.pos WHERE p.base <> c.base GROUP BY ALL)"
+fold = lambda *h: f"xor({rol(f'xor({rol(h[0], K)}, {h[1]})', K)}, {h[2]})"
 ids = lambda x: f"string_agg({x}, ',' ORDER BY {x})"
 
 ORACLES: dict[str, str] = {
@@ -92,12 +119,12 @@ ORACLES: dict[str, str] = {
     "base_indexes": "SELECT event_id, CASE upper(event_type[1]) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 WHEN '*' THEN 4 ELSE 5 END::BIGINT AS i FROM events",
     "closed_syncmers": f"SELECT doc_id, {SUMMARY} FROM {GS} GROUP BY doc_id",
     "open_syncmers": f"SELECT doc_id, {SUMMARY} FROM {seeds(G, 'doc_id', True)} GROUP BY doc_id",
-    "kminmers_l3": f"SELECT doc_id, count(*) AS n, min(least(f, b)) AS least, sum((b < f)::INT)::BIGINT AS n_rev FROM (SELECT doc_id, seed || s2 || s3 AS f, s3 || s2 || seed AS b FROM (SELECT doc_id, seed, lead(seed) OVER w AS s2, lead(seed, 2) OVER w AS s3 FROM {GS} WINDOW w AS (PARTITION BY doc_id ORDER BY pos0))) WHERE f IS NOT NULL AND f <> b GROUP BY doc_id",
+    "kminmers_l3": f"SELECT doc_id, count(*) AS n, min(pos0)::BIGINT AS first_at, max(pos0)::BIGINT AS last_at, min({as_signed('least(f, b)')}) AS least, sum((b < f)::INT)::BIGINT AS n_rev FROM (SELECT doc_id, pos0, {fold('h', 'h2', 'h3')} AS f, {fold('h3', 'h2', 'h')} AS b FROM (SELECT doc_id, pos0, h, lead(h) OVER w AS h2, lead(h, 2) OVER w AS h3 FROM {hashed(G, 'doc_id')} WINDOW w AS (PARTITION BY doc_id ORDER BY pos0))) WHERE f IS NOT NULL AND f <> b GROUP BY doc_id",
     "seed_frequencies": f"SELECT r, count(*) AS seeds FROM (SELECT count(*) AS r FROM {GS} GROUP BY seed) GROUP BY r",
     "trimmed_seeds": f"SELECT read_id, count(*) AS n FROM {RS} JOIN (SELECT read_id, length(s) AS len FROM {B}) USING (read_id) WHERE pos0 BETWEEN 10 AND len - 12 - {K} GROUP BY read_id",
     "read_dedup": f"SELECT count(*) AS copies, min(doc_id) AS first_id, {ids('doc_id')} AS ids FROM documents GROUP BY text",
-    "sketch_dedup": f"SELECT count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, string_agg(seed || rev::INT, ',' ORDER BY pos0) AS k FROM {GS} GROUP BY doc_id) GROUP BY k",
-    "seeds_without_homopolymers": f"{BASE} SELECT count(*) AS seeds, sum(c)::BIGINT AS total FROM (SELECT seed, count(*) AS c FROM gs GROUP BY seed) WHERE seed NOT IN (repeat('A', {K}), repeat('C', {K}))",
+    "sketch_dedup": f"SELECT count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, string_agg(seed || ':' || rev::INT, ',' ORDER BY pos0) AS k FROM {GS} GROUP BY doc_id) GROUP BY k",
+    "seeds_without_homopolymers": f"{BASE} SELECT count(*) AS seeds, sum(c)::BIGINT AS total FROM (SELECT seed, count(*) AS c FROM gs GROUP BY seed) WHERE seed NOT IN ({', '.join(map(str, homopolymer_hashes(K)))})",
     "seed_mask_top": f"SELECT count(*) AS seeds, sum(r)::BIGINT AS total, min(seed) AS least FROM (SELECT seed, r, row_number() OVER (ORDER BY r DESC, seed) AS i, count(*) OVER () AS n FROM (SELECT seed, count(*) AS r FROM {GS} GROUP BY seed)) WHERE i > floor(n * 0.001)",
     "min_support_auto": f"WITH c AS MATERIALIZED (SELECT seed, count(*) AS r FROM {GS} GROUP BY seed) SELECT count(*) AS seeds, sum(r)::BIGINT AS total FROM c WHERE r >= (SELECT CASE WHEN avg(r) FILTER (r >= 2) > 3 THEN 2 ELSE 1 END FROM c)",
     "seed_stats": f"SELECT round(sum(ln(1 + r) ^ 2), 6) AS squares, round(sum(ln(1 + r)), 6) AS logs, count(*) AS kept FROM (SELECT count(*) AS r FROM {RS} GROUP BY seed)",

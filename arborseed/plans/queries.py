@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.sketch import seed_totals
 from ..storage import stash
 from ..operators import mixture as M
 from ..operators import placement as P
@@ -53,28 +54,33 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def genome_seeds(spark: SparkSession, d: str, opened: bool = False) -> DataFrame:
-    return P.seeds_of(genomes(spark, d), "doc_id", F.col("s"), K, SMALL, 0, opened)
+    return P.seeds_of(genomes(spark, d), "doc_id", "s", K, SMALL, 0, opened)
 
 
 def sample_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return P.seeds_of(reads(spark, d), "read_id", F.col("s"), K, SMALL)
+    return P.seeds_of(reads(spark, d), "read_id", "s", K, SMALL)
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return P.node_seeds(genome_seeds(spark, d), "doc_id")
+    """Seed counts of each document; doc_id is the table's key, so a document's seeds are counted where it is read."""
+    return seed_totals(genomes(spark, d), "doc_id", "s", K, SMALL)
 
 
-def met_nodes(spark: SparkSession, d: str) -> DataFrame:
+def met_nodes(spark: SparkSession, d: str, sample: DataFrame | None = None) -> DataFrame:
     """Node seeds that any read has."""
-    return nodes(spark, d).join(sample_seeds(spark, d).select("seed").distinct(), "seed", "left_semi")
+    sample = sample_seeds(spark, d) if sample is None else sample
+    return nodes(spark, d).join(sample.select("seed").distinct(), "seed", "left_semi")
 
 
-def totals(spark: SparkSession, d: str) -> DataFrame:
-    return sample_seeds(spark, d).groupBy("read_id").agg(F.count("*").alias("seeds"))
+def totals(spark: SparkSession, d: str, sample: DataFrame | None = None) -> DataFrame:
+    sample = sample_seeds(spark, d) if sample is None else sample
+    return sample.groupBy("read_id").agg(F.count("*").alias("seeds"))
 
 
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    return M.read_node_scores(sample_seeds(spark, d), met_nodes(spark, d))
+def scores(spark: SparkSession, d: str, sample: DataFrame | None = None) -> DataFrame:
+    """Scores of reads on nodes, written: what is built on them reads them several times."""
+    sample = sample_seeds(spark, d) if sample is None else sample
+    return stash(M.read_node_scores(sample, met_nodes(spark, d, sample)), "scores")
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -146,8 +152,7 @@ def open_syncmers(spark, d):
 
 @query
 def kminmers_l3(spark, d):
-    x = P.kminmers_of(genome_seeds(spark, d), "doc_id")
-    return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kminmer").alias("least"), long(F.sum(long("rev"))).alias("n_rev"))
+    return _seed_summary(P.kminmers_of(genomes(spark, d), "doc_id", "s", K, SMALL), "doc_id")
 
 
 @query
@@ -157,7 +162,7 @@ def seed_frequencies(spark, d):
 
 @query
 def trimmed_seeds(spark, d):
-    x = P.seeds_of(reads(spark, d), "read_id", F.col("s"), K, SMALL).join(reads(spark, d).select("read_id", F.length("s").alias("len")), "read_id")
+    x = sample_seeds(spark, d).join(reads(spark, d).select("read_id", F.length("s").alias("len")), "read_id")
     return P.trimmed(x, F.col("len"), 10, 12, K).groupBy("read_id").agg(F.count("*").alias("n"))
 
 
@@ -169,7 +174,7 @@ def read_dedup(spark, d):
 @query
 def sketch_dedup(spark, d):
     listed = genome_seeds(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "seed", "rev"))).alias("v"))
-    key = F.array_join(F.transform("v", lambda x: F.concat(x["seed"], x["rev"].cast("int").cast("string"))), ",")
+    key = F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["seed"], x["rev"].cast("int"))), ",")
     return listed.groupBy(F.md5(key).alias("sketch")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).drop("sketch")
 
 
@@ -206,9 +211,11 @@ def seeds_by_read_share(spark, d):
 
 
 def _scored(spark, d):
-    n = nodes(spark, d)
-    root = n.join(genomes(spark, d).agg(F.min("doc_id").alias("node")), "node").select("seed", "n")
-    return P.node_scores(n, P.seed_counts(sample_seeds(spark, d)), root)
+    n, kept = nodes(spark, d), stash(P.seed_counts(sample_seeds(spark, d)), "kept")
+    docs = table(spark, d, "documents")
+    first = docs.join(F.broadcast(docs.agg(F.min("doc_id").alias("first"))), F.col("doc_id") == F.col("first"))  # one row
+    root = seed_totals(first.select("doc_id", S.dna("text").alias("s")), "doc_id", "s", K, SMALL).select("seed", "n")
+    return P.node_scores(n, kept, root)
 
 
 @query
@@ -273,7 +280,7 @@ def radius_nodes(spark, d):
 def _tree_counts(spark, d):
     """Seed counts of the tree root, languages, sources, documents: an inner node has a seed that all its documents have."""
     docs = genomes(spark, d).select(F.col("doc_id").alias("node"), "lang", "source")
-    n = nodes(spark, d).join(docs, "node")
+    n = stash(nodes(spark, d).join(docs, "node"), "nodes")
     names = {"doc": F.concat(F.lit("d"), F.col("node").cast("string")), "source": F.concat_ws("|", "lang", "source"), "lang": F.col("lang")}
     levels = [("root", F.lit("root")), ("lang", names["lang"]), ("source", names["source"])]
     out = n.select(names["doc"].alias("node"), "seed", "n")
@@ -359,12 +366,13 @@ def amplicon_mask(spark, d):
     return _left(M.mask_seeds(x, M.group_bounds(x, 0.05, 1, last="src0")))
 
 
-def _best(spark, d):
-    return M.kept_reads(M.max_scores(scores(spark, d)), totals(spark, d), DISCARD).select("read_id", "max_score")
+def _best(spark, d, found):
+    return M.kept_reads(M.max_scores(found), totals(spark, d), DISCARD).select("read_id", "max_score")
 
 
 def _assigned(spark, d, absolute=0):
-    return M.near_best(scores(spark, d), _best(spark, d), absolute)
+    found = scores(spark, d)
+    return M.near_best(found, _best(spark, d, found), absolute)
 
 
 @query
@@ -397,12 +405,13 @@ def taxon_filter(spark, d):
 
 @query
 def breadth_ratio(spark, d):
-    x = M.breadth(_assigned(spark, d), sample_seeds(spark, d), nodes(spark, d))
+    x = M.breadth(_assigned(spark, d), sample_seeds(spark, d), stash(nodes(spark, d), "nodes"))
     return x.select("node", long("total").alias("total"), long("covered").alias("covered"), *(rounded(c).alias(c) for c in ("breadth", "mean_depth", "expected", "ratio")))
 
 
 def _p(spark, d):
-    return M.likelihoods(scores(spark, d).join(_best(spark, d).select("read_id"), "read_id"), totals(spark, d))
+    found = scores(spark, d)
+    return stash(M.likelihoods(found.join(_best(spark, d, found).select("read_id"), "read_id"), totals(spark, d)), "likelihoods")
 
 
 @query
@@ -423,8 +432,9 @@ def em_loglik(spark, d):
 
 @query
 def em_abundance(spark, d):
-    oc = M.overlap_coefficients(nodes(spark, d), sample_seeds(spark, d))
-    return M.abundances(scores(spark, d), totals(spark, d), oc)
+    sample = sample_seeds(spark, d)
+    oc = stash(M.overlap_coefficients(nodes(spark, d), sample), "overlaps")
+    return M.abundances(scores(spark, d, sample), totals(spark, d, sample), oc)
 
 
 @query

@@ -16,7 +16,7 @@ from ..operators import placement as P
 
 def assign_batch(batch: DataFrame, nodes: DataFrame, discard: float, k: int, small: int) -> DataFrame:
     """(read_id, node, score) of a batch of reads (read_id, s): the best nodes of the reads that reach the threshold."""
-    seeds = P.seeds_of(batch, "read_id", F.col("s"), k, small)
+    seeds = P.seeds_of(batch, "read_id", "s", k, small)
     scores = M.read_node_scores(seeds, nodes)
     totals = seeds.groupBy("read_id").agg(F.count("*").alias("seeds"))
     best = M.kept_reads(M.max_scores(scores), totals, discard).select("read_id", "max_score")

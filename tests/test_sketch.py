@@ -57,6 +57,21 @@ def test_compression_and_dust():
     assert len(set(K.homopolymer_hashes(15))) <= 4
 
 
+def test_seed_rows_and_totals(spark):
+    rng = random.Random(5)
+    rows = [(i, None if i == 3 else genome(rng, rng.choice([0, 5, 15, 16, 200])) + rng.choice(["", "N", "é", "acgtn"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(3)
+    got = sorted(tuple(r) for r in K.seed_rows(df, "id", "s", 15, 8, l=3).collect())
+    assert got == sorted((i, b, K.signed(a), r) for i, s in rows for a, r, b, _ in K.kminmers(s or "", 15, 8, l=3))
+    want = {}
+    for i, s in rows:
+        for a, r, *_ in K.kminmers(s or "", 15, 8, l=1):
+            n = want.setdefault((i, K.signed(a)), [0, 0])
+            n[r] += 1
+    got = {(r["node"], r["seed"]): [r["n_fwd"], r["n_rev"]] for r in K.seed_totals(df, "id", "s", 15, 8).collect()}
+    assert got == want
+
+
 def test_sketch_udf(spark):
     s = genome(random.Random(4), 120)
     got = spark.createDataFrame([(s,), (None,)], "s string").select(K.sketch("s", 15, 8).alias("x")).collect()
