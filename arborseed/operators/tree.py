@@ -6,30 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import drop_stash, stash
+
 
 def paths(nodes: DataFrame, sep: str = "/") -> DataFrame:
-    """nodes(node_id, parent_id) with path, depth: a join per level, as deep as the tree is."""
-    out = level = nodes.where(F.col("parent_id").isNull()).select("node_id", "parent_id", F.col("node_id").alias("path"), F.lit(0).alias("depth"))
-    while True:
-        up = level.select(F.col("node_id").alias("up_id"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"))
-        level = nodes.join(up, F.col("parent_id") == F.col("up_id")).select("node_id", "parent_id", F.concat_ws(sep, "up_path", "node_id").alias("path"), (F.col("up_depth") + 1).alias("depth"))
-        if not level.limit(1).count():
-            return out
-        out = out.union(level)
+    """nodes(node_id, parent_id) with path, depth, by pointer jumping: each round doubles the part of the path that is known.
 
+    Rounds are as many as the logarithm of the depth; each is written, so none is computed twice. A node whose chain of parents
+    doesn't end in a root is left out.
+    """
+    at = stash(nodes.select("node_id", "parent_id", F.col("parent_id").alias("top"), F.col("node_id").alias("path"), F.lit(0).alias("depth")), "paths")
+    rounds = 0
+    while at.where(F.col("top").isNotNull()).limit(1).count() and rounds < 32:
+        up = at.select(F.col("node_id").alias("up_id"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.col("top").alias("up_top"))
+        both = at.where(F.col("top").isNotNull()).join(up, F.col("top") == F.col("up_id"))
+        further = both.select("node_id", "parent_id", F.col("up_top").alias("top"), F.concat_ws(sep, "up_path", "path").alias("path"), (F.col("depth") + F.col("up_depth") + 1).alias("depth"))
+        new = stash(at.where(F.col("top").isNull()).union(further), "paths")
+        drop_stash(at)
+        at, rounds = new, rounds + 1
+    return at.where(F.col("top").isNull()).drop("top")
+
+
+def row_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in the order, from 0: a range sort deals them out, and an offset per partition makes places global."""
+    placed = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_m", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))  # a row per partition
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    numbered_ = placed.join(F.broadcast(offsets), part == F.col("_part"))
+    return numbered_.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_part", "_before")
 
-def numbered(pathed: DataFrame) -> DataFrame:
-    """dfs_index by sorted path and subtree_end: descendants have dfs_index in [dfs_index, subtree_end).
 
-    A range sort deals the paths out; an offset per partition makes the numbers global, so no task sees all nodes.
-    """
-    s = pathed.sparkSession
-    rows = pathed.sort("path").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    flat = s.createDataFrame(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pathed.schema) + ", dfs_index long")
-    up = flat.select("dfs_index", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/"))).alias("a_path"))
-    sizes = up.groupBy("a_path").agg(F.count("*").alias("size"))
-    out = flat.join(sizes, F.col("path") == F.col("a_path"))
-    return out.withColumn("subtree_end", F.col("dfs_index") + F.col("size")).withColumn("is_leaf", F.col("size") == 1).drop("a_path")
+def numbered(pathed: DataFrame) -> DataFrame:
+    """dfs_index by sorted path and subtree_end: descendants have dfs_index in [dfs_index, subtree_end). All in the JVM, in no single task."""
+    flat = row_numbers(pathed, ["path"], "dfs_index")
+    sizes = pathed.select(F.explode(F.split("path", "/")).alias("a_id")).groupBy("a_id").agg(F.count("*").alias("size"))
+    out = flat.join(sizes, F.col("node_id") == F.col("a_id"))
+    return out.withColumn("subtree_end", F.col("dfs_index") + F.col("size")).withColumn("is_leaf", F.col("size") == 1).drop("a_id")
 
 
 def ancestors(pathed: DataFrame) -> DataFrame:
@@ -102,3 +115,31 @@ def newick(rows: list[tuple[str, str | None]]) -> str:
         else:
             stack += [(node, True), *((c, False) for c in below)]
     return ",".join(done[r] for r in children.get(None, [])) + ";"
+
+
+def subtree_taxa(up: DataFrame, taxa: DataFrame, most: int) -> DataFrame:
+    """(node, taxa, over): the distinct taxa at and below each node of up(node_id, ancestor); more than `most` set the flag and clear the set.
+
+    Sets are collected only where they have `most` taxa or fewer.
+    """
+    below = up.join(taxa.select(F.col("node").alias("node_id"), "taxon"), "node_id").select(F.col("ancestor").alias("node"), "taxon").distinct()
+    size = below.groupBy("node").agg(F.count("*").alias("c"))
+    few = below.join(size.where(F.col("c") <= most).select("node"), "node").groupBy("node").agg(F.array_sort(F.collect_list("taxon")).alias("taxa"))
+    empty = F.array().cast("array<string>")
+    return size.join(few, "node", "left").select("node", F.coalesce("taxa", empty).alias("taxa"), (F.col("c") > most).alias("over"))
+
+
+def collapsed(parents: DataFrame, changed: DataFrame) -> DataFrame:
+    """(node_id, keeper): each node's nearest ancestor, itself included, that is a root or in changed(node_id); parents(node_id, parent_id, path)."""
+    kept = parents.join(changed.select("node_id").distinct().withColumn("_c", F.lit(1)), "node_id", "left").where(F.col("_c").isNotNull() | F.col("parent_id").isNull())
+    return nearest_kept(ancestors(parents), kept.select(F.col("node_id").alias("ancestor")))
+
+
+def orientation_changes(parent_child: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, seed, d_fwd, d_rev): by how much a node's seed counts differ from its parent's in each orientation; nodes(node, seed, n_fwd, n_rev)."""
+    child = parent_child.join(nodes, "node").select("node", "seed", F.col("n_fwd").alias("cf"), F.col("n_rev").alias("cr"))
+    up = nodes.select(F.col("node").alias("parent"), "seed", F.col("n_fwd").alias("pf"), F.col("n_rev").alias("pr"))
+    both = child.join(parent_child.join(up, "parent").select("node", "seed", "pf", "pr"), ["node", "seed"], "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = both.select("node", "seed", (zero("cf") - zero("pf")).alias("d_fwd"), (zero("cr") - zero("pr")).alias("d_rev"))
+    return out.where((F.col("d_fwd") != 0) | (F.col("d_rev") != 0))

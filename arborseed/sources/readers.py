@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -13,30 +14,39 @@ FORMAT_VERSION = 4
 RANK_COLUMNS_AFTER = 1
 
 
+def numbered_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(at, line): the lines of a text file with their place in it, from 0; large plain files are read in splits.
+
+    Counts of the splits, by where they begin, give each split the number of its first line. Files come one after the other by name.
+    """
+    source = spark.read.option("lineSep", separator) if separator else spark.read
+    rows = source.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    sizes = rows.groupBy("file", "block").agg(F.min("m").alias("first"), F.count("*").alias("size"))  # a row per split
+    before = F.coalesce(F.sum("size").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.withColumn("before", before)), ["file", "block"]).select((F.col("before") + F.col("m") - F.col("first")).alias("at"), "line")
+
+
 def reads(spark: SparkSession, path: str) -> DataFrame:
     """Reads of a FASTQ or FASTA file, gzipped or not, with read_id in file order; FASTA gets quality I throughout.
 
-    A record of a plain FASTQ starts at an @ line whose third line starts with + and whose lines two and four are as long.
-    Records are cut in the JVM by a delimiter that only a record's start fits, so a large plain file is split.
+    A FASTQ record is four lines: @ and the name, the sequence, +, a quality as long as the sequence; all else is an error. Lines
+    meet by their number; everything runs in the JVM.
     """
     kind = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     if not kind:
         return spark.createDataFrame([], READ)
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
-    mark = kind[0]["value"][0]
-    if mark == ">":
-        from pyspark.sql import Window as W
-
-        rows = spark.read.option("lineSep", "\n>").text(path).withColumn("read_id", F.monotonically_increasing_id())
-        body = F.split(F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", ""), "\n", 2)
+    if kind[0]["value"][0] == ">":
+        rows = numbered_lines(spark, path, "\n>").where(F.trim("line") != "")
+        body = F.split(F.regexp_replace(F.regexp_replace("line", "^>", ""), "\r", ""), "\n", 2)
         name, seq = F.split(body[0], r"\s+")[0], F.regexp_replace(F.coalesce(F.get(body, F.lit(1)), F.lit("")), r"[\n>]+$|\n", "")
-        out = rows.select(F.row_number().over(W.orderBy("read_id")).cast("long").alias("read_id"), name.alias("name"), seq.alias("seq"))
-        return out.select((F.col("read_id") - 1).alias("read_id"), "name", "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1] // 4, x[1] % 4, x[0])).toDF("read_id long, part long, line string")
-    whole = numbered.groupBy("read_id").agg(*(F.max(F.when(F.col("part") == i, F.col("line"))).alias(f"l{i}") for i in range(4)))
+        return rows.select(F.col("at").cast("long").alias("read_id"), name.alias("name"), seq.alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    part = F.col("at") % 4
+    lines = numbered_lines(spark, path)
+    whole = lines.groupBy(F.floor(F.col("at") / 4).alias("read_id")).agg(*(F.max(F.when(part == i, F.col("line"))).alias(f"l{i}") for i in range(4)))
+    whole = whole.where(F.coalesce(F.concat("l0", "l1", "l2", "l3"), F.lit("x")) != "")  # empty lines at the end
     good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
-    checked = whole.withColumn("ok", F.when(~good, F.raise_error(F.lit("not a FASTQ record"))).otherwise(True)).where("ok")
-    return checked.select("read_id", F.split(F.substring("l0", 2, 1 << 20), r"\s+")[0].alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+    checked = whole.withColumn("ok", F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit("not a FASTQ record")).cast("boolean"))).where("ok")
+    return checked.select(F.col("read_id").cast("long"), F.split(F.substring("l0", 2, 1 << 20), r"\s+")[0].alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
 
 
 def paired_reads(spark: SparkSession, first: str, second: str, for_alignment: bool = False) -> DataFrame:
