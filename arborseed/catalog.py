@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from .plans.oracle import ORACLES
+from .plans import records  # noqa: F401  registers its queries
+from .plans.oracle import ORACLES as BASE_ORACLES
 from .plans.queries import QUERIES
+from .plans.records_oracle import ORACLES as RECORD_ORACLES
+
+ORACLES = {**BASE_ORACLES, **RECORD_ORACLES}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sketch import NT
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Which base each letter of a text stands for when text is read as a genome.
 PATTERN = "".join("ACGT"[i % 4] for i in range(26))
@@ -136,3 +138,18 @@ def template_length(start: Column, end: Column, rev: Column, mate_start: Column,
     """From one read's 5' end to the other's, ends included, signed by order."""
     here, there = F.when(rev, end - 1).otherwise(start), F.when(mate_rev, mate_end - 1).otherwise(mate_start)
     return F.when(there >= here, there - here + 1).otherwise(there - here - 1)
+
+
+def base_value(c: Column | str) -> Column:
+    """The published 64-bit constant of a base, either case; 0 for anything else."""
+    out = F.lit(0).cast("long")
+    for base, value in NT.items():
+        out = F.when(F.upper(col(c)) == base, F.lit(value - (1 << 64) if value >> 63 else value)).otherwise(out)
+    return out
+
+
+def sequence_hash(s: Column | str) -> Column:
+    """The xor of the rotated values of a whole sequence; another letter than a base is an error, and nothing hashes to 0."""
+    s = col(s)
+    folded = F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: rotate_left(a, 1).bitwiseXOR(base_value(c)))
+    return F.when(s.rlike("[^ACGTacgt]"), F.raise_error(F.lit("not a base sequence")).cast("long")).otherwise(folded)

@@ -36,6 +36,19 @@ def kept_reads(best: DataFrame, totals: DataFrame, discard: float) -> DataFrame:
     return best.join(totals, "read_id").where((F.col("max_score") > 0) & (F.col("max_score") >= F.floor(F.col("seeds") * F.lit(discard))))
 
 
+def early_kept(read_seeds: DataFrame, met: DataFrame, share: float) -> DataFrame:
+    """The read seeds that occur in met(seed), without reads where these are fewer than int(share * all seeds of the read)."""
+    flagged = read_seeds.join(met.select(F.col("seed").alias("m")).distinct(), F.col("seed") == F.col("m"), "left")
+    few = flagged.groupBy("read_id").agg(F.count("m").alias("held"), F.count("*").alias("all")).where(F.col("held") >= F.floor(F.col("all") * share))
+    return flagged.where(F.col("m").isNotNull()).drop("m").join(few.select("read_id"), "read_id", "left_semi")
+
+
+def poisoned(assigned: DataFrame, over: DataFrame) -> DataFrame:
+    """Assigned (read_id, node) rows without any read that is assigned to a node of over(node)."""
+    bad = assigned.join(over.select("node"), "node", "left_semi").select("read_id").distinct()
+    return assigned.join(bad, "read_id", "left_anti")
+
+
 def overlap_coefficients(nodes: DataFrame, query: DataFrame) -> DataFrame:
     """(node, overlap, oc_rank): the share of a node's distinct seeds that the query has; dense rank from 0."""
     hit = nodes.join(query.select("seed").distinct().withColumn("hit", F.lit(1)), "seed", "left")

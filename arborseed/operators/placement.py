@@ -28,6 +28,29 @@ def trimmed(seeds: DataFrame, length: Column, start: int, end: int, k: int) -> D
     return seeds.where(F.col("at").between(F.lit(start), length - end - k))
 
 
+def quality_kept(seeds: DataFrame, reads: DataFrame, k: int, least: float) -> DataFrame:
+    """Seeds whose k bases have a mean Phred value of `least` or more; reads(read_id, qual). Sums along the read are taken once per read."""
+    sums = reads.select(F.col("read_id").alias("q_id"), F.transform(F.split("qual", ""), lambda c: F.ascii(c) - 33).alias("q"))
+    span = F.aggregate(F.slice("q", F.col("at").cast("int") + 1, F.lit(k)), F.lit(0), lambda a, x: a + x)
+    whole = (F.col("at") >= 0) & (F.col("at") + k <= F.size("q"))
+    return seeds.join(sums, F.col("read_id") == F.col("q_id")).where(whole & (span >= least * k)).drop("q_id", "q")
+
+
+def sample_scores(nodes: DataFrame, kept: DataFrame, root: DataFrame) -> DataFrame:
+    """The five scores of each sample on each node that shares a seed with it, for any number of samples in one job: kept(sample, seed, r)."""
+    lr, lg = F.log1p(F.col("r").cast("double")), F.log1p(F.col("n").cast("double"))
+    stats = kept.groupBy("sample").agg(F.sum(lr * lr).alias("squares"), F.sum(lr).alias("logs"), F.count("*").alias("kept"))
+    inverse = kept.join(root, "seed").groupBy("sample").agg(F.sum(1 / F.col("n")).alias("root_inverse"))
+    genome = nodes.groupBy("node").agg(F.sum(lg * lg).alias("genome"))
+    hit = nodes.join(kept, "seed").groupBy("sample", "node").agg(
+        F.sum(lr / F.col("n")).alias("raw"), F.sum(lr * lg).alias("dot"), F.count("*").alias("shared"), F.sum(1 / F.col("n")).alias("inverse"), F.sum(lr).alias("logs_hit"))
+    y = hit.join(genome, "node").join(stats, "sample").join(inverse, "sample", "left")
+    share = F.coalesce(F.when(F.col("root_inverse") > 0, F.col("inverse") / F.col("root_inverse")), F.lit(0.0))
+    return y.select(
+        "sample", "node", (F.col("raw") / F.sqrt("squares")).alias("log_raw"), F.least(F.lit(1.0), F.col("dot") / (F.sqrt("squares") * F.sqrt("genome"))).alias("log_cosine"),
+        (F.col("shared") / F.col("kept")).alias("containment"), share.alias("weighted_containment"), (F.col("logs_hit") / F.col("logs")).alias("log_containment"))
+
+
 def node_seeds(seeds: DataFrame, key: str) -> DataFrame:
     one = F.col("rev").cast("long")
     return seeds.groupBy(F.col(key).alias("node"), "seed").agg(F.count("*").alias("n"), F.sum(1 - one).alias("n_fwd"), F.sum(one).alias("n_rev"))

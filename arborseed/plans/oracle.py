@@ -144,7 +144,8 @@ ORACLES: dict[str, str] = {
     "read_node_score": f"{META} SELECT * FROM sc",
     "read_max_epp": f"{META} SELECT read_id, max_score, count(*) AS epp FROM sc JOIN mx USING (read_id) WHERE score = max_score GROUP BY ALL",
     "mask_seeds": f"{BASE} SELECT doc_id AS read_id, count(*) AS n FROM gs WHERE seed IN (SELECT seed FROM n GROUP BY seed HAVING count(*) > 2) GROUP BY doc_id",
-    "mask_reads": f"{BASE}, w AS (SELECT seed FROM (SELECT DISTINCT read_id, seed FROM rs) GROUP BY seed HAVING count(*) <= 1) SELECT read_id, count(*) AS n FROM rs WHERE read_id NOT IN (SELECT read_id FROM rs JOIN w USING (seed)) GROUP BY read_id",
+    "mask_reads": f"{BASE}, w AS (SELECT seed FROM n GROUP BY seed HAVING count(*) <= 1) SELECT doc_id AS read_id, count(*) AS n FROM gs WHERE doc_id NOT IN (SELECT doc_id FROM gs JOIN w USING (seed)) GROUP BY doc_id",
+    "stream_assign": f"{META} SELECT read_id, node, score FROM a",
     "amplicon_mask": f"{BASE}, o AS (SELECT doc_id, source, seed FROM gs JOIN g USING (doc_id)), w AS (SELECT source, seed, count(DISTINCT doc_id) AS w FROM o GROUP BY ALL), b AS (SELECT source, CASE WHEN source = 'src0' THEN 1 ELSE floor(count(DISTINCT doc_id) * 0.05) END AS b FROM o GROUP BY source) SELECT doc_id AS read_id, count(*) AS n FROM o JOIN w USING (source, seed) JOIN b USING (source) WHERE w > b GROUP BY doc_id",
     "assign_reads": f"{META} SELECT node, count(*) AS n, {ids('read_id')} AS ids FROM a GROUP BY node",
     "ambiguity_band": f"{META} SELECT read_id, count(*) AS nodes, min(node) AS first_node FROM sc JOIN best USING (read_id) WHERE score > 0 AND score >= greatest(0, max_score - 3) GROUP BY read_id",

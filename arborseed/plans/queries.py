@@ -356,7 +356,7 @@ def mask_seeds(spark, d):
 
 @query
 def mask_reads(spark, d):
-    x = sample_seeds(spark, d).select("read_id", "seed", F.lit("all").alias("grp"))
+    x = stash(_grouped(spark, d).withColumn("grp", F.lit("all")), "grouped")  # documents that repeat keep all their seeds
     return _left(M.mask_reads(x, M.group_bounds(x, None, 1)))
 
 
@@ -557,4 +557,5 @@ def refined_placement(spark, d):
 def stream_assign(spark, d):
     from ..streaming.assign import assign_files
 
-    return assign_files(spark, f"{d}/benchmark.parquet", met_nodes(spark, d), DISCARD, K, SMALL)
+    found = assign_files(spark, f"{d}/benchmark.parquet", stash(met_nodes(spark, d), "nodes"), DISCARD, K, SMALL)
+    return found.select("read_id", "node", "score")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import mixture as M
 from ..operators import placement as P
+from ..storage import shared_dir
 
 
 def assign_batch(batch: DataFrame, nodes: DataFrame, discard: float, k: int, small: int) -> DataFrame:
@@ -28,13 +27,8 @@ def assign_files(spark: SparkSession, path: str, nodes: DataFrame, discard: floa
 
     Each batch overwrites its own folder, so a batch that is run again after a failure leaves no rows twice.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arborseed-stream-")
-    out = os.path.join(base, f"assigned-{uuid.uuid4().hex}")
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet")
-    stream = files.load(path, format="parquet") if _is_folder(spark, path) else files.option("pathGlobFilter", name).load(folder, format="parquet")
-    reads = stream.select(F.col("item_id").alias("read_id"), S.dna("text").alias("s"))
+    out = f"{shared_dir(spark)}/assigned-{uuid.uuid4().hex}"
+    reads = _stream(spark, path).select(F.col("item_id").alias("read_id"), S.dna("text").alias("s"))
 
     def put(batch: DataFrame, epoch: int) -> None:
         assign_batch(batch, nodes, discard, k, small).write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
@@ -47,3 +41,44 @@ def assign_files(spark: SparkSession, path: str, nodes: DataFrame, discard: floa
 def _is_folder(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """A file, or a folder of files, as a stream of its rows."""
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4)
+    if _is_folder(spark, path):
+        return files.option("pathGlobFilter", "*.parquet").parquet(path)
+    folder, _, name = path.rpartition("/")
+    return files.option("pathGlobFilter", name).parquet(folder)
+
+
+def running_totals(spark: SparkSession, path: str, keys: list[str], *totals) -> DataFrame:
+    """Totals by key as they stand when the stream's files are read: state is kept by Spark, a row per key, and written as a whole each time."""
+    out = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
+    counts = _stream(spark, path).groupBy(*keys).agg(*totals)
+    written = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/rows"))
+    written.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{out}/rows")
+
+
+def windowed_counts(spark: SparkSession, path: str, time: str, size: str, late: str, *keys: str) -> DataFrame:
+    """(begins, keys, n) of the time windows that the watermark has closed; rows later than `late` are left out, and state is dropped behind it."""
+    out = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    rows = _stream(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), *keys).agg(F.count("*").alias("n"))
+    rows = rows.select(F.col("w.start").alias("begins"), *keys, "n")
+    written = rows.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state")
+    written.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+def cancellable(spark: SparkSession, group: str, run):
+    """run() in a job group of its own; an interrupt cancels the group's jobs, and tasks with them, before it goes on."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        return run()
+    except KeyboardInterrupt:
+        sc.cancelJobGroup(group)
+        raise
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
