@@ -9,44 +9,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..storage import drop_stash, fresh, shared_dir, stash, stash_path  # noqa: F401
 
 #: Bytes of text that one numpy pass handles; a longer single text is a pass of its own.
 CHUNK = 1 << 20
+#: Bytes of an Arrow batch, but for a single larger row.
+BATCH = 1 << 23
 MASK = (1 << 64) - 1
 #: The odd base of the polynomial hash, congruent to 3 modulo 4, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C17
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def release() -> None:
-    """Gives memory that numpy freed back to the system, so that idle workers stay small."""
+#: Tables that an operator keeps between the tasks of a Python worker, by the operator's name.
+CACHES: dict[str, dict] = {}
+
+
+def release(keeps: str = "") -> None:
+    """Drops other operators' tables and gives memory that numpy freed back to the system, so that idle workers stay small."""
     import ctypes
     import gc
 
+    for name, kept in CACHES.items():
+        if name != keeps:
+            kept.clear()
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def tidy(run):
-    """run, a function of an iterator of batches, with its memory given back at the end of a task."""
+def tidy(run, keeps: str = ""):
+    """run, a function of an iterator of batches, with its memory given back at the end of a task; keeps: the table that stays."""
 
     @functools.wraps(run)
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            release()
+            release(keeps)
 
     return wrapped
 
 
+def small_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches that go to Python workers by BATCH bytes, however long the texts are, unless the session has a smaller bound."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or now.rstrip("b").isdigit() and int(now.rstrip("b")) > BATCH:
+        conf.set(name, str(BATCH))
+
+
 def text_column(docs: DataFrame, name: str = "text"):
+    """The texts, null as empty; batches of them are kept small."""
     from pyspark.sql import functions as F
 
+    small_batches(docs)
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
@@ -58,8 +78,8 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     n, first = len(column), column.offset
     raw = column.buffers()
     off = np.frombuffer(raw[1], np.int64, count=first + n + 1)[first:] if n else np.zeros(1, np.int64)
@@ -69,12 +89,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about `most` bytes; together they hold every row and byte."""
-    data, off = buffers(column)
-    n, i = len(off) - 1, 0
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    end = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    n, i, begin = len(end), 0, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
+        j = max(i + 1, int(np.searchsorted(end, begin + most, "right")))
+        yield i, j, *buffers(column.slice(i, j - i))
+        i, begin = j, int(end[j - 1])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

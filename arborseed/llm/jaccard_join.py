@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,10 +151,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
-            left, right = buffers(batch.column(4))[1], buffers(batch.column(5))[1]
+            end = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy().astype(np.int64) for k in (4, 5)))
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(left + right, left[i] + right[i] + PASS, "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + PASS, "right")))
                 (ga, ra), (gb, rb) = (shingle_sets(*buffers(batch.column(k)[i:j]), n) for k in (4, 5))
                 na, nb = np.bincount(ra, minlength=j - i), np.bincount(rb, minlength=j - i)
                 g, r = np.concatenate([ga, gb]), np.concatenate([ra, rb])

@@ -14,7 +14,6 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, mix, tidy
+from .common import CACHES, MASK, mix, small_batches, tidy
 
 #: Tokens of a sequence, the id after each document, documents of a group on average.
 LENGTH, END_ID, GROUP = 1024, 0, 1024
@@ -71,10 +70,12 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, find(text)))
 
 
-@cache
 def ids_of(tokenizer_json: str) -> _Ids:
-    """One table for all tasks of a Python worker."""
-    return _Ids(tokenizer_json)
+    """One table for all tasks of a Python worker, until another operator runs there."""
+    tables = CACHES.setdefault("packing", {})
+    if tokenizer_json not in tables:
+        tables[tokenizer_json] = _Ids(tokenizer_json)
+    return tables[tokenizer_json]
 
 
 class TournamentTree:
@@ -139,7 +140,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_json: str, groups: int, length:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.lit(11), docs["doc_id"], docs["text"]).alias("tie"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), PIECES)
+    small_batches(docs)
+    return rows.mapInArrow(tidy(run, "packing"), PIECES)
 
 
 def _groups(tie: np.ndarray, task: int, number: np.ndarray, groups: int) -> np.ndarray:
