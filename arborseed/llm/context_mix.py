@@ -1,8 +1,8 @@
 """LM scoring by logistic context mixing, beside a unigram base score.
 
 A text is a stream of bytes: its words, A-Z lower-cased, each with a space after it, then an end byte. Each byte is eight binary
-decisions. Predictors by the 1 to 4 bytes before it and by the whole of its word so far, kept as exact tables of counts, each give
-a log-odds for a decision; weights gated by the place in the word and by the counts mix them, and an adaptive table refines the mix. Weights and refining table are learned in rounds over all bytes of all training
+decisions. Predictors by the 1 to 4 bytes before it and by the whole of its word so far, where that begins a word seen OFTEN times
+in training, kept as exact tables of counts, each give a log-odds for a decision; weights gated by the place in the word and by the counts mix them, and an adaptive table refines the mix. Weights and refining table are learned in rounds over all bytes of all training
 documents: a decision depends on its byte and context alone, so each distinct event counts as often as it occurs. The sum over
 all decisions is the text's log probability, hence its bits per byte. The tables hold counts of all training documents; they grow
 with the distinct events, are partitioned by the two nearest bytes of the context and are compared by the whole context.
@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, chunks, drop_stash, mix, per_row, stash, text_column, tidy, words
+from .common import Hashed, bitmap, buffers, chunks, drop_stash, in_bitmap, mix, per_row, stash, text_column, tidy, words
 
 #: Nearest bytes of a context; predictors: one for each number of nearest bytes, and one for the word so far; slots of each
 #: predictor's table of a mixer that is used alone; rounds over all events that weights are learned in.
@@ -26,6 +26,8 @@ NEAR, ORDERS, SLOT_BITS, ROUNDS = 4, 5, 20, 4
 SLOTS = 1 << SLOT_BITS
 #: What each predictor sees of a context: the nearest bytes, then a hash of what is before them in the word.
 SEEN = [np.uint64((1 << 8 * k) - 1) for k in range(1, NEAR + 1)] + [np.uint64((1 << 56) - 1)]
+#: Training tokens of a word from which on its beginnings are contexts.
+OFTEN = 8
 #: Vocabulary entries, and events, that a worker holds at a time; larger tables are looked up in several passes.
 HELD = 8_000_000
 #: Events of a partition, about, and of a part of it that is handled at a time; contexts with the same two nearest bytes stay together.
@@ -56,10 +58,11 @@ def stream(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarr
     return out, off
 
 
-def packed(text: np.ndarray, off: np.ndarray) -> np.ndarray:
+def packed(text: np.ndarray, off: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
     """Each byte with its context as one integer: the byte, the NEAR bytes before it (the end byte before a text), 24 bits of the word.
 
-    The word's bits are 0 where the word begins within the nearest bytes, which tell it whole; else a hash of its bytes before those.
+    The word's bits are 0 where the word begins within the nearest bytes, which tell it whole, or where what there is of it
+    isn't in the bitmap `often`; else a hash of its bytes before the nearest.
     """
     at = np.arange(len(text))
     place = at - np.repeat(off[:-1], np.diff(off))
@@ -71,7 +74,10 @@ def packed(text: np.ndarray, off: np.ndarray) -> np.ndarray:
         key |= earlier << np.uint64(8 * back)
     begin = np.maximum.accumulate(np.where(np.r_[True, (text[:-1] == 32) | (text[:-1] == END)], at, 0)) if len(text) else at
     far = np.flatnonzero(at - begin >= NEAR)
-    head = Hashed(text).of(begin[far], far - NEAR)
+    hashed = Hashed(text)
+    if often is not None:
+        far = far[in_bitmap(often, hashed.of(begin[far], far))]
+    head = hashed.of(begin[far], far - NEAR)
     key[far] |= (np.uint64(1) + head % np.uint64((1 << 24) - 1)) << np.uint64(8 * (NEAR + 1))
     return key
 
@@ -90,35 +96,75 @@ def vocabulary(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return Hashed(data, fold=True).of(start, end), start, end, first
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(kind, h, c) over docs (text, held_out): kind 0 counts training tokens by hash, kind 1 bytes with their context.
+def counted_tokens(docs: DataFrame) -> DataFrame:
+    """(h, w, c): the training tokens of docs (text, held_out) by hash, with their lower-cased bytes, null for the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        for batch in batches:
+            column = batch.column(0).filter(pc.invert(batch.column(1)))
+            for i, j, data, off in chunks(column):
+                h, start, end, _ = vocabulary(data, off)
+                h, at, c = np.unique(h, return_index=True, return_counts=True)
+                size = end[at] - start[at]
+                place = np.concatenate([[0], np.cumsum(size)])
+                letters = data[np.arange(place[-1]) + np.repeat(start[at] - place[:-1], size)]
+                letters = np.where((letters >= 65) & (letters <= 90), letters + 32, letters).astype(np.uint8)
+                w = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(place.astype(np.int64)), pa.py_buffer(letters)])
+                kept += [(h, c, w), (np.array([END_HASH], np.uint64), np.array([j - i]), pa.array([None], pa.large_binary()))]
+                if len(kept) > 32:
+                    kept = [_merged_words(kept)]
+        if kept:
+            h, c, w = _merged_words(kept)
+            for s in range(0, len(h), 1 << 18):
+                part = slice(s, s + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), w.slice(s, len(h[part])).cast(pa.binary()), pa.array(c[part])], ["h", "w", "c"])
+
+    return docs.select("text", "held_out").mapInArrow(tidy(run), "h long, w binary, c long").groupBy("h", "w").agg(F.sum("c").alias("c"))
+
+
+def _merged_words(parts: list) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    h = np.concatenate([p[0] for p in parts])
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    words_ = pa.chunked_array([p[2] for p in parts]).take(pa.array(order[at])).combine_chunks()
+    return h[order][at], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], at), words_
 
-    Events of held-out documents are listed too; they count 0.
-    """
+
+def beginnings(tokens: DataFrame, least: int = OFTEN) -> np.ndarray:
+    """The bitmap of the beginnings, NEAR bytes or longer, of the words among tokens (w, c) that are seen `least` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list] = [[], []]
+        for batch in batches:
+            data, off = buffers(batch.column(0))
+            size = np.maximum(np.diff(off) - NEAR + 1, 0)
+            start = np.repeat(off[:-1], size)
+            end = start + NEAR + np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(Hashed(data).of(start, end)).view(np.int64))], ["p"])
+
+    often = tokens.where((F.col("c") >= least) & F.col("w").isNotNull())
+    return bitmap(often.select("w").mapInArrow(tidy(run), "p long"))
+
+
+def counted_events(docs: DataFrame, often) -> DataFrame:
+    """(h, c): the bytes of docs (text, held_out) with their contexts; those of held-out documents are listed too, and count 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
         for batch in batches:
             for out in (False, True):
-                column = batch.column(0).filter(pa.compute.equal(batch.column(1), out))
-                for i, j, data, off in chunks(column):
-                    h, start, end, first = vocabulary(data, off)
-                    key, c = np.unique(packed(*stream(data, start, end, first)), return_counts=True)
-                    kept[1].append((key, c * (not out)))
-                    if not out:
-                        kept[0].append(np.unique(h, return_counts=True))
-                        kept[0].append((np.array([END_HASH], np.uint64), np.array([j - i])))
-                    for k in (0, 1):
-                        if len(kept[k]) > 16:
-                            kept[k] = [_merged(kept[k])]
-        for k in (0, 1):
-            if kept[k]:
-                h, c = _merged(kept[k])
-                for s in range(0, len(h), 1 << 18):
-                    part = h[s : s + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.view(np.int64)), pa.array(c[s : s + (1 << 18)])], ["kind", "h", "c"])
-
-    return docs.select("text", "held_out").mapInArrow(tidy(run), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+                for _, _, data, off in chunks(batch.column(0).filter(pc.equal(batch.column(1), out))):
+                    _, start, end, first = vocabulary(data, off)
+                    key, c = np.unique(packed(*stream(data, start, end, first), often.value), return_counts=True)
+                    kept.append((key, c * (not out)))
+                    if len(kept) > 16:
+                        kept = [_merged(kept)]
+        if kept:
+            h, c = _merged(kept)
+            for s in range(0, len(h), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(h[s : s + (1 << 18)].view(np.int64)), pa.array(c[s : s + (1 << 18)])], ["h", "c"])
+
+    return docs.select("text", "held_out").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -377,14 +423,15 @@ def mixing_scores(docs: DataFrame, held: int = HELD) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].alias("doc_id"), text_column(docs).alias("text"), held_out().alias("held_out"))
-    counts = stash(counted(rows), "counts")
-    tokens, events = counts.where("kind = 0").select("h", "c"), counts.where("kind = 1").select("h", "c")
+    words_ = stash(counted_tokens(rows), "tokens")
+    tokens, often = words_.select("h", "c"), spark.sparkContext.broadcast(beginnings(words_))  # 8 MB
+    events = stash(counted_events(rows, often), "counts")
     total, kinds = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     distinct = events.count()
     nearest = nearest_counts(events)
     parted = stash(grouped(events, distinct), "events")
     scores = stash(event_scores(parted, learned(parted, nearest), nearest), "scores")
-    drop_stash(parted)
+    drop_stash(parted, events)
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = max(1, -(-max(kinds, distinct) // held))
     scored = rows.withColumns({"known": F.lit(0).cast("long"), "logs": F.lit(0.0), "score": F.lit(0.0)})
@@ -409,7 +456,7 @@ def mixing_scores(docs: DataFrame, held: int = HELD) -> DataFrame:
                     logs[i:j] += up[first[1:]] - up[first[:-1]] + np.log10(c[-1] + 1.0)
                     n_tokens[i:j] += np.diff(first)
                     text, s_off = stream(data, start, end, first)
-                    key, back = np.unique(packed(text, s_off), return_inverse=True)
+                    key, back = np.unique(packed(text, s_off, often.value), return_inverse=True)
                     down = np.concatenate([[0.0], np.cumsum(looked_up(e_known, lp_known, key)[back], dtype=np.float64)])
                     score[i:j] += down[s_off[1:]] - down[s_off[:-1]]
                     size[i:j] = np.diff(s_off)
@@ -423,7 +470,9 @@ def mixing_scores(docs: DataFrame, held: int = HELD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(x.split()[0] for x in OUT.split(", "))])
 
         schema = f"doc_id {kind}, {OUT}" if last else f"doc_id {kind}, text string, held_out boolean, known long, logs double, score double"
-        scored = scored.mapInArrow(tidy(run), schema)
+        now = scored.mapInArrow(tidy(run), schema)
         if not last:
-            scored = stash(scored, "part")
+            now = stash(now, "part")
+            drop_stash(scored)
+        scored = now
     return scored

@@ -118,3 +118,14 @@ def test_scores_beat_the_base_on_most_held_out_texts(spark):
     got = C.mixing_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     out = [r for r in got if r["held_out"]]
     assert len(out) > 40 and sum(r["score"] > r["base_score"] for r in out) > 0.8 * len(out)
+
+
+def test_beginnings_are_those_of_frequent_words(spark):
+    from arborseed.llm.common import Hashed, in_bitmap
+
+    rows = [("Abcdefg abcdefg xyzzy", False)] * 3 + [("rareword xyzzy", False), ("heldout " * 20, True)]
+    tokens = C.counted_tokens(spark.createDataFrame(rows, "text string, held_out boolean").repartition(2))
+    assert {(bytes(r["w"]).decode() if r["w"] else None): r["c"] for r in tokens.collect()} == {"abcdefg": 6, "xyzzy": 4, "rareword": 1, None: 4}
+    bits = C.beginnings(tokens, 4)
+    said = {w for w in ("abcd", "abcdef", "abcdefg", "abc", "xyzz", "rare", "held", "bcde") if in_bitmap(bits, Hashed(np.frombuffer(w.encode(), np.uint8)).of(np.array([0]), np.array([len(w)])))[0]}
+    assert said == {"abcd", "abcdef", "abcdefg", "xyzz"}
