@@ -5,11 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stash
+from .tree import row_numbers
+
 #: The error of the read likelihood, and the proportion below which a node is pruned.
 ERROR, PRUNE = 0.005, 0.005
+#: Cells of a likelihood matrix that the driver fits by itself, 32 MB.
+CELLS = 1 << 22
 
 
 def read_node_scores(read_seeds: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,8 +57,10 @@ def overlap_coefficients(nodes: DataFrame, query: DataFrame) -> DataFrame:
     """(node, overlap, oc_rank): the share of a node's distinct seeds that the query has; dense rank from 0."""
     hit = nodes.join(query.select("seed").distinct().withColumn("hit", F.lit(1)), "seed", "left")
     oc = hit.groupBy("node").agg((F.count("hit") / F.count("*")).alias("overlap"))
-    ranks = oc.select("overlap").distinct().withColumn("oc_rank", F.dense_rank().over(W.orderBy(F.col("overlap").desc())) - 1)
-    return oc.join(ranks, "overlap").select("node", "overlap", "oc_rank")
+    oc = stash(oc, "overlaps")
+    values = oc.select(F.col("overlap").alias("value"), (-F.col("overlap")).alias("less")).distinct()
+    ranks = row_numbers(values, ["less"], "oc_rank")
+    return oc.join(ranks, F.col("overlap") == F.col("value")).select("node", "overlap", "oc_rank")
 
 
 def seed_weights(read_seeds: DataFrame) -> DataFrame:
@@ -124,46 +130,55 @@ def em_step(p: DataFrame, props: DataFrame) -> DataFrame:
 
 
 def squarem(matrix: np.ndarray, weights: np.ndarray, eta: float = 1e-5, delta: float = 0.0, iterations: int = 1000, rounds: int = 5) -> np.ndarray:
-    """Proportions of the columns of a likelihood matrix by accelerated EM; low ones are pruned between rounds.
+    """Proportions of the columns of a likelihood matrix by accelerated EM; low ones are pruned between rounds."""
+
+    def step(q: np.ndarray) -> np.ndarray:
+        joint = matrix * q
+        return (weights[:, None] * joint / np.maximum(joint.sum(1, keepdims=True), 1e-300)).sum(0)
+
+    return accelerated(step, lambda q: float(weights @ np.log(np.maximum(matrix @ q, 1e-300))), matrix.shape[1], eta, delta, iterations, rounds)
+
+
+def accelerated(step, like, n: int, eta: float = 1e-5, delta: float = 0.0, iterations: int = 1000, rounds: int = 5) -> np.ndarray:
+    """The fixed point of an EM step over n proportions; step(q) gives weights, like(q) the log likelihood, and zeros of q take no part.
 
     Every accelerated point is kept only if its likelihood is near that of the plain step; a zero step accepts the plain one.
+    Proportions below PRUNE go between rounds.
     """
-    alive = np.arange(matrix.shape[1])
+    alive = np.ones(n, bool)
 
-    def step(m, q):
-        joint = m * q
-        return _normal((weights[:, None] * joint / np.maximum(joint.sum(1, keepdims=True), 1e-300)).sum(0))
+    def normal(q: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        out[alive] = _normal(q[alive])
+        return out
 
-    def fit(m):
-        q, last = np.full(m.shape[1], 1.0 / m.shape[1]), -np.inf
-        like = lambda x: float(weights @ np.log(np.maximum(m @ x, 1e-300)))
+    def fit() -> np.ndarray:
+        q, last = alive / alive.sum(), -np.inf
         for _ in range(iterations):
-            q1 = step(m, q)
-            q2 = step(m, q1)
+            q1 = normal(step(q))
+            q2 = normal(step(q1))
             r, v = q1 - q, (q2 - q1) - (q1 - q)
             size = np.linalg.norm(v)
-            new = q2
+            new, now = q2, like(q2)
             if size > 0:
                 a = -np.linalg.norm(r) / size
-                jump = _normal(q - 2 * a * r + a * a * v)
-                if like(jump) > like(q2) - eta:
-                    new = jump
-            now, moved = like(new), np.abs(new - q).max()
+                jump = normal(q - 2 * a * r + a * a * v)
+                if (there := like(jump)) > now - eta:
+                    new, now = jump, there
+            moved = np.abs(new - q).max()
             q = new
             if (moved < delta) if delta > 0 else abs(now - last) < eta:
                 break
             last = now
         return q
 
-    out = np.zeros(matrix.shape[1])
     for _ in range(rounds):
-        q = fit(matrix[:, alive])
-        low = q < PRUNE
-        if not low.any() or low.all():
-            break
-        alive = alive[~low]
-    out[alive] = q if len(q) == len(alive) else fit(matrix[:, alive])
-    return out
+        q = fit()
+        low = alive & (q < PRUNE)
+        if not low.any() or (low == alive).all():
+            return q
+        alive &= ~low
+    return fit()
 
 
 def _normal(q: np.ndarray) -> np.ndarray:
@@ -171,26 +186,54 @@ def _normal(q: np.ndarray) -> np.ndarray:
     return q / q.sum()
 
 
-def abundances(scores: DataFrame, totals: DataFrame, oc: DataFrame, top_oc: int = 1000) -> DataFrame:
+def abundances(scores: DataFrame, totals: DataFrame, oc: DataFrame, top_oc: int = 1000, cells: int = CELLS) -> DataFrame:
     """(nodes, prop): the mixture of the candidate nodes of the best overlap ranks; nodes with equal scores are one column.
 
-    Reads with one score vector are one row of the matrix, with their number as weight, so the matrix the driver gets is as
-    large as candidates times distinct vectors, not as the reads.
+    Reads with one score vector are one row of the matrix, with their number as weight. A matrix of up to `cells` cells is fitted
+    on the driver; a larger one stays in its partitions, and each step of the fit is a job that sums over them.
     """
-    x = scores.join(oc.where(F.col("oc_rank") < top_oc).select("node"), "node", "left_semi").join(totals, "read_id")
-    vector = x.groupBy("read_id", "seeds").agg(F.array_sort(F.collect_list(F.struct("node", "score"))).alias("v"))
-    rows = vector.groupBy("seeds", "v").agg(F.count("*").alias("w")).toPandas()
-    nodes = sorted({e["node"] for v in rows["v"] for e in v})
-    place = {n: i for i, n in enumerate(nodes)}
-    score = np.zeros((len(rows), len(nodes)))
-    for i, v in enumerate(rows["v"]):
-        for e in v:
-            score[i, place[e["node"]]] = e["score"]
-    seeds = rows["seeds"].to_numpy(float)[:, None]
-    kinds, back = np.unique(score, axis=1, return_inverse=True) if len(nodes) else (score, np.zeros(0, int))
-    p = squarem(ERROR ** (seeds - kinds) * (1 - ERROR) ** kinds, rows["w"].to_numpy(float)) if len(nodes) else np.zeros(0)
-    found = [(",".join(str(n) for n, b in zip(nodes, back.ravel(), strict=True) if b == k), float(q)) for k, q in enumerate(p) if q > 0]
-    return scores.sparkSession.createDataFrame(pd.DataFrame(found, columns=["nodes", "prop"]), "nodes string, prop double")
+    spark = scores.sparkSession
+    x = scores.join(oc.where(F.col("oc_rank") < top_oc).select("node"), "node", "left_semi")
+    vector = x.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("node", "score"))).alias("v")).join(totals, "read_id")
+    rows = stash(vector.groupBy("seeds", "v").agg(F.count("*").alias("w")), "vectors")
+    column = rows.withColumn("i", F.monotonically_increasing_id()).select("i", F.explode("v").alias("e")).select(F.col("e.node").alias("node"), F.struct("i", "e.score").alias("x"))
+    # Nodes of equal columns: their places and scores in all rows are the same.
+    digest = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda s: F.concat_ws(":", s["i"], s["score"])), ","))
+    kinds = column.groupBy("node").agg(digest.alias("k")).groupBy("k").agg(F.array_sort(F.collect_list("node")).alias("nodes")).toPandas()  # candidate nodes
+    if not len(kinds):
+        return spark.createDataFrame([], "nodes string, prop double")
+    place = {v[0]: i for i, v in enumerate(kinds["nodes"])}
+    shared = spark.sparkContext.broadcast(place)
+
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        score = np.zeros((len(part), len(place)))
+        for i, v in enumerate(part["v"]):
+            for e in v:
+                if (at := shared.value.get(e["node"])) is not None:
+                    score[i, at] = e["score"]
+        return ERROR ** (part["seeds"].to_numpy(float)[:, None] - score) * (1 - ERROR) ** score
+
+    if rows.count() * len(place) <= cells:
+        part = rows.toPandas()
+        p = squarem(matrix(part), part["w"].to_numpy(float))
+    else:
+        p = accelerated(lambda q: _summed(rows, matrix, q, True), lambda q: float(_summed(rows, matrix, q, False)[0]), len(place))
+    found = [(",".join(map(str, v)), float(q)) for v, q in zip(kinds["nodes"], p, strict=True) if q > 0]
+    return spark.createDataFrame(pd.DataFrame(found, columns=["nodes", "prop"]), "nodes string, prop double")
+
+
+def _summed(rows: DataFrame, matrix, q: np.ndarray, step: bool) -> np.ndarray:
+    """An EM step's weights, or the log likelihood, summed over the partitions of the vectors; a task sends one array."""
+
+    def run(batches):
+        total = np.zeros(len(q) if step else 1)
+        for part in batches:
+            m, w = matrix(part), part["w"].to_numpy(float)
+            mixed = np.maximum(m @ q, 1e-300)
+            total += q * (m.T @ (w / mixed)) if step else w @ np.log(mixed)
+        yield pd.DataFrame({"t": [total.tolist()]})
+
+    return np.sum([r["t"] for r in rows.mapInPandas(run, "t array<double>").toLocalIterator(prefetchPartitions=True)], axis=0)
 
 
 def lineage_rollup(found: DataFrame, lineages: DataFrame) -> DataFrame:

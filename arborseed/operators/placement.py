@@ -68,15 +68,14 @@ def without_homopolymers(counts: DataFrame, k: int) -> DataFrame:
 def mask_top(counts: DataFrame, fraction: float) -> DataFrame:
     """Without the first int(fraction * n) seeds by count, then seed. The bound is found on the distribution of counts."""
     total = counts.agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.orderBy(F.col("r").desc(), F.col("seed")))
     by_count = counts.groupBy("r").agg(F.count("*").alias("kinds"))
     above = by_count.withColumn("upto", F.sum("kinds").over(W.orderBy(F.col("r").desc())))
     need = F.floor(F.col("n") * F.lit(fraction)).cast("long")
     edge = above.crossJoin(F.broadcast(total)).where((F.col("upto") > need)).agg(F.max("r").alias("edge"), F.first(need).alias("need"))  # one row
     held = counts.crossJoin(F.broadcast(edge))
-    at_edge = held.where("r = edge").withColumn("rank", rank)
+    at_edge = T.row_numbers(held.where("r = edge").select("seed", "r", "need"), ["seed"], "rank")  # most seeds may have the edge's count
     before = above.crossJoin(F.broadcast(edge)).where("r > edge").agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("before"))
-    kept_edge = at_edge.crossJoin(F.broadcast(before)).where(F.col("rank") + F.col("before") > F.col("need"))
+    kept_edge = at_edge.crossJoin(F.broadcast(before)).where(F.col("rank") + F.col("before") >= F.col("need"))
     return held.where("r < edge").select("seed", "r").union(kept_edge.select("seed", "r"))
 
 
@@ -135,7 +134,8 @@ def top_by_metric(scores: DataFrame, share: float = 0.01, most: int = 150) -> Da
     total = scores.agg(F.greatest(F.lit(1), F.least(F.floor(F.count("*") * share), F.lit(most))).alias("top"))
     out = None
     for m in METRICS:
-        ranked = scores.where(F.col(m) > 0).withColumn("rank", F.row_number().over(W.orderBy(F.col(m).desc(), F.col("node").desc()))).where(F.col("rank") <= most)
+        best = scores.where(F.col(m) > 0).select("node", m).orderBy(F.col(m).desc(), F.col("node").desc()).limit(most)  # each task sends `most` rows
+        ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.col(m).desc(), F.col("node").desc())))
         got = ranked.crossJoin(F.broadcast(total)).where(F.col("rank") <= F.col("top")).select(F.lit(m).alias("metric"), "node")
         out = got if out is None else out.union(got)
     return out

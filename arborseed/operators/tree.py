@@ -16,8 +16,8 @@ def paths(nodes: DataFrame, sep: str = "/") -> DataFrame:
     doesn't end in a root is left out.
     """
     at = stash(nodes.select("node_id", "parent_id", F.col("parent_id").alias("top"), F.col("node_id").alias("path"), F.lit(0).alias("depth")), "paths")
-    rounds = 0
-    while at.where(F.col("top").isNotNull()).limit(1).count() and rounds < 32:
+    rounds, most = 0, at.count().bit_length() + 1  # no path is longer than there are nodes; what is left then goes in circles
+    while at.where(F.col("top").isNotNull()).limit(1).count() and rounds < most:
         up = at.select(F.col("node_id").alias("up_id"), F.col("path").alias("up_path"), F.col("depth").alias("up_depth"), F.col("top").alias("up_top"))
         both = at.where(F.col("top").isNotNull()).join(up, F.col("top") == F.col("up_id"))
         further = both.select("node_id", "parent_id", F.col("up_top").alias("top"), F.concat_ws(sep, "up_path", "path").alias("path"), (F.col("depth") + F.col("up_depth") + 1).alias("depth"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.sketch import _CODE
 
 
 def positions(rows: DataFrame, key: str, s: Column) -> DataFrame:
@@ -16,12 +20,21 @@ def positions(rows: DataFrame, key: str, s: Column) -> DataFrame:
     return rows.select(key, F.posexplode(F.split(s, "")).alias("at", "base")).where("base <> ''").select(key, (F.col("at") + 1).alias("pos"), "base")
 
 
-def substitutions(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
-    """(base_from, base_to, n) over aligned positions where both bases are canonical and differ."""
-    a = parent.select(key, "pos", F.col("base").alias("base_from"))
-    b = child.select(key, "pos", F.col("base").alias("base_to"))
-    pairs = a.join(b, [key, "pos"]).where("base_from <> base_to").where(F.col("base_from").rlike("^[ACGT]$") & F.col("base_to").rlike("^[ACGT]$"))
-    return pairs.groupBy("base_from", "base_to").agg(F.count("*").alias("n"))
+def substitutions(pairs: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """(base_from, base_to, n) over the places of aligned sequences where both bases are canonical and differ. A batch is compared at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(25, np.int64)
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                if one.is_valid and two.is_valid:
+                    x, y = (_CODE[np.frombuffer(s.as_buffer(), np.uint8)] for s in (one, two))
+                    n = min(len(x), len(y))
+                    total += np.bincount(5 * x[:n] + y[:n], minlength=25)
+        at = [i for i in range(25) if total[i] and i // 5 < 4 and i % 5 < 4 and i // 5 != i % 5]
+        yield pa.RecordBatch.from_arrays([pa.array(["ACGT"[i // 5] for i in at], pa.string()), pa.array(["ACGT"[i % 5] for i in at], pa.string()), pa.array(total[at])], ["base_from", "base_to", "n"])
+
+    return pairs.select(parent, child).mapInArrow(run, "base_from string, base_to string, n long").groupBy("base_from", "base_to").agg(F.sum("n").alias("n"))
 
 
 def spectrum(counts: DataFrame, branches: Column, genome_length: Column) -> DataFrame:
@@ -73,17 +86,31 @@ def pileup(alignments: DataFrame, least_quality: int = 0) -> DataFrame:
 
 
 def haploid_calls(piled: DataFrame, reference: DataFrame, min_depth: int = 1) -> DataFrame:
-    """(pos, ref, alt, depth, support): positions where over half of the depth is one base other than the reference's."""
+    """(pos, ref, alt, depth, support): positions where over half of the depth is one base other than the reference's; by node if it has nodes."""
     best = piled.groupBy("pos").agg(F.sum("n").alias("depth"), F.max(F.struct("n", "quality", "base")).alias("b"))
-    x = best.join(reference, "pos").select("pos", F.col("base").alias("ref"), F.col("b.base").alias("alt"), "depth", F.col("b.n").alias("support"))
+    x = best.join(reference, "pos").select(*(["node"] if "node" in reference.columns else []), "pos", F.col("base").alias("ref"), F.col("b.base").alias("alt"), "depth", F.col("b.n").alias("support"))
     return x.where((F.col("ref") != F.col("alt")) & (F.col("depth") >= min_depth) & (F.col("support") * 2 > F.col("depth")))
 
 
-def consensus(reference: DataFrame, calls: DataFrame, key: str) -> DataFrame:
-    """(key, consensus): the reference with the called bases. reference(key, pos, base), calls(key, pos, alt)."""
-    x = reference.join(calls, [key, "pos"], "left").select(key, "pos", F.coalesce("alt", "base").alias("base"))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "base")))
-    return x.groupBy(key).agg(F.array_join(F.transform(listed, lambda p: p["base"]), "").alias("consensus"))
+def consensus(genomes: DataFrame, calls: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, consensus): each genome (key, seq) with its called bases (key, pos from 1, alt); only the calls are gathered by genome."""
+    own = calls.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - 1).alias("pos"), F.col("alt").alias("base")))).alias("_calls"))
+
+    @F.pandas_udf("string")
+    def called(seqs: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([_called(s, c) for s, c in zip(seqs, found, strict=True)])
+
+    return genomes.join(own, F.col(key) == F.col("_key"), "left").select(key, called(seq, "_calls").alias("consensus"))
+
+
+def _called(seq: str, calls) -> str:
+    if calls is None:
+        return seq
+    out = list(seq)
+    for c in calls:
+        if 0 <= c["pos"] < len(out):
+            out[c["pos"]] = c["base"]
+    return "".join(out)
 
 
 def kmer_places(reference: str, k: int = 11) -> dict[str, list[int]]:

@@ -159,7 +159,7 @@ ORACLES: dict[str, str] = {
     "spectrum_phred": f"{PAIRS}, k AS (SELECT count(*) AS b, max(length(s)) / 4.0 AS l FROM {G}), o AS (SELECT base_from, base_to, n / (b * l) AS rate FROM s, k UNION ALL SELECT base_from, base_from, 1 - sum(n) / any_value(b * l) FROM s, k GROUP BY base_from) SELECT base_from, base_to, round(rate, 6) AS rate, round(CASE WHEN rate > 0 THEN -10 * log10(rate) ELSE 100 END, 4) AS phred FROM o",
     "vcf_prior": f"{SITES}, s AS (SELECT site, 300.0 - qA AS a, 306.0 - qC AS c, 309.0 - qG AS g, 312.0 - qT AS t FROM q), b AS (SELECT *, least(c, g, t) AS m FROM s) SELECT site, CASE m WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS alt, round(a - m, 6) AS qual FROM b WHERE m < a AND a - m >= 30",
     "consensus_gate": f"{SITES}, s AS (SELECT site, [qA, qC, qG, qT] AS ad FROM q) SELECT site, (list_position(ad, list_max(ad)) - 1)::BIGINT AS called FROM s WHERE list_position(ad, list_max(ad)) > 1 AND list_sum(ad) >= 10 AND list_max(ad) * 2 > list_sum(ad)",
-    "pileup_calls": f"WITH b AS (SELECT read_id + 1 + i AS pos, substr(s, i + 1, 1) AS base FROM (SELECT read_id, s, unnest(range(0, length(s))) AS i FROM {B})), c AS (SELECT pos, base, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT pos, sum(n)::BIGINT AS depth, arg_max(base, n * 1000 + ascii(base)) AS alt, max(n) AS support FROM c GROUP BY pos) SELECT pos, base AS ref, alt, depth, support FROM m JOIN (SELECT pos, base FROM {BASES} WHERE doc_id = 0) USING (pos) WHERE base <> alt AND depth >= 1 AND support * 2 > depth",
+    "pileup_calls": f"{META}, b AS (SELECT read_id + 1 + i AS pos, substr(s, i + 1, 1) AS base FROM (SELECT read_id, s, unnest(range(0, length(s))) AS i FROM {B})), c AS (SELECT pos, base, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT pos, sum(n)::BIGINT AS depth, arg_max(base, n * 1000 + ascii(base)) AS alt, max(n) AS support FROM c GROUP BY pos) SELECT node, pos, base AS ref, alt, depth, support FROM m JOIN (SELECT doc_id AS node, pos, base FROM {BASES} WHERE doc_id IN (SELECT node FROM a)) USING (pos) WHERE base <> alt AND depth >= 1 AND support * 2 > depth",
     "consensus_build": f"SELECT doc_id, md5(string_agg(CASE WHEN pos % 10 = 0 THEN translate(base, 'ACGT', 'TGCA') ELSE base END, '' ORDER BY pos)) AS h FROM {BASES} GROUP BY doc_id",
     "primer_range_join": "WITH e AS (SELECT event_id AS read_id, event_id * 7 % 1500 AS x, CASE WHEN user_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM events), p AS (SELECT n_name AS primer_id, n_nationkey * 50 AS start, n_nationkey * 50 + 80 AS stop, CASE n_nationkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '+' ELSE '-' END AS ps FROM nation) SELECT read_id, arg_min(primer_id, CASE WHEN strand = '-' THEN start ELSE -stop END) AS primer_id FROM e JOIN p ON x BETWEEN start AND stop AND ps IN ('0', strand) GROUP BY read_id",
     "gap_islands": "WITH b AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND lag(event_id) OVER w IS NOT NULL THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM b), i AS (SELECT user_id, event_type, run, count(*) AS n, min(event_id) AS first FROM r GROUP BY ALL) SELECT user_id, event_type, count(*) AS runs, max(n) AS longest, min(first) AS first_id FROM i GROUP BY ALL",

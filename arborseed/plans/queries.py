@@ -450,9 +450,8 @@ def lineage_rollup(spark, d):
 
 def _pairs(spark, d):
     g = genomes(spark, d).select("doc_id", "s")
-    child = V.positions(g, "doc_id", F.col("s"))
-    parent = V.positions(g.select((F.col("doc_id") + 1).alias("doc_id"), "s"), "doc_id", F.col("s"))
-    return V.substitutions(parent, child, "doc_id"), g
+    parent = g.select((F.col("doc_id") + 1).alias("p_id"), F.col("s").alias("parent"))
+    return V.substitutions(g.join(parent, F.col("doc_id") == F.col("p_id")).select("parent", F.col("s").alias("child"))), g
 
 
 @query
@@ -490,19 +489,22 @@ def consensus_gate(spark, d):
 
 @query
 def pileup_calls(spark, d):
-    """Passages laid at their ids along the first document: depth and calls per position."""
-    a = reads(spark, d).select(F.col("read_id") + 1, "s").toDF("pos", "seq").withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    first = genomes(spark, d).where("doc_id = 0").select("doc_id", "s")
-    ref = V.positions(first, "doc_id", F.col("s")).select("pos", "base")
-    return V.haploid_calls(V.pileup(a), ref).select(long("pos").alias("pos"), "ref", "alt", long("depth").alias("depth"), long("support").alias("support"))
+    """Passages laid at their ids along every document that any passage is assigned to: depth and calls per place."""
+    laid = reads(spark, d).select((F.col("read_id") + 1).alias("pos"), F.col("s").alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
+    piled = stash(V.pileup(laid), "piled")
+    held = _assigned(spark, d).select("node").distinct()
+    refs = V.positions(genomes(spark, d).join(held, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "s"), "doc_id", F.col("s"))
+    x = V.haploid_calls(piled, refs.select(F.col("doc_id").alias("node"), "pos", "base"))
+    return x.select("node", long("pos").alias("pos"), "ref", "alt", long("depth").alias("depth"), long("support").alias("support"))
 
 
 @query
 def consensus_build(spark, d):
     """Every tenth base of a document becomes its complement."""
-    ref = V.positions(genomes(spark, d), "doc_id", F.col("s"))
-    calls = ref.where("pos % 10 = 0").select("doc_id", "pos", S.reverse_complement("base").alias("alt"))
-    return V.consensus(ref, calls, "doc_id").select("doc_id", F.md5("consensus").alias("h"))
+    g = genomes(spark, d).select("doc_id", "s")
+    at = g.where(F.length("s") >= 10).select("doc_id", "s", F.explode(F.sequence(F.lit(10), F.length("s"), F.lit(10))).alias("pos"))
+    calls = at.select("doc_id", "pos", S.reverse_complement(F.substring(F.col("s"), F.col("pos"), F.lit(1))).alias("alt"))
+    return V.consensus(g, calls, "doc_id", "s").where("consensus <> ''").select("doc_id", F.md5("consensus").alias("h"))
 
 
 @query

@@ -312,8 +312,10 @@ def assigned_fastq(spark, d):
 
 
 @query
-def nodes_with_reads(spark, d):
-    return Q._assigned(spark, d, 3).groupBy("node").agg(F.count("*").alias("n")).where("n >= 2")
+def sources_with_reads(spark, d):
+    """Sources that two assigned reads or more fall on."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node"), "source")
+    return Q._assigned(spark, d).join(docs, "node").groupBy("source").agg(F.countDistinct("read_id").alias("n")).where("n >= 2")
 
 
 @query

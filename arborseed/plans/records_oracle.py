@@ -100,7 +100,7 @@ ORACLES: dict[str, str] = {
     "read_lines": f"{META} SELECT read_id || chr(9) || any_value(seeds) || chr(9) || max_score || chr(9) || count(*) AS value FROM sc JOIN mx USING (read_id) JOIN t USING (read_id) WHERE score = max_score AND max_score > 0 GROUP BY read_id, max_score",
     "frequency_lines": f"WITH c AS (SELECT h, seed, count(*) AS r FROM (SELECT *, (CASE WHEN seed < 0 THEN seed::HUGEINT + 18446744073709551616 ELSE seed END)::UBIGINT AS h FROM {RS}) GROUP BY ALL) SELECT lpad(lower(hex(h)), 16, '0') || chr(9) || r || chr(9) || printf('%.6f', r / (SELECT sum(r) FROM c)) || chr(9) || CASE WHEN seed % 10 = 0 THEN '1' ELSE '0' END AS value FROM c",
     "assigned_fastq": f"{META} SELECT row_number() OVER (ORDER BY read_id) - 1 AS i, '@r' || read_id AS name, md5(s) AS seq, md5(translate(s, 'ACGT', '5I?+')) AS qual FROM (SELECT DISTINCT read_id FROM a) JOIN {B} USING (read_id)",
-    "nodes_with_reads": f"{META} SELECT node, count(*) AS n FROM sc JOIN best USING (read_id) WHERE score > 0 AND score >= greatest(0, max_score - 3) GROUP BY node HAVING count(*) >= 2",
+    "sources_with_reads": f"{META} SELECT source, count(DISTINCT read_id) AS n FROM a JOIN g ON node = doc_id GROUP BY source HAVING count(DISTINCT read_id) >= 2",
     "amplicon_groups": "SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS grp, count(*) AS n FROM customer GROUP BY 1",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "stream_daily": "SELECT date_trunc('day', ts) AS begins, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",

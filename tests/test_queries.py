@@ -7,7 +7,7 @@ import __spark_entry__
 from arborseed import catalog
 
 DIR = "/root/testdata/sf0.001"
-QUICK = ("reverse_complements", "dust_of_names", "phred_scale", "read_dedup", "tree_dfs", "common_ancestors", "vcf_prior", "primer_range_join", "gap_islands", "coordinate_prefix", "merged_intervals", "lineage_rollup", "seed_stats", "read_max_epp")
+QUICK = ("closed_syncmers", "kminmers_l3", "sequence_hashes", "dust_of_reads", "seed_quality", "node_genomes", "vcf_prior_records", "sam_fields", "stream_daily", "stream_assign", "mask_reads", "subtracted_intervals", "reverse_complements", "dust_of_names", "phred_scale", "read_dedup", "tree_dfs", "common_ancestors", "vcf_prior", "primer_range_join", "gap_islands", "coordinate_prefix", "merged_intervals", "lineage_rollup", "seed_stats", "read_max_epp")
 
 
 def plain(rows):
