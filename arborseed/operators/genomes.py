@@ -109,7 +109,7 @@ def simulated_changes(genomes: DataFrame, key: str, seq: str, count: int, seed:
     """
     flank = F.when(F.length(seq) > 2000, 1000).otherwise(0)
     room = F.length(seq) - 2 * flank
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("try"))), 1, 7), 16, 10).cast("long")
+    draw = _drawn(key, seed, "try")
     rows = genomes.where(F.length(seq) > 0).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries * count - 1))))
     placed = rows.withColumn("draw", draw).select(key, (flank + F.col("draw") % room).alias("pos"), "try", "draw", seq)
     first = placed.groupBy(key, "pos").agg(F.min(F.struct("try", "draw", F.expr(f"substring({seq}, cast(pos + 1 as int), 1)").alias("ref"))).alias("f"))
@@ -136,3 +136,54 @@ def scaled_rates(rates: list[list[float]], mean: float) -> list[list[float]]:
 def consensus_summary(consensus: DataFrame, key: str, seq: str) -> DataFrame:
     """(key, length, unknown): bases of each consensus and how many of them are N."""
     return consensus.select(key, F.length(seq).cast("long").alias("length"), F.regexp_count(seq, F.lit("[Nn]")).cast("long").alias("unknown"))
+
+
+def _drawn(key: str, seed: int, *more) -> Column:
+    """A non-negative number below 2**28 from a hash of the seed, the key and further columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), *(S.col(m).cast("string") for m in more))), 1, 7), 16, 10).cast("long")
+
+
+def simulated_reads(genomes: DataFrame, key: str, seq: str, length: int, count: int, seed: int = 1) -> DataFrame:
+    """(key, i, at, rev, seq): `count` reads of each genome at places and strands drawn by a hash; a genome shorter than a read gives one read of itself."""
+    rows = genomes.where(F.length(seq) > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.length(seq) < length, 0).otherwise(count - 1))))
+    draw = rows.withColumn("draw", _drawn(key, seed, F.lit("read"), "i"))
+    at = F.col("draw") % F.greatest(F.lit(1), F.length(seq) - length + 1)
+    placed = draw.select(key, "i", at.alias("at"), (F.floor(F.col("draw") / 4096) % 2 == 1).alias("rev"), F.col(seq).alias("_s"))
+    read = F.substring(F.col("_s"), (F.col("at") + 1).cast("int"), F.lit(length))
+    return placed.select(key, "i", "at", "rev", F.when(F.col("rev"), S.reverse_complement(read)).otherwise(read).alias("seq"))
+
+
+def dumped(genomes: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:
+    """(value): FASTA lines of genomes with simulated changes applied; the header lists them as place:base>base, from 1."""
+    from .variants import consensus
+
+    made = consensus(genomes, changes.select(key, (F.col("pos") + 1).alias("pos"), "alt"), key, seq)
+    listed = changes.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("pos", "ref", "alt"))).alias("_c"))
+    said = F.coalesce(F.array_join(F.transform("_c", lambda c: F.concat((c["pos"] + 1).cast("string"), F.lit(":"), c["ref"], F.lit(">"), c["alt"])), ","), F.lit(""))
+    x = made.join(listed, F.col(key) == F.col("_key"), "left")
+    return x.select(F.concat(F.lit(">"), F.col(key).cast("string"), F.when(said != "", F.concat(F.lit(" changes="), said)).otherwise(""), F.lit("\n"), S.wrapped("consensus")).alias("value"))
+
+
+def read_place(cigar: Column | str, start: Column | str, target: Column | str) -> Column:
+    """How many letters of a read lie before a place of the reference, for an alignment that begins at `start`; soft clips count, deletions don't."""
+    ops = F.arrays_zip(
+        F.transform(F.regexp_extract_all(S.col(cigar), F.lit("([0-9]+)([MIDNS=X])"), F.lit(1)), lambda x: x.cast("long")).alias("n"),
+        F.regexp_extract_all(S.col(cigar), F.lit("([0-9]+)([MIDNS=X])"), F.lit(2)).alias("op"),
+    )
+    state = F.struct(S.col(start).cast("long").alias("ref"), F.lit(0).cast("long").alias("read"), F.lit(False).alias("done"))
+
+    def step(a, x):
+        on_ref, on_read = x["op"].isin("M", "=", "X", "D", "N"), x["op"].isin("M", "=", "X", "I", "S")
+        left = F.greatest(F.lit(0).cast("long"), S.col(target).cast("long") - a["ref"])
+        inside = ~a["done"] & on_ref & (left < x["n"])  # the target lies in this part
+        read = F.when(a["done"], a["read"]).when(inside, a["read"] + F.when(on_read, left).otherwise(0)).when(on_read, a["read"] + x["n"]).otherwise(a["read"])
+        return F.struct(F.when(on_ref, a["ref"] + x["n"]).otherwise(a["ref"]).alias("ref"), read.alias("read"), (a["done"] | inside).alias("done"))
+
+    return F.aggregate(ops, state, step, lambda a: a["read"])
+
+
+def primer_trimmed(alignments: DataFrame) -> DataFrame:
+    """alignments(start, cigar, seq, qual, keep_from, keep_to) with seq and qual cut to the reference's places from keep_from up to before keep_to."""
+    a, b = read_place("cigar", "start", "keep_from"), read_place("cigar", "start", "keep_to")
+    cut = lambda c: F.substring(F.col(c), (F.col("_a") + 1).cast("int"), F.greatest(F.lit(0), F.col("_b") - F.col("_a")).cast("int"))
+    return alignments.withColumns({"_a": a, "_b": b}).withColumns({"seq": cut("seq"), "qual": cut("qual")}).drop("_a", "_b")

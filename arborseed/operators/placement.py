@@ -129,6 +129,12 @@ def placements(scores: DataFrame) -> DataFrame:
     return near.groupBy("metric").agg(F.max("best_score").alias("score"), F.min("node").alias("best"), F.array_sort(F.collect_list("node")).alias("ties"))
 
 
+def forced_placement(scores: DataFrame, node) -> DataFrame:
+    """(metric, score, best, ties) of a node that is given, whatever the others' scores."""
+    x = scores.where(F.col("node") == F.lit(node))
+    return x.select("node", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("score")) for m in METRICS))).alias("x")).select("x.metric", "x.score", F.col("node").alias("best"), F.array("node").alias("ties"))
+
+
 def top_by_metric(scores: DataFrame, share: float = 0.01, most: int = 150) -> DataFrame:
     """(metric, node): the best max(1, min(int(n share), most)) nodes with a positive score, ties by larger node."""
     total = scores.agg(F.greatest(F.lit(1), F.least(F.floor(F.count("*") * share), F.lit(most))).alias("top"))

@@ -143,3 +143,9 @@ def orientation_changes(parent_child: DataFrame, nodes: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = both.select("node", "seed", (zero("cf") - zero("pf")).alias("d_fwd"), (zero("cr") - zero("pr")).alias("d_rev"))
     return out.where((F.col("d_fwd") != 0) | (F.col("d_rev") != 0))
+
+
+def orientations_at(changes: DataFrame, up: DataFrame) -> DataFrame:
+    """(node, seed, n_fwd, n_rev): the sums of the changes along each root path. up(node, ancestor)."""
+    along = up.join(changes.withColumnRenamed("node", "ancestor"), "ancestor").groupBy("node", "seed").agg(F.sum("d_fwd").alias("n_fwd"), F.sum("d_rev").alias("n_rev"))
+    return along.where((F.col("n_fwd") > 0) | (F.col("n_rev") > 0))

@@ -113,6 +113,15 @@ def _called(seq: str, calls) -> str:
     return "".join(out)
 
 
+#: Parameters of `align` by the kind of reads: band, match, mismatch, gap. Short accurate, long, long accurate, and damaged old reads.
+PRESETS = {"short": (16, 1, -2, -3), "long": (64, 2, -4, -4), "accurate": (64, 1, -4, -6), "old": (8, 1, -1, -4)}
+
+
+def preset_of(mean_length: float) -> str:
+    """The preset for reads of this mean length."""
+    return "short" if mean_length < 500 else "long" if mean_length < 5000 else "accurate"
+
+
 def kmer_places(reference: str, k: int = 11) -> dict[str, list[int]]:
     where: dict[str, list[int]] = {}
     for i in range(len(reference) - k + 1):

@@ -327,6 +327,70 @@ def amplicon_groups(spark, d):
     return groups(c.select(F.col("c_name").alias("name")), amplicons).groupBy("grp").agg(F.count("*").alias("n"))
 
 
+@query
+def simulated_reads(spark, d):
+    x = G.simulated_reads(Q.genomes(spark, d), "doc_id", "s", 100, 5)
+    return x.select("doc_id", long("i").alias("i"), "at", "rev", F.md5("seq").alias("h"))
+
+
+@query
+def dumped_sequences(spark, d):
+    """Passages with three changes each as FASTA."""
+    x = Q.reads(spark, d)
+    return G.dumped(x, G.simulated_changes(x, "read_id", "s", 3), "read_id", "s").select(F.md5("value").alias("h"), F.split("value", "\n")[0].alias("header"))
+
+
+@query
+def primer_trimmed(spark, d):
+    """Passages aligned with clips, an insertion and a deletion; the places of a primer at both ends go."""
+    q = _qualities(spark, d).where(F.length("s") >= 60)
+    n = F.length("s")
+    cigar = F.concat(F.lit("5S20M3I10M4D"), (n - 45).cast("string"), F.lit("M7S"))
+    x = q.select("read_id", F.lit(100).alias("start"), cigar.alias("cigar"), F.col("s").alias("seq"), "qual", (F.lit(100) + F.col("read_id") % 36).alias("keep_from"), (F.lit(100) + 20 + n - 45).alias("keep_to"))
+    return G.primer_trimmed(x).select("read_id", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"))
+
+
+@query
+def amplicon_stack(spark, d):
+    """Reads and bases of each primer, as the stack table lists them."""
+    from .queries import QUERIES
+
+    found = QUERIES["primer_range_join"](spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("read_id"), F.length("props").alias("n")), "read_id")
+    return found.groupBy("primer_id").agg(F.count("*").alias("reads"), long(F.sum("n")).alias("bases"))
+
+
+@query
+def mixture_index(spark, d):
+    """Seed counts by orientation of every document and source from a written index of changes; a source has what its first document has."""
+    from ..sources import readers, sinks
+    from ..storage import stash_path
+
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("s"), "source").alias("src"))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    n = stash(Q.nodes(spark, d), "nodes")
+    first = docs.groupBy("src").agg(F.min("doc_id").alias("doc_id"))
+    nodes = n.join(docs, F.col("node") == F.col("doc_id")).select(name.alias("node"), "seed", "n_fwd", "n_rev")
+    nodes = nodes.union(n.join(first, F.col("node") == F.col("doc_id")).select(F.col("src").alias("node"), "seed", "n_fwd", "n_rev"))
+    parents = docs.select(name.alias("node"), F.col("src").alias("parent")).union(first.select("src", F.lit(None).cast("string")))
+    path = stash_path(spark, "index")
+    sinks.write_mixture_index(stash(nodes, "nodes"), parents, path, k=K, s=SMALL)
+    changes, up, _ = readers.load_mixture_index(spark, path)
+    along = up.select("node", F.col("node").alias("ancestor")).union(up.where("parent is not null").select("node", "parent"))
+    return tree.orientations_at(changes, along).groupBy("node").agg(F.count("*").alias("seeds"), long(F.sum("n_fwd")).alias("fwd"), long(F.sum("n_rev")).alias("rev"))
+
+
+@query
+def forced_placement(spark, d):
+    return P.forced_placement(Q._scored(spark, d), 7).select("metric", rounded("score").alias("score"), "best")
+
+
+@query
+def lineage_order(spark, d):
+    """The roll-up with its place by share, largest first."""
+    x = stash(Q.QUERIES["lineage_rollup"](spark, d).withColumn("less", -F.col("prop")), "lineages")
+    return tree.row_numbers(x, ["less", "lineage"], "place").select("lineage", "prop", long("place").alias("place"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators.genomes import NIBBLES
-from .oracle import BASE, GS, META, RS, SCORES, SITES, TREE, B, G, K, as_signed, base_values, dna, rc
+from .oracle import BASE, GS, LONG, META, RS, SCORES, SITES, TREE, B, G, K, as_signed, base_values, dna, rc
+from .oracle import ORACLES as BASE_ORACLES
 
 #: A value rotated by a row's own number of places.
 TURN = "CASE WHEN {r} % 64 = 0 THEN {x} ELSE ((({x}) & ((1::UBIGINT << (64 - {r} % 64)) - 1)) << ({r} % 64)) | (({x}) >> (64 - {r} % 64)) END"
@@ -101,6 +102,18 @@ ORACLES: dict[str, str] = {
     "frequency_lines": f"WITH c AS (SELECT h, seed, count(*) AS r FROM (SELECT *, (CASE WHEN seed < 0 THEN seed::HUGEINT + 18446744073709551616 ELSE seed END)::UBIGINT AS h FROM {RS}) GROUP BY ALL) SELECT lpad(lower(hex(h)), 16, '0') || chr(9) || r || chr(9) || printf('%.6f', r / (SELECT sum(r) FROM c)) || chr(9) || CASE WHEN seed % 10 = 0 THEN '1' ELSE '0' END AS value FROM c",
     "assigned_fastq": f"{META} SELECT row_number() OVER (ORDER BY read_id) - 1 AS i, '@r' || read_id AS name, md5(s) AS seq, md5(translate(s, 'ACGT', '5I?+')) AS qual FROM (SELECT DISTINCT read_id FROM a) JOIN {B} USING (read_id)",
     "sources_with_reads": f"{META} SELECT source, count(DISTINCT read_id) AS n FROM a JOIN g ON node = doc_id GROUP BY source HAVING count(DISTINCT read_id) >= 2",
+    "simulated_reads": f"WITH t AS (SELECT doc_id, s, unnest(range(0, CASE WHEN length(s) < 100 THEN 1 ELSE 5 END)) AS i FROM {G} WHERE length(s) > 0), d AS (SELECT *, {HEX7.format(x="'1:' || doc_id || ':read:' || i")} AS draw FROM t), p AS (SELECT *, draw % greatest(1, length(s) - 99) AS beg, draw // 4096 % 2 = 1 AS rev FROM d), r AS (SELECT *, substr(s, beg + 1, 100) AS x FROM p) SELECT doc_id, i, beg::BIGINT AS \"at\", rev, md5(CASE WHEN rev THEN {rc('x')} ELSE x END) AS h FROM r",
+    "dumped_sequences": f"""WITH t AS (SELECT read_id, s, unnest(range(0, 12)) AS try FROM {B} WHERE length(s) > 0), d AS (SELECT *, {HEX7.format(x="'1:' || read_id || ':' || try")} AS draw FROM t), p AS (SELECT *, draw % length(s) AS pos FROM d), f AS (SELECT read_id, pos, min(try) AS try, arg_min(draw, try) AS draw, any_value(substr(s, pos + 1, 1)) AS ref FROM p GROUP BY read_id, pos),
+      k AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY try) AS i, 'ACGT'[(instr('ACGT', ref) + draw % 3) % 4 + 1] AS alt FROM f), c AS (SELECT * FROM k WHERE i <= 3),
+      l AS (SELECT x.read_id, string_agg(coalesce(alt, x.c), '' ORDER BY x.i) AS s FROM {READ_LETTERS} x LEFT JOIN c ON c.read_id = x.read_id AND c.pos = x.i GROUP BY x.read_id),
+      h AS (SELECT read_id, string_agg((pos + 1) || ':' || ref || '>' || alt, ',' ORDER BY pos) AS said FROM c GROUP BY read_id),
+      w AS (SELECT read_id, string_agg(substr(s, j * 80 + 1, 80), chr(10) ORDER BY j) AS body FROM (SELECT read_id, s, unnest(range(0, (length(s) + 79) // 80)) AS j FROM l) GROUP BY read_id)
+      SELECT md5('>' || read_id || ' changes=' || said || chr(10) || body) AS h, '>' || read_id || ' changes=' || said AS header FROM w JOIN h USING (read_id)""",
+    "primer_trimmed": f"WITH x AS (SELECT read_id, s, translate(s, 'ACGT', '5I?+') AS q, length(s) AS n, read_id % 36 AS o FROM {B} WHERE length(s) >= 60), y AS (SELECT *, 5 + CASE WHEN o < 20 THEN o WHEN o < 30 THEN o + 3 WHEN o < 34 THEN 33 ELSE o - 1 END AS a, 5 + (20 + n - 45) - 1 AS b FROM x) SELECT read_id, md5(substr(s, a + 1, b - a)) AS seq, md5(substr(q, a + 1, b - a)) AS qual FROM y",
+    "amplicon_stack": f"SELECT primer_id, count(*) AS reads, sum(length(props))::BIGINT AS bases FROM ({BASE_ORACLES['primer_range_join']}) JOIN events ON event_id = read_id GROUP BY primer_id",
+    "mixture_index": f"{BASE}, s AS (SELECT 'd' || doc_id AS node, doc_id FROM g UNION ALL SELECT 's' || source, min(doc_id) FROM g GROUP BY source) SELECT s.node, count(*) AS seeds, sum(n_fwd)::BIGINT AS fwd, sum(n_rev)::BIGINT AS rev FROM s JOIN n ON n.node = s.doc_id GROUP BY s.node",
+    "forced_placement": f"{SCORES}, l AS ({LONG}) SELECT metric, score, node AS best FROM l WHERE node = 7",
+    "lineage_order": f"SELECT lineage, prop, row_number() OVER (ORDER BY prop DESC, lineage) - 1 AS place FROM ({BASE_ORACLES['lineage_rollup']})",
     "amplicon_groups": "SELECT CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS grp, count(*) AS n FROM customer GROUP BY 1",
     "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "stream_daily": "SELECT date_trunc('day', ts) AS begins, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL",

@@ -109,3 +109,15 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, di
     if meta["format_version"] != FORMAT_VERSION:
         raise ValueError(f"index format {meta['format_version']}, not {FORMAT_VERSION}")
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/seed_changes"), meta
+
+
+def load_mixture_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(changes(node, seed, d_fwd, d_rev), tree(node, parent), parameters) of an index written by sinks.write_mixture_index.
+
+    Another version, or an index of another kind, is an error.
+    """
+    meta = spark.read.parquet(f"{path}/meta").first().asDict()
+    if meta["format_version"] != FORMAT_VERSION or meta.get("kind") != "mixture":
+        raise ValueError(f"not a mixture index of format {FORMAT_VERSION}")
+    changes = spark.read.parquet(f"{path}/changes").join(spark.read.parquet(f"{path}/dictionary"), "seed_id").select("node", "seed", "d_fwd", "d_rev")
+    return changes, spark.read.parquet(f"{path}/tree"), meta

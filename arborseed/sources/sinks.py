@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators.placement import METRICS
-from ..operators.tree import newick
+from ..operators.tree import newick, orientation_changes, row_numbers
 from .readers import FORMAT_VERSION
 
 
@@ -80,3 +80,23 @@ def write_index(nodes: DataFrame, changes: DataFrame, path: str, **parameters) -
 def top_lines(counts: DataFrame, total: int) -> DataFrame:
     """Seed TAB count TAB fraction, most frequent first."""
     return counts.orderBy(F.col("r").desc(), "seed").select(F.concat_ws("\t", F.col("seed").cast("string"), F.col("r").cast("string"), (F.col("r") / total).cast("string")).alias("value"))
+
+
+def write_mixture_index(nodes: DataFrame, parents: DataFrame, path: str, taxa: DataFrame | None = None, **parameters) -> None:
+    """An index for mixtures: a dictionary of seeds, the changes of their counts by orientation against the parent, the tree, taxa.
+
+    nodes(node, seed, n_fwd, n_rev), parents(node, parent); the root's changes are its counts. Files are replaced as a whole.
+    """
+    seeds = row_numbers(nodes.select("seed").distinct(), ["seed"], "seed_id")
+    put = lambda x, name: x.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    put(seeds, "dictionary")
+    ids = nodes.sparkSession.read.parquet(f"{path}/dictionary")
+    children = parents.where(F.col("parent").isNotNull())
+    roots = nodes.join(parents.where(F.col("parent").isNull()).select("node"), "node", "left_semi").select("node", "seed", F.col("n_fwd").alias("d_fwd"), F.col("n_rev").alias("d_rev"))
+    changes = orientation_changes(children, nodes).union(roots).join(ids, "seed").select("node", "seed_id", "d_fwd", "d_rev")
+    put(changes.repartitionByRange("seed_id").sortWithinPartitions("seed_id", "node"), "changes")
+    put(parents, "tree")
+    if taxa is not None:
+        put(taxa, "taxa")
+    row = {"format_version": FORMAT_VERSION, "kind": "mixture", **parameters}
+    nodes.sparkSession.createDataFrame([tuple(row.values())], list(row)).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")

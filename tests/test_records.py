@@ -114,3 +114,42 @@ def test_scores_of_samples_equal_scores_of_each(spark):
             if (a, r["node"]) in got:
                 assert got[a, r["node"]] == pytest.approx([r[m] for m in P.METRICS])
     assert len(got) > 10
+
+
+def test_trimming_walks_the_alignment(spark):
+    rows = [("10M", 0, 3, 7), ("2S4M2I4M", 10, 13, 16), ("3M2D3M", 0, 4, 7), ("4M", 0, 0, 9)]
+    x = spark.createDataFrame([(c, s, "ABCDEFGHIJKL"[: sum(int(n) for n, o in __import__("re").findall(r"(\d+)(.)", c) if o in "MIS")], a, b) for c, s, a, b in rows], "cigar string, start int, seq string, keep_from int, keep_to int")
+    got = [r["seq"] for r in G.primer_trimmed(x.withColumn("qual", F.col("seq"))).collect()]
+    assert got == ["DEFG", "FGHIJ", "DE", "ABCD"]
+
+
+def test_parameters_are_checked():
+    from arborseed.parameters import Parameters
+
+    assert Parameters(reads=("a.fq",), discard=0.5).stop == "consensus"
+    for bad in ({"dust": 101}, {"discard": -0.1}, {"reads": ("a", "b", "c")}, {"stop": "x"}, {"aligner": "x"}, {"s": 20}, {"t": 12}):
+        with pytest.raises(ValueError):
+            Parameters(**bad)
+    assert [V.preset_of(x) for x in (100, 900, 9000)] == ["short", "long", "accurate"] and set(V.PRESETS) == {"short", "long", "accurate", "old"}
+
+
+def test_an_interrupt_cancels_the_group(spark):
+    from arborseed.streaming.assign import cancellable
+
+    assert cancellable(spark, "one", lambda: spark.range(5).count()) == 5
+    with pytest.raises(KeyboardInterrupt):
+        cancellable(spark, "two", lambda: (_ for _ in ()).throw(KeyboardInterrupt))
+    assert spark.range(3).count() == 3
+
+
+def test_a_mixture_index_of_another_kind_is_an_error(spark, tmp_path):
+    from arborseed.sources import readers, sinks
+
+    nodes = spark.createDataFrame([("r", 5, 1, 0), ("a", 5, 1, 1), ("a", 7, 0, 2)], "node string, seed long, n_fwd long, n_rev long")
+    parents = spark.createDataFrame([("r", None), ("a", "r")], "node string, parent string")
+    sinks.write_mixture_index(nodes, parents, str(tmp_path / "m"), k=15)
+    changes, up, meta = readers.load_mixture_index(spark, str(tmp_path / "m"))
+    assert sorted(tuple(r) for r in changes.collect()) == [("a", 5, 0, 1), ("a", 7, 0, 2), ("r", 5, 1, 0)] and meta["k"] == 15
+    sinks.write_index(spark.createDataFrame([(0, "r")], "dfs_index int, node_id string"), nodes.select("node", "seed"), str(tmp_path / "p"))
+    with pytest.raises(Exception):
+        readers.load_mixture_index(spark, str(tmp_path / "p"))
