@@ -129,3 +129,57 @@ def test_beginnings_are_those_of_frequent_words(spark):
     bits = C.beginnings(tokens, 4)
     said = {w for w in ("abcd", "abcdef", "abcdefg", "abc", "xyzz", "rare", "held", "bcde") if in_bitmap(bits, Hashed(np.frombuffer(w.encode(), np.uint8)).of(np.array([0]), np.array([len(w)])))[0]}
     assert said == {"abcd", "abcdef", "abcdefg", "xyzz"}
+
+
+def test_scores_match_a_model_counted_by_hand(spark, monkeypatch):
+    """Every decision of every byte, its counts taken from dictionaries of the training texts, under the mixer that was learned."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 8))) for _ in range(25)]
+    docs = [(d, " ".join(rng.choices(words, k=rng.choice([0, 1, 12])))) for d in range(40)] + [(3, None), (None, "Abcde abcde")]
+    learned, kept = C.learned, []
+    monkeypatch.setattr(C, "learned", lambda *a: kept.append(learned(*a)) or kept[-1])
+    got = C.mixing_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    mixer = kept[0]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    seen = Counter(w for d, t in docs if not held(d) for w in tokens(t) if w)
+    often = {w[:n] for w, c in seen.items() if c >= C.OFTEN for n in range(C.NEAR, len(w) + 1)}
+
+    def events(text):
+        whole = "".join(w + " " for w in tokens(text)[:-1]).encode() + b"\n"
+        for i, b in enumerate(whole):
+            near = (b"\n" * 4 + whole[:i])[-4:]
+            begun = (b"\n" + whole[:i]).replace(b" ", b"\n").rsplit(b"\n", 1)[1].decode()
+            yield b, near, begun if len(begun) >= C.NEAR and begun in often else ""
+
+    def contexts(b, near, begun, depth):
+        node = (1 << depth) | b >> 8 - depth
+        return [*((k, near[-k:], node) for k in range(1, 5)), (5, near, begun, node)]
+
+    counts = Counter()
+    for d, t in docs:
+        if not held(d):
+            for b, near, begun in events(t):
+                for depth in range(8):
+                    for c in contexts(b, near, begun, depth):
+                        counts[c, b >> 7 - depth & 1] += 1
+
+    def score(text):
+        total = 0.0
+        for b, near, begun in events(text):
+            tail = (b" " + near).replace(b"\n", b" ").rsplit(b" ", 1)[1]
+            place = np.array([min(len(tail), C.NEAR)])
+            for depth in range(8):
+                n = np.array([[[counts[c, 0], counts[c, 1]]] for c in contexts(b, near, begun, depth)], float)
+                x, gate = mixer.inputs(n, place)
+                p, cell = mixer.mixed(x, gate)
+                q = mixer.refined(p, gate, cell)[0]
+                total += math.log10(q if b >> 7 - depth & 1 else 1 - q)
+        return total
+
+    by = {}
+    for d, t in docs:
+        by.setdefault(d, []).append(score(t))
+    for r in got:
+        assert min(abs(r["score"] - s) for s in by[r["doc_id"]]) < 1e-3

@@ -106,6 +106,40 @@ def test_importance_drops_what_labels_mark(spark):
     assert [importance.kth_largest(keys, "x", k) for k in (1, 8, 50)] == [6.0, 5.0, 0.0]
 
 
+def test_importance_weights_match_plain_counts(spark):
+    """Log weights from dictionaries of n-grams, and the draw as a sort of all keys; repeated rows, null ids and long texts among them."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices(["Aa", "b", "c", "dd", "e"] if i % 3 else ["c", "dd", "zz"], k=rng.choice([0, 3, 40])))) for i in range(60)]
+    docs += [docs[4], (None, "c c zz"), (None, None), (90, "aa zz " * 20_000), (7, "another text of one id")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)] + [(90, 0, 0)]
+    good = {d for d, q, _ in labels if q}
+    grams = lambda t: [(w := WORD.findall((t or "").lower())), list(zip(w, w[1:]))]
+    raw, target = [Counter(), Counter()], [Counter(), Counter()]
+    for d, t in docs:
+        for k, g in enumerate(grams(t)):
+            raw[k].update(g)
+            if d in good:
+                target[k].update(g)
+
+    def weight(t):
+        total = 0.0
+        for k, g in enumerate(grams(t)):
+            share = sum(target[k].values()) / max(1, sum(raw[k].values()))
+            for x in g:
+                e = raw[k][x] * share
+                r = np.log((target[k][x] + 1) / (e + 1))
+                total += np.sign(r) * max(0, abs(r) - importance.MARGIN[k][0] - importance.MARGIN[k][1] / np.sqrt(e + 1))
+        return total
+
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    ls = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    everything = importance.importance_sample(df, ls, k=len(docs)).collect()
+    assert sorted(r["log_weight"] for r in everything) == pytest.approx(sorted(weight(t) for _, t in docs), rel=1e-5, abs=1e-4)
+    some = importance.importance_sample(df, ls, k=20).collect()
+    keys = sorted((r["gumbel_key"] for r in everything), reverse=True)
+    assert sorted((r["gumbel_key"] for r in some), reverse=True) == [k for k in keys if k >= keys[19]]
+
+
 def test_line_spread(spark):
     rows = [(d, "keep %d\n shared \n\nlast" % d, f"s{d}") for d in range(6)] + [(6, None, "s6"), (7, "", None), (None, "shared", "s9"), (0, "keep 0\n shared \n\nlast", "s0"), (8, "near\nonce", "s1"), (9, "near", "s1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_lines", F.lit("old"))
