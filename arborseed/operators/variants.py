@@ -169,24 +169,66 @@ def best_strand(read: str, reference: str, where: dict[str, list[int]] | None =
     return (*two, True) if two[1] > one[1] else (*one, False)
 
 
+def align_all(reads: list[str], reference: str, where: dict[str, list[int]], k: int = 11, band: int = 16, match: int = 1, mismatch: int = -2, gap: int = -3) -> list[tuple[int, int, int]]:
+    """`align` of each read with one reference, all reads a row at a time."""
+    diagonals = []
+    for read in reads:
+        votes: dict[int, int] = {}
+        for j in range(len(read) - k + 1):
+            for i in where.get(read[j : j + k], ()):
+                votes[i - j] = votes.get(i - j, 0) + 1
+        diagonals.append(max(sorted(votes), key=votes.get) if votes else None)
+    out = [(-1, 0, len(r)) for r in reads]
+    some = [j for j, d in enumerate(diagonals) if d is not None]
+    if not some:
+        return out
+    low = [max(0, diagonals[j] - band) for j in some]
+    targets = [reference[b : max(0, diagonals[j]) + len(reads[j]) + band] for j, b in zip(some, low, strict=True)]
+    size, length = np.array([len(x) for x in targets]), np.array([len(reads[j]) for j in some])
+    padded = lambda texts, n: np.frombuffer("".join(x.ljust(n, "\0") for x in texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), n)
+    letters, own = padded(targets, int(size.max())), padded([reads[j] for j in some], int(length.max()))
+    at = np.arange(letters.shape[1] + 1, dtype=np.int32)
+    score, edits, start = np.zeros((len(some), len(at)), np.int32), np.zeros((len(some), len(at)), np.int32), np.tile(at, (len(some), 1))
+    edge = np.zeros((len(some), 1), np.int32)
+    for i in range(1, own.shape[1] + 1):
+        same = letters == own[:, i - 1 : i]
+        over, down = score[:, :-1] + np.where(same, match, mismatch).astype(np.int32), score[:, 1:] + np.int32(gap)
+        turn = over >= down
+        new = np.hstack([edge + i * gap, np.where(turn, over, down)])
+        cost = np.hstack([edge + i, np.where(turn, edits[:, :-1] + ~same, edits[:, 1:] + 1)])
+        origin = np.hstack([edge, np.where(turn, start[:, :-1], start[:, 1:])])
+        level = new - gap * at
+        left = np.maximum.accumulate(np.where(level >= np.maximum.accumulate(level, axis=1), at, 0), axis=1)
+        take = lambda x: np.take_along_axis(x, left, axis=1)  # noqa: B023, E731
+        score, edits, start = take(new) + gap * (at - left), take(cost) + at - left, take(origin)
+        for j in np.flatnonzero(length == i):
+            best = int(score[j, : size[j] + 1].argmax())
+            out[some[j]] = low[j] + int(start[j, best]), int(score[j, best]), int(edits[j, best])
+    return out
+
+
 def alignment_scores(references: DataFrame, reads: DataFrame, group: int = 32) -> DataFrame:
     """(node, align_score): less the edits of all reads (read_id, seq) on each of references (node, reference).
 
-    A read that cannot be placed counts its length. Reads go in groups of about `group`, so that a reference is indexed once
-    for each group, and any number of tasks share a node.
+    A read that cannot be placed counts its length. Reads go in groups of about `group`, aligned together in both strands, so a
+    reference is indexed once for each group, and any number of tasks share a node. Reads are joined by group, which
+    each reference lists: the pairs are what is asked for, candidates times reads.
     """
     groups = max(1, -(-reads.count() // group))
-    dealt = reads.groupBy(F.pmod(F.xxhash64("read_id"), F.lit(groups)).alias("g")).agg(F.collect_list("seq").alias("seqs"))
+    dealt = reads.groupBy(F.pmod(F.xxhash64("read_id"), F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("seq").alias("seqs"))
+    turn = str.maketrans("ACGT", "TGCA")
 
     def run(batches):
         for b in batches:
             out = []
             for reference, seqs in zip(b["reference"], b["seqs"], strict=True):
-                where = kmer_places(reference)
-                out.append(-sum(best_strand(read, reference, where)[2] for read in seqs))
+                seqs = list(seqs)
+                found = align_all(seqs + [s[::-1].translate(turn) for s in seqs], reference, kmer_places(reference))
+                out.append(-sum(two[2] if two[1] > one[1] else one[2] for one, two in zip(found[: len(seqs)], found[len(seqs) :], strict=True)))
             yield pd.DataFrame({"node": b["node"], "score": np.array(out, np.int64)})
 
-    pairs = references.crossJoin(dealt).select("node", "reference", "seqs")
+    listed = references.select("node", "reference", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("r_g"))
+    pairs = listed.join(dealt, F.col("r_g") == F.col("g")).select("node", "reference", "seqs")
     pairs = pairs.repartition(4 * references.sparkSession.sparkContext.defaultParallelism)
     found = pairs.mapInPandas(run, f"node {references.schema['node'].dataType.simpleString()}, score long")
     return found.groupBy("node").agg(F.sum("score").alias("align_score"))

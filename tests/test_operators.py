@@ -85,6 +85,20 @@ def test_alignment_matches_the_plain_recurrence():
         assert V.align(read, ref) == slow_align(read, ref, 0)
 
 
+def test_reads_aligned_together_are_those_aligned_one_by_one():
+    rng = np.random.default_rng(6)
+    ref = "".join(rng.choice(list("ACGT"), 300))
+    reads = ["", "ACGT", ref, "N" * 30]
+    for _ in range(40):
+        a, n = rng.integers(0, 260), rng.integers(5, 90)
+        read = list(ref[a : a + n])
+        for at in rng.integers(0, len(read), 3):
+            read[at] = rng.choice(["", "A", "CG", "T"])
+        reads.append("".join(read))
+    where = V.kmer_places(ref)
+    assert V.align_all(reads, ref, where) == [V.align(r, ref, where=where) for r in reads]
+
+
 def test_refinement_aligns_all_candidates(spark):
     rng = np.random.default_rng(4)
     genome = "".join(rng.choice(list("ACGT"), 300))
