@@ -166,17 +166,19 @@ def sketch(column, k: int = 19, s: int = 8, t: int = 0, l: int = 3, opened: bool
     return run(column)
 
 
-def seed_rows(rows: DataFrame, key: str, seq: str, k: int, s: int, t: int = 0, l: int = 1, opened: bool = False) -> DataFrame:  # noqa: E741
-    """(key, at, seed, rev): the k-min-mers of the sequences of rows (l of 1: the syncmers), as signed 64-bit hashes."""
+def seed_rows(rows: DataFrame, key: str, seq: str, k: int, s: int, t: int = 0, l: int = 1, opened: bool = False, numbered: bool = False) -> DataFrame:  # noqa: E741
+    """(key, at, seed, rev): the k-min-mers of the sequences of rows (l of 1: the syncmers), as signed 64-bit hashes; numbered: and i, their number."""
     checked(k, s, t, l)
+    more = ["i"] if numbered else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, row, (h, rev, begin, _) in sketched(batch.column(1), k, s, t, l, opened):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(begin), pa.array(h.view(np.int64)), pa.array(rev)], [key, "at", "seed", "rev"])
+                number = [pa.array(np.arange(len(row)) - np.searchsorted(row, row))] if numbered else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + row)), pa.array(begin), pa.array(h.view(np.int64)), pa.array(rev), *number], [key, "at", "seed", "rev", *more])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, at long, seed long, rev boolean")
+    return rows.select(key, F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, at long, seed long, rev boolean" + (", i long" if numbered else ""))
 
 
 def seed_totals(rows: DataFrame, key: str, seq: str, k: int, s: int, t: int = 0, l: int = 1, opened: bool = False) -> DataFrame:  # noqa: E741

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import stash
@@ -28,6 +29,31 @@ def read_node_scores(read_seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     return sums.select("read_id", "node", F.greatest("same", "turned").alias("score"))
 
 
+def chain_scores(read_seeds: DataFrame, node_seeds: DataFrame, k: int, gap: int = 50) -> DataFrame:
+    """(read_id, node, score): seeds in the longest chain of a read on a node and in the chains of its strand that are colinear with it.
+
+    Both sides are (read_id or node, i, at, seed, rev), i the number of a seed in its sequence. Only seeds that a node has once
+    count. A chain is a longest run of read seeds that follow each other on the node as well, forwards or backwards; of equally
+    long ones the first is taken. Chains are colinear if they keep their order and their distances differ by less than `gap`.
+    """
+    once = node_seeds.groupBy("node", "seed").agg(F.count("*").alias("c"), F.first("i").alias("j"), F.first("at").alias("r"), F.first("rev").alias("n_rev")).where("c = 1")
+    hits = read_seeds.join(once, "seed").select("read_id", "node", "i", "j", F.col("at").alias("q"), "r", (F.col("rev") != F.col("n_rev")).alias("turned"))
+    line = F.when(F.col("turned"), F.col("j") + F.col("i")).otherwise(F.col("j") - F.col("i"))
+    w = W.partitionBy("read_id", "node", "turned", "line").orderBy("i")
+    runs = hits.withColumn("line", line).withColumn("run", F.col("i") - F.row_number().over(w))
+    chains = runs.groupBy("read_id", "node", "turned", "line", "run").agg(
+        F.count("*").alias("n"), F.min("i").alias("i"), F.min("q").alias("q0"), (F.max("q") + k - 1).alias("q1"), F.min("r").alias("r0"), (F.max("r") + k - 1).alias("r1"))
+    best = chains.groupBy("read_id", "node").agg(F.max(F.struct("n", (-F.col("i")).alias("i_"), "turned", "q0", "q1", "r0", "r1", "i")).alias("b"))
+    x = chains.join(best, ["read_id", "node"])
+    own = F.struct("i", "q0", "q1", "r0", "r1")
+    one, two = F.least(own, F.struct("b.i", "b.q0", "b.q1", "b.r0", "b.r1")), F.greatest(own, F.struct("b.i", "b.q0", "b.q1", "b.r0", "b.r1"))
+    apart = F.abs(two["q0"] - one["q1"])
+    ahead = (one["r0"] < two["r0"]) & (F.abs(apart - F.abs(two["r0"] - one["r1"])) < gap)
+    behind = (two["r0"] < one["r0"]) & (F.abs(apart - F.abs(one["r0"] - two["r1"])) < gap)
+    counts = (F.col("turned") == F.col("b.turned")) & ((F.col("i") == F.col("b.i")) | F.when(F.col("turned"), behind).otherwise(ahead))
+    return x.where(counts).groupBy("read_id", "node").agg(F.sum("n").alias("score"))
+
+
 def max_scores(scores: DataFrame) -> DataFrame:
     """(read_id, max_score, epp): the best score and the number of nodes that reach it."""
     best = scores.groupBy("read_id").agg(F.max("score").alias("max_score"))

@@ -106,3 +106,27 @@ def frequency_lines(counts: DataFrame, masked: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("r").alias("total"))
     rows = counts.join(masked.select(F.col("seed").alias("m")), F.col("seed") == F.col("m"), "left").crossJoin(F.broadcast(total)).orderBy(F.col("r").desc(), "seed")
     return rows.select(F.concat_ws("\t", F.lower(F.lpad(F.hex("seed"), 16, "0")), F.col("r").cast("string"), F.format_string("%.6f", F.col("r") / F.col("total")), F.when(F.col("m").isNull(), "0").otherwise("1")).alias("value"))
+
+
+def sam_lines(alignments: DataFrame) -> DataFrame:
+    """(value): SAM records by position of alignments(name, reference, start from 0, rev, seq, qual, target, clip_start, clip_end).
+
+    seq and qual are as they were read; target is what the matched part lies on, in the reference's order. Names lose their mate suffix.
+    """
+    seq, qual = oriented(F.col("seq"), F.col("qual"), F.col("rev"))
+    x = alignments.withColumns({"_s": seq, "_q": qual, "_c": cigar(F.length("seq"), F.col("clip_start"), F.col("clip_end"), F.col("rev"))})
+    first = F.when(F.col("rev"), F.col("clip_end")).otherwise(F.col("clip_start"))
+    matched = F.substring(F.col("_s"), first + 1, F.length("seq") - F.col("clip_start") - F.col("clip_end"))
+    tag = F.concat(F.lit("MD:Z:"), mismatch_tag(matched, F.col("target")))
+    fields = (S.without_mate("name"), F.when(F.col("rev"), "16").otherwise("0"), F.col("reference"), (F.col("start") + 1).cast("string"), F.lit("60"), F.col("_c"), F.lit("*"), F.lit("0"), F.lit("0"), F.col("_s"), F.col("_q"), tag)
+    return x.orderBy("start", "name").select(F.concat_ws("\t", *fields).alias("value"))
+
+
+def consensus_header(sample: Column | str, node: Column | str) -> Column:
+    """The FASTA header of a sample's consensus."""
+    return F.concat(F.lit(">"), S.col(sample), F.lit("_consensus ref="), S.col(node))
+
+
+def fasta_index(name: str, length: int, width: int = 80, offset: int = 0) -> str:
+    """A line of a FASTA index: name, bases, offset of the first base, bases and bytes of a line; offset: where the record begins."""
+    return f"{name}\t{length}\t{offset + len(name.encode()) + 2}\t{width}\t{width + 1}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.sketch import dust_score
+from ..functions.sketch import dust_score, seed_rows
 from ..operators import genomes as G
 from ..operators import mixture as M
 from ..operators import placement as P
@@ -53,6 +53,15 @@ def discard_by_held_seeds(spark, d):
     return M.kept_reads(M.max_scores(found), held, 0.9).select("read_id", long("max_score").alias("max_score"))
 
 
+@query
+def chain_scores(spark, d):
+    """Passages chained on documents by the seeds that a document has once."""
+    docs = seed_rows(Q.genomes(spark, d), "doc_id", "s", K, SMALL, numbered=True).withColumnRenamed("doc_id", "node")
+    x = seed_rows(Q.reads(spark, d), "read_id", "s", K, SMALL, numbered=True)
+    met = docs.join(x.select("seed").distinct(), "seed", "left_semi")
+    return M.chain_scores(x, met, K).select("read_id", "node", long("score").alias("score"))
+
+
 @query
 def sketch_dedup_by_gaps(spark, d):
     """Reads of one list of seeds, orientations and distances between seeds."""
@@ -260,6 +269,17 @@ def sam_fields(spark, d):
     return x.select("l_orderkey", "l_linenumber", long(flag).alias("flag"), long(size).alias("tlen"), cigar.alias("cigar"))
 
 
+@query
+def sam_lines(spark, d):
+    """Passages on the sequence of the passage before them, pairs as mates, as SAM text."""
+    q = _qualities(spark, d).where(F.length("s") >= 30)
+    ref = q.select((F.col("read_id") + 1).alias("read_id"), F.col("s").alias("ref"))
+    n = F.least(F.length("s"), F.length("ref"))
+    cut = lambda c: F.substring(F.col(c), F.lit(1), n)
+    x = q.join(ref, "read_id").select(F.concat(F.lit("r"), F.col("read_id").cast("string"), F.lit("/1")).alias("name"), F.lit("ref").alias("reference"), (F.col("read_id") * 10).alias("start"), (F.col("read_id") % 3 == 0).alias("rev"), cut("s").alias("seq"), cut("qual").alias("qual"), cut("ref").alias("target"), F.lit(0).alias("clip_start"), F.lit(0).alias("clip_end"))
+    return T.sam_lines(x)
+
+
 @query
 def oriented_reads(spark, d):
     q = _qualities(spark, d)

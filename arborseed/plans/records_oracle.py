@@ -62,6 +62,18 @@ ORACLES: dict[str, str] = {
     "seed_quality": f"WITH q AS (SELECT read_id, i AS pos0, sum({PHRED}) OVER (PARTITION BY read_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING) AS v FROM {READ_LETTERS}) SELECT read_id, count(*) AS n FROM {RS} JOIN q USING (read_id, pos0) WHERE v >= 26 * {K} GROUP BY read_id",
     "early_discard": f"{BASE}, h AS (SELECT read_id, count(*) FILTER (seed IN (SELECT seed FROM n)) AS held, count(*) AS a FROM rs GROUP BY read_id) SELECT read_id, held AS n FROM h WHERE held >= floor(a * 0.1) AND held > 0",
     "discard_by_held_seeds": f"{META}, h AS (SELECT read_id, count(*) AS held FROM rs WHERE seed IN (SELECT seed FROM n) GROUP BY read_id) SELECT read_id, max_score FROM mx JOIN h USING (read_id) WHERE max_score > 0 AND max_score >= floor(held * 0.9)",
+    "chain_scores": f"""{BASE}, d AS (SELECT doc_id AS node, pos0 AS r, seed, rev, row_number() OVER (PARTITION BY doc_id ORDER BY pos0) - 1 AS j FROM gs), x AS (SELECT read_id, pos0 AS q, seed, rev, row_number() OVER (PARTITION BY read_id ORDER BY pos0) - 1 AS i FROM rs),
+      o AS (SELECT node, seed, min(j) AS j, min(r) AS r, bool_or(rev) AS nr FROM d WHERE seed IN (SELECT seed FROM x) GROUP BY node, seed HAVING count(*) = 1), h AS (SELECT read_id, node, i, j, q, r, rev <> nr AS t, CASE WHEN rev <> nr THEN j + i ELSE j - i END AS l FROM x JOIN o USING (seed)),
+      u AS (SELECT *, i - row_number() OVER (PARTITION BY read_id, node, t, l ORDER BY i) AS z FROM h), c AS (SELECT read_id, node, t, count(*) AS n, min(i) AS i, min(q) AS q0, max(q) + {K - 1} AS q1, min(r) AS r0, max(r) + {K - 1} AS r1 FROM u GROUP BY read_id, node, t, l, z),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_id, node ORDER BY n DESC, i) AS p FROM c) WHERE p = 1),
+      y AS (SELECT c.read_id, c.node, c.n, c.t, c.i = b.i AS self, c.i < b.i AS early, c.q0 AS cq0, c.q1 AS cq1, c.r0 AS cr0, c.r1 AS cr1, b.q0 AS bq0, b.q1 AS bq1, b.r0 AS br0, b.r1 AS br1 FROM c JOIN b ON c.read_id = b.read_id AND c.node = b.node AND c.t = b.t),
+      v AS (SELECT *, CASE WHEN early THEN abs(bq0 - cq1) ELSE abs(cq0 - bq1) END AS g, CASE WHEN early <> t THEN cr0 < br0 ELSE br0 < cr0 END AS ok, CASE WHEN NOT t AND early THEN abs(br0 - cr1) WHEN NOT t THEN abs(cr0 - br1) WHEN early THEN abs(cr0 - br1) ELSE abs(br0 - cr1) END AS rg FROM y)
+      SELECT read_id, node, sum(n)::BIGINT AS score FROM v WHERE self OR (ok AND abs(g - rg) < 50) GROUP BY read_id, node""",
+    "sam_lines": f"""WITH q AS (SELECT read_id, s, translate(s, 'ACGT', '5I?+') AS ql FROM {B} WHERE length(s) >= 30), p AS (SELECT a.read_id, least(length(a.s), length(b.s)) AS n, a.s, a.ql, b.s AS rf FROM q a JOIN q b ON a.read_id = b.read_id + 1),
+      x AS (SELECT read_id, n, read_id % 3 = 0 AS rev, substr(rf, 1, n) AS t, CASE WHEN read_id % 3 = 0 THEN {rc('substr(s, 1, n)')} ELSE substr(s, 1, n) END AS o, CASE WHEN read_id % 3 = 0 THEN reverse(substr(ql, 1, n)) ELSE substr(ql, 1, n) END AS w FROM p),
+      m AS (SELECT read_id, i, substr(t, i, 1) AS c FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM x) WHERE substr(o, i, 1) <> substr(t, i, 1)), g AS (SELECT *, i - 1 - coalesce(lag(i) OVER (PARTITION BY read_id ORDER BY i), 0) AS run FROM m),
+      d AS (SELECT read_id, string_agg(run || c, '' ORDER BY i) AS md, max(i) AS last FROM g GROUP BY read_id)
+      SELECT array_to_string(['r' || read_id, CASE WHEN rev THEN '16' ELSE '0' END, 'ref', (read_id * 10 + 1)::VARCHAR, '60', n || 'M', '*', '0', '0', o, w, 'MD:Z:' || coalesce(md, '') || (n - coalesce(last, 0))], chr(9)) AS value FROM x LEFT JOIN d USING (read_id)""",
     "sketch_dedup_by_gaps": f"SELECT count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, string_agg((pos0 - p0) || ':' || seed || ':' || rev::INT, ',' ORDER BY pos0) AS k FROM (SELECT *, min(pos0) OVER (PARTITION BY doc_id) AS p0 FROM {GS}) GROUP BY doc_id) GROUP BY k",
     "sample_scores": SAMPLES,
     "subtree_taxa": f"{TREE}, x AS (SELECT up.ancestor AS node, list_sort(list(DISTINCT taxon)) AS t FROM up JOIN ({CUSTOMER_TAXA}) USING (node_id) GROUP BY up.ancestor) SELECT node, CASE WHEN len(t) > 3 THEN '' ELSE array_to_string(t, ',') END AS taxa, len(t) > 3 AS over FROM x",
