@@ -48,6 +48,12 @@ def spectrum(counts: DataFrame, branches: Column, genome_length: Column) -> Data
     return x.select("base_from", "base_to", "rate", S.phred_of("rate").alias("phred"))
 
 
+def substitution_prior(rates: DataFrame) -> DataFrame:
+    """(base_from, base_to, phred) of rates (base_from, base_to, rate); no rows where no base ever changes, so there is no prior to apply."""
+    any_ = rates.where("base_from <> base_to").agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("most"))
+    return rates.crossJoin(F.broadcast(any_)).where("most > 0").select("base_from", "base_to", S.phred_of("rate").alias("phred"))  # one row
+
+
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """The element n // 2 of the sorted values, of a few rows."""
     return rows.agg(F.element_at(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int") + 1).alias("median"))

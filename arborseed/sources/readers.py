@@ -76,8 +76,11 @@ def taxonomy(spark: SparkSession, path: str, rank: str = "Family") -> DataFrame:
     return body.select(F.col("f")[0].alias("node"), taxon.alias("taxon")).where("taxon <> '.'")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(reads1, reads2, prefix) of a batch file; # starts a comment; the second field is a mate only if it names a read file."""
+def manifest(spark: SparkSession, path: str, must_exist: bool = False) -> DataFrame:
+    """(reads1, reads2, prefix) of a batch file; # starts a comment; the second field is a mate only if it names a read file.
+
+    must_exist: a listed file that isn't there is an error; a batch file lists samples, so its rows are looked at one by one.
+    """
     f = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where((F.trim("value") != "") & ~F.trim("value").startswith("#")).select(f.alias("f"))
     second, third = F.get("f", F.lit(1)), F.get("f", F.lit(2))
@@ -85,7 +88,15 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(F.col("f")[0], r"\.gz$", ""), r"\.(fastq|fq)$", "")
     default = F.regexp_replace(plain, r"(_R1|_R2|_1|_2|\.R1|\.R2)$", "")
     prefix = F.coalesce(F.when(mate, third).otherwise(second), default)
-    return rows.select(F.col("f")[0].alias("reads1"), F.when(mate, second).alias("reads2"), prefix.alias("prefix"))
+    listed = rows.select(F.col("f")[0].alias("reads1"), F.when(mate, second).alias("reads2"), prefix.alias("prefix"))
+    if must_exist:
+        sc = spark.sparkContext
+        for r in listed.toLocalIterator():
+            for name in (r["reads1"], r["reads2"]):
+                at = sc._jvm.org.apache.hadoop.fs.Path(name) if name else None
+                if at is not None and not at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at):
+                    raise FileNotFoundError(name)
+    return listed
 
 
 def primers(spark: SparkSession, path: str, offset: int = 0) -> DataFrame:
@@ -108,7 +119,17 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, di
     meta = spark.read.parquet(f"{path}/meta").first().asDict()
     if meta["format_version"] != FORMAT_VERSION:
         raise ValueError(f"index format {meta['format_version']}, not {FORMAT_VERSION}")
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/seed_changes"), meta
+    nodes, changes = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/seed_changes")
+    checked_index(nodes, changes)
+    return nodes, changes, meta
+
+
+def checked_index(nodes: DataFrame, changes: DataFrame) -> None:
+    """An error if a parent doesn't come before its child in depth-first order, or a change belongs to no node."""
+    if {"dfs_index", "parent_index"} <= set(nodes.columns) and nodes.where(F.col("parent_index") >= F.col("dfs_index")).limit(1).count():
+        raise ValueError("a node comes before its parent")
+    if changes.select("node").distinct().join(nodes.select(F.col("dfs_index").alias("node")), "node", "left_anti").limit(1).count():
+        raise ValueError("a change belongs to no node")
 
 
 def load_mixture_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:

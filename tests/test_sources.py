@@ -47,3 +47,41 @@ def test_sinks(spark, tmp_path):
     changes = spark.createDataFrame([(0, "ACG", 0, 1)], "node int, seed string, parent_count int, child_count int")
     sinks.write_index(nodes, changes, str(tmp_path / "i"), k=15, s=8)
     assert readers.load_index(spark, str(tmp_path / "i"))[2]["k"] == 15
+
+
+def test_faults_in_inputs_are_errors(spark, tmp_path):
+    (tmp_path / "m").write_text(f"{tmp_path}/a.fq\n")
+    with pytest.raises(FileNotFoundError):
+        readers.manifest(spark, str(tmp_path / "m"), True)
+    (tmp_path / "a.fq").write_text("@r\nAC\n+\nI\n")
+    assert readers.manifest(spark, str(tmp_path / "m"), True).count() == 1
+    with pytest.raises(Exception, match="FASTQ"):
+        readers.reads(spark, str(tmp_path / "a.fq")).collect()
+    nodes = spark.createDataFrame([(0, None), (1, 2), (2, 0)], "dfs_index int, parent_index int")
+    changes = spark.createDataFrame([(1, 5)], "node int, seed long")
+    with pytest.raises(ValueError, match="before its parent"):
+        readers.checked_index(nodes, changes)
+    with pytest.raises(ValueError, match="no node"):
+        readers.checked_index(nodes.where("dfs_index <> 1"), changes)
+
+
+def test_many_small_splits_keep_the_order(spark, tmp_path):
+    (tmp_path / "x.fastq").write_text("".join(f"@r{i}\n{'ACGT' * (i % 9)}\n+\n{'IIII' * (i % 9)}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = readers.reads(spark, str(tmp_path / "x.fastq")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["read_id"], r["name"], r["seq"]) for r in got) == [(i, f"r{i}", "ACGT" * (i % 9)) for i in range(3000)]
+
+
+def test_no_prior_without_changes(spark):
+    from arborseed.operators import variants as V
+
+    still = spark.createDataFrame([("A", "A", 1.0), ("A", "C", 0.0)], "base_from string, base_to string, rate double")
+    assert V.substitution_prior(still).count() == 0
+    moved = spark.createDataFrame([("A", "A", 0.9), ("A", "C", 0.1)], "base_from string, base_to string, rate double")
+    assert {r["base_to"]: round(r["phred"], 3) for r in V.substitution_prior(moved).collect()} == {"A": 0.458, "C": 10.0}
