@@ -91,6 +91,21 @@ def pileup(alignments: DataFrame, least_quality: int = 0) -> DataFrame:
     return x.where(F.col("q") >= least_quality).groupBy("pos", "base").agg(F.count("*").alias("n"), F.sum("q").alias("quality"))
 
 
+def haploid_likelihoods(alignments: DataFrame, least_quality: int = 0) -> DataFrame:
+    """(pos, depth, ad, pl): of each covered place the depths of A, C, G, T and the Phred-scaled likelihoods of a genome that has each.
+
+    An observation of quality q is wrong by 10^(-q/10), then any of the other three bases alike; the likeliest base has 0. Qualities
+    of 0 count as 1, for their observations say nothing either way. alignments as for `pileup`.
+    """
+    x = alignments.select("pos", F.posexplode(F.arrays_zip(F.split("seq", ""), F.transform(F.split("qual", ""), lambda c: F.ascii(c) - 33))).alias("at", "x"))
+    x = x.select((F.col("pos") + F.col("at")).alias("pos"), F.col("x.0").alias("base"), F.col("x.1").alias("q")).where(F.col("base").rlike("^[ACGT]$") & (F.col("q") >= least_quality))
+    wrong = F.pow(F.lit(10.0), -F.greatest(F.lit(1), F.col("q")) / 10)
+    is_, isnt = -10 * F.log10(1 - wrong), -10 * F.log10(wrong / 3)
+    sums = x.groupBy("pos").agg(F.count("*").alias("depth"), *(F.count(F.when(F.col("base") == b, 1)).alias(f"n{b}") for b in "ACGT"), *(F.sum(F.when(F.col("base") == b, is_).otherwise(isnt)).alias(f"l{b}") for b in "ACGT"))
+    best = F.least(*(F.col(f"l{b}") for b in "ACGT"))
+    return sums.select("pos", "depth", F.array(*(F.col(f"n{b}") for b in "ACGT")).alias("ad"), F.array(*(F.col(f"l{b}") - best for b in "ACGT")).alias("pl"))
+
+
 def haploid_calls(piled: DataFrame, reference: DataFrame, min_depth: int = 1) -> DataFrame:
     """(pos, ref, alt, depth, support): positions where over half of the depth is one base other than the reference's; by node if it has nodes."""
     best = piled.groupBy("pos").agg(F.sum("n").alias("depth"), F.max(F.struct("n", "quality", "base")).alias("b"))
@@ -99,8 +114,12 @@ def haploid_calls(piled: DataFrame, reference: DataFrame, min_depth: int = 1) ->
 
 
 def consensus(genomes: DataFrame, calls: DataFrame, key: str, seq: str) -> DataFrame:
-    """(key, consensus): each genome (key, seq) with its called bases (key, pos from 1, alt); only the calls are gathered by genome."""
-    own = calls.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - 1).alias("pos"), F.col("alt").alias("base")))).alias("_calls"))
+    """(key, consensus): each genome (key, seq) with its calls (key, pos from 1, alt, and ref for insertions and deletions).
+
+    Only the calls are gathered by genome. A call that overlaps the one before it, or lies outside, is left out.
+    """
+    size = F.length("ref") if "ref" in calls.columns else F.lit(1)
+    own = calls.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - 1).alias("pos"), F.col("alt").alias("base"), size.alias("size")))).alias("_calls"))
 
     @F.pandas_udf("string")
     def called(seqs: pd.Series, found: pd.Series) -> pd.Series:
@@ -112,11 +131,12 @@ def consensus(genomes: DataFrame, calls: DataFrame, key: str, seq: str) -> DataF
 def _called(seq: str, calls) -> str:
     if calls is None:
         return seq
-    out = list(seq)
+    out, at = [], 0
     for c in calls:
-        if 0 <= c["pos"] < len(out):
-            out[c["pos"]] = c["base"]
-    return "".join(out)
+        if at <= c["pos"] and c["pos"] + c["size"] <= len(seq):
+            out += [seq[at : c["pos"]], c["base"]]
+            at = c["pos"] + c["size"]
+    return "".join(out) + seq[at:]
 
 
 #: Parameters of `align` by the kind of reads: band, match, mismatch, gap. Short accurate, long, long accurate, and damaged old reads.

@@ -113,6 +113,15 @@ def collapse_scoring(spark, d):
     return tree.collapsed(Q._paths(spark, d), changed)
 
 
+@query
+def collapse_to_parent(spark, d):
+    """Each document's nearest node above it, itself included, whose seeds differ from its parent's."""
+    changes, docs = Q._changes(spark, d)
+    kept = stash(changes.select(F.col("node").alias("ancestor")).distinct(), "kept").union(spark.createDataFrame([("root",)], "ancestor string")).distinct()
+    up = docs.select(F.col("doc").alias("node_id"), F.posexplode(F.array(F.lit("root"), "lang", "source_node", "doc")).alias("ancestor_depth", "ancestor"))
+    return tree.nearest_kept(up, kept)
+
+
 @query
 def orientation_changes(spark, d):
     docs = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("parent"))
@@ -215,6 +224,23 @@ def median_length(spark, d):
     return V.upper_median(x, "len")
 
 
+@query
+def haploid_likelihoods(spark, d):
+    laid = _qualities(spark, d).select((F.col("read_id") + 1).alias("pos"), F.col("s").alias("seq"), "qual")
+    x = V.haploid_likelihoods(laid, 15)
+    return x.select(long("pos").alias("pos"), "depth", *(F.col("ad")[i].alias(f"n_{b}") for i, b in enumerate("ACGT")), *(rounded(F.col("pl")[i], 4).alias(f"pl_{b}") for i, b in enumerate("ACGT")))
+
+
+@query
+def consensus_indels(spark, d):
+    """A deletion of two bases and an insertion of three in every document of 40 bases or more, and a call that overlaps the first."""
+    g = Q.genomes(spark, d).where(F.length("s") >= 40).select("doc_id", "s")
+    part = lambda at, n: F.substring(F.col("s"), F.lit(at), F.lit(n))
+    calls = [(11, part(11, 3), part(11, 1)), (12, part(12, 1), F.lit("N")), (21, part(21, 1), F.concat(part(21, 1), F.lit("ACG")))]
+    x = g.select("doc_id", F.explode(F.array(*(F.struct(F.lit(p).alias("pos"), r.alias("ref"), a.alias("alt")) for p, r, a in calls))).alias("c")).select("doc_id", "c.*")
+    return V.consensus(g, x, "doc_id", "s").select("doc_id", F.md5("consensus").alias("h"))
+
+
 @query
 def consensus_summary(spark, d):
     x = Q.genomes(spark, d).select("doc_id", F.regexp_replace("s", "AAC", "NnC").alias("s"))
@@ -323,6 +349,44 @@ def frequency_lines(spark, d):
     return T.frequency_lines(counts, counts.where("seed % 10 = 0"))
 
 
+@query
+def vcf_lines(spark, d):
+    from ..sources import sinks
+
+    calls = stash(V.haploid_calls(V.pileup(Q.reads(spark, d).select((F.col("read_id") + 1).alias("pos"), F.col("s").alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))), _first_document(spark, d)), "calls")
+    return sinks.vcf_lines(calls, "first")
+
+
+def _first_document(spark, d):
+    """The places of the longest document, the first of equals."""
+    g = Q.genomes(spark, d).select("doc_id", "s")
+    longest = g.agg(F.max(F.struct(F.length("s").alias("n"), (-F.col("doc_id")).alias("less"))).alias("m")).select((-F.col("m.less")).alias("first"))
+    return V.positions(g.join(F.broadcast(longest), F.col("doc_id") == F.col("first")), "doc_id", F.col("s")).select("pos", "base")  # one row
+
+
+@query
+def breadth_lines(spark, d):
+    from ..sources import sinks
+
+    return sinks.breadth_lines(stash(Q.QUERIES["breadth_ratio"](spark, d).select("node", "total", "covered"), "breadth"))
+
+
+@query
+def assignment_lines(spark, d):
+    from ..sources import sinks
+
+    assigned = stash(Q._assigned(spark, d).select("read_id", "node"), "assigned")
+    taxa = table(spark, d, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("node"), F.col("lang").alias("taxon"))
+    return sinks.assignment_lines(assigned, taxa)
+
+
+@query
+def placement_lines(spark, d):
+    from ..sources import sinks
+
+    return sinks.placement_lines(P.placements(stash(Q._scored(spark, d).select("node", *(rounded(m).alias(m) for m in P.METRICS)), "scored")))
+
+
 @query
 def assigned_fastq(spark, d):
     """Each assigned read once, with its number in the order of writing: names and qualities are joined to the few that are left."""

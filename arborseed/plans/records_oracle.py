@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.genomes import NIBBLES
-from .oracle import BASE, GS, LONG, META, RS, SCORES, SITES, TREE, B, G, K, as_signed, base_values, dna, rc
+from .oracle import BASE, DELTA, GS, LONG, META, RS, SCORES, SITES, TREE, B, G, K, as_signed, base_values, dna, rc
 from .oracle import ORACLES as BASE_ORACLES
 
 #: A value rotated by a row's own number of places.
@@ -91,6 +91,17 @@ ORACLES: dict[str, str] = {
     "simulated_changes": f"WITH t AS (SELECT doc_id, s, CASE WHEN length(s) > 2000 THEN 1000 ELSE 0 END AS fl, unnest(range(0, 32)) AS try FROM {G} WHERE length(s) > 0), d AS (SELECT *, {HEX7.format(x="'1:' || doc_id || ':' || try")} AS draw FROM t), p AS (SELECT *, fl + draw % (length(s) - 2 * fl) AS pos FROM d), f AS (SELECT doc_id, pos, min(try) AS try, arg_min(draw, try) AS draw, any_value(substr(s, pos + 1, 1)) AS ref FROM p GROUP BY doc_id, pos), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY try) AS i FROM f) SELECT doc_id, pos::BIGINT AS pos, ref, 'ACGT'[(instr('ACGT', ref) + draw % 3) % 4 + 1] AS alt FROM k WHERE i <= 8",
     "sampled_leaves": f"{TREE} SELECT node_id FROM num WHERE is_leaf ORDER BY {LEAVES.format(x='node_id')}, node_id LIMIT 20",
     "median_length": f"WITH t AS (SELECT length(s) AS l FROM (SELECT * FROM {G} ORDER BY {LEAVES.format(x='doc_id')}, doc_id LIMIT 10)) SELECT list_sort(list(l))[count(*) // 2 + 1] AS median FROM t",
+    "haploid_likelihoods": f"""WITH o AS (SELECT read_id + 1 + i AS pos, c, {PHRED} AS q FROM {READ_LETTERS} WHERE {PHRED} >= 15), w AS (SELECT pos, c, 10.0 ^ (-q / 10.0) AS e FROM o),
+      l AS (SELECT pos, count(*) AS depth, {', '.join(f"count(*) FILTER (c = '{b}') AS n_{b}, sum(CASE WHEN c = '{b}' THEN -10 * log10(1 - e) ELSE -10 * log10(e / 3) END) AS l{b}" for b in 'ACGT')} FROM w GROUP BY pos)
+      SELECT pos, depth, n_A, n_C, n_G, n_T, {', '.join(f'round(l{b} - least(lA, lC, lG, lT), 4) AS pl_{b}' for b in 'ACGT')} FROM l""",
+    "consensus_indels": f"SELECT doc_id, md5(substr(s, 1, 11) || substr(s, 14, 8) || 'ACG' || substr(s, 22)) AS h FROM {G} WHERE length(s) >= 40",
+    "collapse_to_parent": f"{DELTA}, k AS (SELECT DISTINCT node FROM ch) SELECT d AS node_id, CASE WHEN d IN (FROM k) THEN d WHEN so IN (FROM k) THEN so WHEN lang IN (FROM k) THEN lang ELSE 'root' END AS keeper FROM lv",
+    "vcf_lines": f"""WITH b AS (SELECT read_id + 1 + i AS pos, c FROM {READ_LETTERS}), n AS (SELECT pos, c, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT pos, sum(n)::BIGINT AS depth, arg_max(c, n * 1000 + ascii(c)) AS alt, max(n) AS support FROM n GROUP BY pos),
+      f AS (SELECT s FROM {G} ORDER BY length(s) DESC, doc_id LIMIT 1) SELECT 'first' || chr(9) || pos || chr(9) || '.' || chr(9) || substr(s, pos::INT, 1) || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || '.' || chr(9) || 'GT' || chr(9) || '1' AS value
+      FROM m, f WHERE pos <= length(s) AND substr(s, pos::INT, 1) <> alt AND support * 2 > depth""",
+    "breadth_lines": f"{META}, h AS (SELECT node, seed, count(*) AS d FROM a JOIN (SELECT DISTINCT read_id, seed FROM rs) USING (read_id) JOIN n USING (node, seed) GROUP BY ALL) SELECT node || chr(9) || count(*) || chr(9) || count(d) AS value FROM n LEFT JOIN h USING (node, seed) GROUP BY node",
+    "assignment_lines": f"{META} SELECT node || chr(9) || CASE WHEN any_value(lang) = 'en' THEN '.' ELSE any_value(lang) END || chr(9) || count(*) || chr(9) || string_agg(read_id, ',' ORDER BY read_id) AS value FROM a JOIN g ON node = doc_id GROUP BY node",
+    "placement_lines": f"{SCORES}, l AS ({LONG}), b AS (SELECT metric, max(score) AS m FROM l GROUP BY metric) SELECT metric || chr(9) || printf('%.6f', max(m)) || chr(9) || string_agg(node, ',' ORDER BY node) AS value FROM l JOIN b USING (metric) WHERE score > 0 AND score >= m - greatest(1e-9, 1e-4 * m) GROUP BY metric",
     "consensus_summary": f"SELECT doc_id, length(s) AS length, (2 * ((length(s) - length(replace(s, 'AAC', ''))) // 3))::BIGINT AS unknown FROM {G}",
     "vcf_fields": f"{VCF} SELECT site AS pos, gt::BIGINT AS gt, CASE WHEN site % 5 = 0 THEN 7 ELSE 4 END::BIGINT AS n_pl, best AS depth, 'CGT' AS alts FROM f",
     "vcf_plain": f"{VCF} SELECT site AS pos, gt::BIGINT AS gt, CASE WHEN site % 7 = 0 THEN '.' ELSE best::VARCHAR END AS qual {PLAIN}",

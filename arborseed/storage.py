@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="arborseed-")
+        made = tempfile.mkdtemp(prefix="arborseed-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        at = "file://" + made
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
