@@ -89,6 +89,12 @@ def overlap_coefficients(nodes: DataFrame, query: DataFrame) -> DataFrame:
     return oc.join(ranks, F.col("overlap") == F.col("value")).select("node", "overlap", "oc_rank")
 
 
+def candidates(oc: DataFrame, top_oc: int = 1000, named_only: bool = False, inner: str = "node_") -> DataFrame:
+    """(node): the nodes of the best `top_oc` distinct overlaps, all ties among them; named_only: without those whose name begins with `inner`."""
+    best = oc.where(F.col("oc_rank") < top_oc)
+    return (best.where(~F.col("node").cast("string").startswith(inner)) if named_only else best).select("node")
+
+
 def seed_weights(read_seeds: DataFrame) -> DataFrame:
     """(grp, seed, w): reads of a group that hold the seed. read_seeds(read_id, grp, seed)."""
     return read_seeds.select("grp", "read_id", "seed").distinct().groupBy("grp", "seed").agg(F.count("*").alias("w"))
@@ -219,7 +225,7 @@ def abundances(scores: DataFrame, totals: DataFrame, oc: DataFrame, top_oc: int
     on the driver; a larger one stays in its partitions, and each step of the fit is a job that sums over them.
     """
     spark = scores.sparkSession
-    x = scores.join(oc.where(F.col("oc_rank") < top_oc).select("node"), "node", "left_semi")
+    x = scores.join(candidates(oc, top_oc), "node", "left_semi")
     vector = x.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("node", "score"))).alias("v")).join(totals, "read_id")
     rows = stash(vector.groupBy("seeds", "v").agg(F.count("*").alias("w")), "vectors")
     column = rows.withColumn("i", F.monotonically_increasing_id()).select("i", F.explode("v").alias("e")).select(F.col("e.node").alias("node"), F.struct("i", "e.score").alias("x"))

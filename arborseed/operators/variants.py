@@ -270,3 +270,30 @@ def aligned(pairs: DataFrame) -> DataFrame:
 
     kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("read_id", "node")}
     return pairs.mapInPandas(run, f"read_id {kinds['read_id']}, node {kinds['node']}, start long, score long, edits long, rev boolean")
+
+
+def node_alignments(assigned: DataFrame, reads: DataFrame, references: DataFrame, least: int = 1, most: int = 64) -> DataFrame:
+    """(node, read_id, start, score, edits, rev) of the reads assigned to each node that has `least` or more, on its genome.
+
+    assigned(read_id, node), reads(read_id, seq), references(node, reference). A node's reads are dealt to groups of about `most`
+    by a hash, so a node with very many is shared by many tasks; those of a group are aligned together.
+    """
+    counts = assigned.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    groups = F.ceil(F.col("n") / most).cast("int")
+    x = assigned.join(counts, "node").join(reads.select("read_id", "seq"), "read_id").withColumn("g", F.pmod(F.xxhash64("read_id"), groups))
+    dealt = x.groupBy("node", "g").agg(F.collect_list(F.struct("read_id", "seq")).alias("reads")).join(references.select("node", "reference"), "node").select("node", "reference", "reads")
+    turn = str.maketrans("ACGT", "TGCA")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for node, reference, held in zip(b["node"], b["reference"], b["reads"], strict=True):
+                seqs = [r["seq"] for r in held]
+                found = align_all(seqs + [s[::-1].translate(turn) for s in seqs], reference, kmer_places(reference))
+                for r, one, two in zip(held, found[: len(seqs)], found[len(seqs) :], strict=True):
+                    rev = two[1] > one[1]
+                    out.append((node, r["read_id"], *(two if rev else one), rev))
+            yield pd.DataFrame(out, columns=["node", "read_id", "start", "score", "edits", "rev"])
+
+    kinds = {c: assigned.schema[c].dataType.simpleString() for c in ("read_id", "node")}
+    return dealt.mapInPandas(run, f"node {kinds['node']}, read_id {kinds['read_id']}, start long, score long, edits long, rev boolean")

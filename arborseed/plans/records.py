@@ -306,6 +306,33 @@ def sam_lines(spark, d):
     return T.sam_lines(x)
 
 
+@query
+def sam_round_trip(spark, d):
+    """SAM text written to files and read again."""
+    from ..sources import readers, sinks
+    from ..storage import stash_path
+
+    path = stash_path(spark, "sam")
+    sinks.write_lines(sam_lines(spark, d), path, "@HD\tVN:1.6")
+    return readers.alignments(spark, path).select("name", long("flag").alias("flag"), "start", "cigar", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), "rev", "mapped")
+
+
+@query
+def node_alignments(spark, d):
+    """Assigned passages aligned on the documents they are assigned to."""
+    assigned = stash(Q._assigned(spark, d).select("read_id", "node"), "assigned")
+    refs = Q.genomes(spark, d).select(F.col("doc_id").alias("node"), F.col("s").alias("reference"))
+    return V.node_alignments(assigned, Q.reads(spark, d).select("read_id", F.col("s").alias("seq")), refs)
+
+
+@query
+def read_groups(spark, d):
+    """Groups of passages put together, one with its columns in another order."""
+    x = Q.reads(spark, d)
+    even, odd = x.where("read_id % 2 = 0").select("s", "read_id"), x.where("read_id % 2 = 1")
+    return odd.unionByName(even).select("read_id", F.md5("s").alias("h"))
+
+
 @query
 def oriented_reads(spark, d):
     q = _qualities(spark, d)

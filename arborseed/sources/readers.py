@@ -142,3 +142,19 @@ def load_mixture_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
         raise ValueError(f"not a mixture index of format {FORMAT_VERSION}")
     changes = spark.read.parquet(f"{path}/changes").join(spark.read.parquet(f"{path}/dictionary"), "seed_id").select("node", "seed", "d_fwd", "d_rev")
     return changes, spark.read.parquet(f"{path}/tree"), meta
+
+
+def alignments(spark: SparkSession, path: str) -> DataFrame:
+    """(name, flag, reference, start from 0, mapq, cigar, seq, qual, rev, mapped) of SAM text; header lines are left out."""
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("@")).select(f.alias("f"))
+    flag = F.col("f")[1].cast("int")
+    return rows.select(
+        F.col("f")[0].alias("name"), flag.alias("flag"), F.col("f")[2].alias("reference"), (F.col("f")[3].cast("long") - 1).alias("start"), F.col("f")[4].cast("int").alias("mapq"),
+        F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq"), F.col("f")[10].alias("qual"), (flag.bitwiseAND(16) != 0).alias("rev"), (flag.bitwiseAND(4) == 0).alias("mapped"))
+
+
+def true_abundances(spark: SparkSession, path: str) -> DataFrame:
+    """(node, abundance) of a white-space separated file."""
+    f = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).where(F.trim("value") != "").select(f[0].alias("node"), f[1].cast("double").alias("abundance"))

@@ -153,3 +153,22 @@ def test_a_mixture_index_of_another_kind_is_an_error(spark, tmp_path):
     sinks.write_index(spark.createDataFrame([(0, "r")], "dfs_index int, node_id string"), nodes.select("node", "seed"), str(tmp_path / "p"))
     with pytest.raises(Exception):
         readers.load_mixture_index(spark, str(tmp_path / "p"))
+
+
+def test_reads_of_a_node_are_aligned_on_its_genome(spark):
+    rng = np.random.default_rng(8)
+    refs = {n: "".join(rng.choice(list("ACGT"), 200)) for n in (1, 2, 3)}
+    reads = {i: refs[1 + i % 2][i : i + 50] for i in range(0, 100, 5)}
+    assigned = [(i, 1 + i % 2) for i in reads] + [(0, 3)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = V.node_alignments(made(assigned, "read_id int, node int"), made(list(reads.items()), "read_id int, seq string"), made(list(refs.items()), "node int, reference string"), 2, 4).collect()
+    assert {(r["node"], r["read_id"], r["start"], r["edits"], r["rev"]) for r in got} == {(n, i, i, 0, False) for i, n in assigned if n < 3}
+
+
+def test_candidates_and_small_readers(spark, tmp_path):
+    from arborseed.sources import readers
+
+    oc = spark.createDataFrame([("node_1", 0), ("x", 0), ("y", 1), ("z", 2)], "node string, oc_rank int")
+    assert {r["node"] for r in M.candidates(oc, 2).collect()} == {"node_1", "x", "y"} and {r["node"] for r in M.candidates(oc, 2, True).collect()} == {"x", "y"}
+    (tmp_path / "t").write_text("a 0.25\nb\t0.75\n")
+    assert [tuple(r) for r in readers.true_abundances(spark, str(tmp_path / "t")).collect()] == [("a", 0.25), ("b", 0.75)]
