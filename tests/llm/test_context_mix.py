@@ -183,3 +183,11 @@ def test_scores_match_a_model_counted_by_hand(spark, monkeypatch):
         by.setdefault(d, []).append(score(t))
     for r in got:
         assert min(abs(r["score"] - s) for s in by[r["doc_id"]]) < 1e-3
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    df = spark.createDataFrame([(1, long), (4, "w1 w2"), (4, "w1 w2"), (4, "w3"), (None, "w1 w2")], "doc_id long, text string").repartition(2)
+    got = C.mixing_scores(df).collect()
+    assert len(got) == 5 and {r["n_tokens"] for r in got} == {200_001, 3, 2}
+    assert len({r["score"] for r in got if r["n_tokens"] == 3}) == 1 and all(r["score"] < 0 for r in got)

@@ -212,6 +212,18 @@ def test_links_around_blocks_count_as_links():
 
 
 def test_pages(spark):
-    df = spark.createDataFrame([(1, "u", "<article><p>é x</article>", 3), (None, None, None, 4)], "page_id long, url string, html string, text int")
-    assert sorted((tuple(r) for r in html_blocks.extract(df).collect()), key=str) == sorted([(1, "u", "é x", 3), (None, None, "", 0)], key=str)
+    long = "<main>" + "<p>words &amp; more</p>" * 30_000 + "</main>"
+    rows = [(1, "u", "<article><p>é x</article>", 3), (1, "u", "<article><p>é x</article>", 3), (None, None, None, 4), (2, "v", long, 5), (3, "w", "", 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    text = " ".join(["words & more"] * 30_000)
+    want = [(1, "u", "é x", 3), (1, "u", "é x", 3), (None, None, "", 0), (2, "v", text, len(text)), (3, "w", "", 0)]
+    assert sorted((tuple(r) for r in html_blocks.extract(df).collect()), key=str) == sorted(want, key=str)
     assert html_blocks.extract(df.limit(0)).count() == 0
+
+
+def test_the_tree_needs_densities_where_names_say_nothing():
+    """A page without telling names: menus of links go and paragraphs stay by link density and length alone."""
+    menu = "<div>" + "".join(f"<div><a href=/{i}>Entry number {i}</a></div>" for i in range(6)) + "</div>"
+    story = "".join(f"<div>Paragraph {i} of the story has a good number of words, so that it reads like one, and a <a href=x>link</a> too.</div>" for i in range(4))
+    got = html_blocks.main_text(f"<body>{menu}<div>{story}</div><div><a href=a>About</a> <a href=b>Terms</a></div></body>")
+    assert got.count("Paragraph") == 4 and "Entry" not in got and "Terms" not in got
