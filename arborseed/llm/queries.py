@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mix, html_blocks, importance, induced_dedup, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger
+from . import context_mix, exact_dedup, html_blocks, importance, induced_dedup, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_context_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mix.mixing_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_blocks": op1_html_blocks,
     "op2_line_spread": op2_line_spread,
@@ -71,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_induced_dedup": op9_induced_dedup,
     "op10_context_mix": op10_context_mix,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_line_spread": line_spread.oracle(),
     "op8_secret_ledger": secret_ledger.oracle(),
+    "op12_exact_dedup": exact_dedup.oracle(),
 }
