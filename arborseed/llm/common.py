@@ -148,10 +148,10 @@ class Hashed:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, index of the first word of each row and of the end) of the words [^\\x20\\x09-\\x0D]+."""
+def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, index of the first word of each row and of the end) of the words, [^\\x20\\x09-\\x0D]+ unless told otherwise."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SEPARATOR[data]
+    inside[1:-1] = ~separator[data]
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     edge = off[1:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mix, exact_dedup, html_blocks, importance, induced_dedup, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger
+from . import context_mix, exact_dedup, html_blocks, importance, induced_dedup, jaccard_join, kn_quality, line_spread, lsi_decontam, packing, secret_ledger, spelling_variants, target_resampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,18 @@ def op10_context_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mix.mixing_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_blocks": op1_html_blocks,
     "op2_line_spread": op2_line_spread,
@@ -75,10 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_induced_dedup": op9_induced_dedup,
     "op10_context_mix": op10_context_mix,
+    "op11_target_resampling": op11_target_resampling,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op2_line_spread": line_spread.oracle(),
     "op8_secret_ledger": secret_ledger.oracle(),
+    "op11_target_resampling": target_resampling.oracle(),
     "op12_exact_dedup": exact_dedup.oracle(),
+    "op13_spelling_variants": spelling_variants.oracle(),
 }
