@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import records  # noqa: F401  registers its queries
+from .plans import alignments, records  # noqa: F401  the latter registers its queries
 from .plans.oracle import ORACLES as BASE_ORACLES
-from .plans.queries import QUERIES
+from .plans.queries import QUERIES as BASE_QUERIES
 from .plans.records_oracle import ORACLES as RECORD_ORACLES
 
-ORACLES = {**BASE_ORACLES, **RECORD_ORACLES}
+QUERIES = {**BASE_QUERIES, **alignments.QUERIES}
+ORACLES = {**BASE_ORACLES, **RECORD_ORACLES, **alignments.ORACLES}
 
 __all__ = ["ORACLES", "QUERIES"]

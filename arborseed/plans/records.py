@@ -317,14 +317,6 @@ def sam_round_trip(spark, d):
     return readers.alignments(spark, path).select("name", long("flag").alias("flag"), "start", "cigar", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), "rev", "mapped")
 
 
-@query
-def node_alignments(spark, d):
-    """Assigned passages aligned on the documents they are assigned to."""
-    assigned = stash(Q._assigned(spark, d).select("read_id", "node"), "assigned")
-    refs = Q.genomes(spark, d).select(F.col("doc_id").alias("node"), F.col("s").alias("reference"))
-    return V.node_alignments(assigned, Q.reads(spark, d).select("read_id", F.col("s").alias("seq")), refs)
-
-
 @query
 def read_groups(spark, d):
     """Groups of passages put together, one with its columns in another order."""
