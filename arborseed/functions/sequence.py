@@ -135,9 +135,9 @@ def sam_flag(paired: Column, proper: Column, unmapped: Column, mate_unmapped: Co
 
 
 def template_length(start: Column, end: Column, rev: Column, mate_start: Column, mate_end: Column, mate_rev: Column) -> Column:
-    """From one read's 5' end to the other's, ends included, signed by order."""
+    """From one read's 5' end to the other's, ends included, signed by order; 0 where both are the same place."""
     here, there = F.when(rev, end - 1).otherwise(start), F.when(mate_rev, mate_end - 1).otherwise(mate_start)
-    return F.when(there >= here, there - here + 1).otherwise(there - here - 1)
+    return there - here + F.signum(there - here).cast("int")
 
 
 def base_value(c: Column | str) -> Column:

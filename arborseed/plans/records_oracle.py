@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
     "variant_count": f"{VCF} SELECT count(*) AS variants {PLAIN}",
     "sam_fields": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 300 AS a, l_suppkey % 300 AS b, l_quantity > 25 AS rev, l_linenumber % 2 = 0 AS fst, l_quantity::BIGINT AS n FROM lineitem),
       y AS (SELECT *, CASE WHEN rev THEN a + n - 1 ELSE a END AS h, CASE WHEN rev THEN b ELSE b + 39 END AS t, CASE WHEN rev THEN n % 3 ELSE n % 4 END AS c1, CASE WHEN rev THEN n % 4 ELSE n % 3 END AS c2 FROM x)
-      SELECT l_orderkey, l_linenumber, (1 + CASE WHEN n > 3 THEN 2 ELSE 0 END + CASE WHEN rev THEN 16 ELSE 32 END + CASE WHEN fst THEN 64 ELSE 128 END)::BIGINT AS flag, (CASE WHEN t >= h THEN t - h + 1 ELSE t - h - 1 END)::BIGINT AS tlen,
+      SELECT l_orderkey, l_linenumber, (1 + CASE WHEN n > 3 THEN 2 ELSE 0 END + CASE WHEN rev THEN 16 ELSE 32 END + CASE WHEN fst THEN 64 ELSE 128 END)::BIGINT AS flag, (CASE WHEN t > h THEN t - h + 1 WHEN t < h THEN t - h - 1 ELSE 0 END)::BIGINT AS tlen,
       CASE WHEN c1 > 0 THEN c1 || 'S' ELSE '' END || (n + 20 - c1 - c2) || 'M' || CASE WHEN c2 > 0 THEN c2 || 'S' ELSE '' END AS cigar FROM y""",
     "sam_round_trip": f"""WITH q AS (SELECT read_id, s, translate(s, 'ACGT', '5I?+') AS ql FROM {B} WHERE length(s) >= 30), p AS (SELECT a.read_id, least(length(a.s), length(b.s)) AS n, a.s, a.ql FROM q a JOIN q b ON a.read_id = b.read_id + 1)
       SELECT 'r' || read_id AS name, CASE WHEN read_id % 3 = 0 THEN 16 ELSE 0 END::BIGINT AS flag, read_id * 10 AS start, n || 'M' AS cigar, md5(CASE WHEN read_id % 3 = 0 THEN {rc('substr(s, 1, n)')} ELSE substr(s, 1, n) END) AS seq,

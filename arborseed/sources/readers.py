@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import fastq
 
 READ = "read_id long, name string, seq string, qual string"
 #: The version of the stored index that load_index accepts.
@@ -26,11 +27,11 @@ def numbered_lines(spark: SparkSession, path: str, separator: str | None = None)
     return rows.join(F.broadcast(sizes.withColumn("before", before)), ["file", "block"]).select((F.col("before") + F.col("m") - F.col("first")).alias("at"), "line")
 
 
-def reads(spark: SparkSession, path: str) -> DataFrame:
+def reads(spark: SparkSession, path: str, split_bytes: int = fastq.SPLIT) -> DataFrame:
     """Reads of a FASTQ or FASTA file, gzipped or not, with read_id in file order; FASTA gets quality I throughout.
 
-    A FASTQ record is four lines: @ and the name, the sequence, +, a quality as long as the sequence; all else is an error. Lines
-    meet by their number; everything runs in the JVM.
+    A FASTQ record is four lines: @ and the name, the sequence, +, a quality as long as the sequence; all else is an error. Splits
+    find their records themselves; a count of each split's records numbers them, without a shuffle of reads.
     """
     kind = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     if not kind:
@@ -40,13 +41,15 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
         body = F.split(F.regexp_replace(F.regexp_replace("line", "^>", ""), "\r", ""), "\n", 2)
         name, seq = F.split(body[0], r"\s+")[0], F.regexp_replace(F.coalesce(F.get(body, F.lit(1)), F.lit("")), r"[\n>]+$|\n", "")
         return rows.select(F.col("at").cast("long").alias("read_id"), name.alias("name"), seq.alias("seq")).withColumn("qual", F.repeat(F.lit("I"), F.length("seq")))
-    part = F.col("at") % 4
-    lines = numbered_lines(spark, path)
-    whole = lines.groupBy(F.floor(F.col("at") / 4).alias("read_id")).agg(*(F.max(F.when(part == i, F.col("line"))).alias(f"l{i}") for i in range(4)))
-    whole = whole.where(F.coalesce(F.concat("l0", "l1", "l2", "l3"), F.lit("x")) != "")  # empty lines at the end
-    good = F.col("l0").startswith("@") & F.col("l2").startswith("+") & (F.length("l1") == F.length("l3"))
-    checked = whole.withColumn("ok", F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit("not a FASTQ record")).cast("boolean"))).where("ok")
-    return checked.select(F.col("read_id").cast("long"), F.split(F.substring("l0", 2, 1 << 20), r"\s+")[0].alias("name"), F.col("l1").alias("seq"), F.col("l3").alias("qual"))
+    scanned = fastq.scan(spark, path, split_bytes)
+    sizes = scanned.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))  # a row for each split
+    before, offsets = 0, []
+    for r in sizes.orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    offset = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "part int, before long"))
+    placed = scanned.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    return placed.join(offset, F.col("_part") == F.col("part")).select((F.col("before") + F.col("_at")).alias("read_id"), "name", "seq", "qual")
 
 
 def paired_reads(spark: SparkSession, first: str, second: str, for_alignment: bool = False) -> DataFrame:
