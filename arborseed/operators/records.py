@@ -130,3 +130,44 @@ def consensus_header(sample: Column | str, node: Column | str) -> Column:
 def fasta_index(name: str, length: int, width: int = 80, offset: int = 0) -> str:
     """A line of a FASTA index: name, bases, offset of the first base, bases and bytes of a line; offset: where the record begins."""
     return f"{name}\t{length}\t{offset + len(name.encode()) + 2}\t{width}\t{width + 1}"
+
+
+#: The most bases that a proper pair spans.
+MAX_SPAN = 800
+
+
+def sam_records(found: DataFrame, reads: DataFrame, paired: bool = False, max_span: int = MAX_SPAN) -> DataFrame:
+    """What alignment files hold of alignments(node, read_id, rev, start, end, cigar, md, edits, quality) of reads(read_id, name, seq, qual).
+
+    Paired reads have ids 2 * pair + mate; a mate's fields come from its alignment on the same node, and a read whose mate isn't
+    aligned there is left out. A pair is proper if it lies on opposite strands, the forward read first, within max_span bases.
+    """
+    own = reads.select(F.col("read_id").alias("_id"), S.without_mate("name").alias("name"), F.col("seq").alias("_seq"), F.col("qual").alias("_qual"))
+    x = found.join(own, F.col("read_id") == F.col("_id"))
+    seq, qual = oriented(F.col("_seq"), F.col("_qual"), F.col("rev"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    if paired:
+        mate = found.select(F.col("node").alias("m_node"), F.col("read_id").bitwiseXOR(F.lit(1)).alias("m_id"), F.col("start").alias("m_start"), F.col("end").alias("m_end"), F.col("rev").alias("m_rev"))
+        x = x.join(mate, (F.col("node") == F.col("m_node")) & (F.col("read_id") == F.col("m_id")))
+        span = F.greatest("end", "m_end") - F.least("start", "m_start")
+        ahead = F.when(F.col("rev"), F.col("m_start") <= F.col("start")).otherwise(F.col("start") <= F.col("m_start"))
+        proper = (F.col("rev") != F.col("m_rev")) & ahead & (span <= max_span)
+        flag = S.sam_flag(F.lit(True), proper, no, no, F.col("rev"), F.col("m_rev"), F.col("read_id") % 2 == 0)
+        size = S.template_length(F.col("start"), F.col("end"), F.col("rev"), F.col("m_start"), F.col("m_end"), F.col("m_rev"))
+        mate_fields = (F.col("node").cast("string"), F.col("m_start"), size)
+    else:
+        flag, mate_fields = F.when(F.col("rev"), 16).otherwise(0), (none, F.lit(-1), F.lit(0))
+    other, other_start, size = mate_fields
+    return x.select(
+        "name", flag.cast("int").alias("flag"), F.col("node").cast("string").alias("reference"), F.col("start").cast("long").alias("start"), F.col("quality").cast("int").alias("mapq"), "cigar",
+        other.alias("mate_reference"), other_start.cast("long").alias("mate_start"), size.cast("long").alias("tlen"), seq.alias("seq"), qual.alias("qual"), F.col("edits").cast("int").alias("edits"), "md")
+
+
+def record_lines(records: DataFrame) -> DataFrame:
+    """(value): sam_records' rows as SAM text, by reference and place."""
+    same = F.when(F.col("mate_reference") == F.col("reference"), "=").otherwise(F.coalesce("mate_reference", F.lit("*")))
+    either = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "*").otherwise(F.col(c))
+    fields = (
+        "name", F.col("flag").cast("string"), F.coalesce("reference", F.lit("*")), (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), either("cigar"), same, (F.col("mate_start") + 1).cast("string"),
+        F.col("tlen").cast("string"), either("seq"), either("qual"), F.concat(F.lit("NM:i:"), "edits"), F.concat(F.lit("MD:Z:"), "md"))
+    return records.orderBy("reference", "start", "name", "flag").select(F.concat_ws("\t", *fields).alias("value"))

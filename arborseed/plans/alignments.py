@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import alignment as A
 from ..operators import pileups as U
+from ..operators import records as T
 from ..operators import variants as V
-from ..storage import stash
+from ..sources import bam, readers, sinks
+from ..storage import drop_stash, stash, stash_path
 from . import queries as Q
 from .oracle import B, G
 from .queries import long, rounded
@@ -154,3 +156,75 @@ def strain_consensus(spark, d):
 
 ORACLES["strain_consensus"] = f"""SELECT read_id AS node, md5(substr(s, 1, {SWAP - 1}) || translate(substr(s, {SWAP}, 1), 'ACGT', 'GTAC') || substr(s, {SWAP + 1}, {GONE - SWAP}) || substr(s, {GONE + 4}, {PUT - GONE - 3})
     || 'ACGT' || substr(s, {PUT + 1})) AS strain FROM {B} WHERE length(s) >= {LEAST}"""
+
+
+# ---------------------------------------------------------------- alignment files
+
+
+def paired_records(spark, d) -> DataFrame:
+    """Tiles as pairs: a tile forward and the next one reverse, on their document's language."""
+    langs = Q.genomes(spark, d).select("doc_id", "lang")
+    x = tiles(spark, d).join(langs, F.col("node") == F.col("doc_id"))
+    turned = F.col("read_id") % 2 == 1
+    x = x.select(F.col("lang").alias("node"), (F.col("doc_id") * 100_000 + F.col("read_id")).alias("read_id"), turned.alias("rev"), F.col("start").cast("long").alias("start"), (F.col("start") + SPAN).cast("long").alias("end"), "cigar", F.concat(F.lit("20^"), F.substring("reference", 21, 2), F.lit("55")).alias("md"), F.lit(5).alias("edits"), F.lit(60).alias("quality"), "seq", "qual")
+    seq, qual = T.oriented(F.col("seq"), F.col("qual"), F.col("rev"))  # as they were read
+    reads = x.select("read_id", F.concat(F.lit("t"), (F.col("read_id") / 2).cast("long"), F.lit("/"), (F.col("read_id") % 2 + 1).cast("string")).alias("name"), seq.alias("seq"), qual.alias("qual"))
+    return T.sam_records(x.drop("seq", "qual"), reads, paired=True)
+
+
+def _bam(spark, d) -> str:
+    path = stash_path(spark, "bam")
+    records = stash(paired_records(spark, d), "records")
+    references = [(r["reference"], r["n"]) for r in records.groupBy("reference").agg((F.max("start") + SPAN).cast("long").alias("n")).orderBy("reference").collect()]  # languages
+    bam.write_bam(records, references, path)
+    drop_stash(records)
+    return path
+
+
+@query
+def bam_round_trip(spark, d):
+    """Pairs written as BAM, sorted, and read again in many splits."""
+    x = bam.read_bam(spark, _bam(spark, d), 1 << 17)
+    return x.select("name", long("flag").alias("flag"), "reference", "start", "cigar", "mate_start", "tlen", F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), "md", "rev", "mapped")
+
+
+@query
+def bam_region(spark, d):
+    """The pairs' reads that reach a region, found by the files' index."""
+    x = bam.read_bam(spark, _bam(spark, d), 1 << 17, "en:1000-1500")
+    return x.select("name", long("flag").alias("flag"), "start")
+
+
+@query
+def sam_pairs(spark, d):
+    """SAM text of the pairs, with mates' fields, edits and MD."""
+    return T.record_lines(paired_records(spark, d)).select(F.md5("value").alias("h"))
+
+
+_P = f"""t AS (SELECT doc_id, lang, start, substr(s, start + 1, {SPAN}) AS r FROM (SELECT doc_id, lang, s, unnest(range(0, length(s) - {SPAN - 1}, {STEP})) AS start FROM {G} WHERE length(s) >= {SPAN})),
+    a AS (SELECT doc_id, lang, start, start // {STEP} AS i, r, 'GGGGG' || substr(r, 1, 20) || substr(r, 23, 30) || 'TTT' || substr(r, 53, 25) AS seq FROM t),
+    p AS (SELECT a.*, b.start AS mate, 't' || ((a.doc_id * 100000 + a.i) // 2) AS name FROM a JOIN a b ON a.doc_id = b.doc_id AND b.i = xor(a.i, 1)),
+    x AS (SELECT name, CASE WHEN i % 2 = 0 THEN 99 ELSE 147 END::BIGINT AS flag, lang AS reference, start::BIGINT AS start, '{CIGAR}' AS cigar, mate::BIGINT AS mate_start, CASE WHEN i % 2 = 0 THEN {STEP + SPAN} ELSE -{STEP + SPAN} END::BIGINT AS tlen,
+      seq, translate(seq, 'ACGT', '5I?+') AS qual, '20^' || substr(r, 21, 2) || '55' AS md, i % 2 = 1 AS rev FROM p)"""
+ORACLES["bam_round_trip"] = f"WITH {_P} SELECT name, flag, reference, start, cigar, mate_start, tlen, md5(seq) AS seq, md5(qual) AS qual, md, rev, true AS mapped FROM x"
+ORACLES["bam_region"] = f"WITH {_P} SELECT name, flag, start FROM x WHERE reference = 'en' AND start < 1500 AND start + {SPAN} > 1000"
+ORACLES["sam_pairs"] = f"""WITH {_P} SELECT md5(concat_ws(chr(9), name, flag::VARCHAR, reference, (start + 1)::VARCHAR, '60', cigar, '=', (mate_start + 1)::VARCHAR, tlen::VARCHAR, seq, qual, 'NM:i:5', 'MD:Z:' || md)) AS h FROM x"""
+
+
+# ---------------------------------------------------------------- read files in splits
+
+
+@query
+def fastq_scan(spark, d):
+    """Each document's bases written as FASTQ and scanned in splits of 10,000 bytes, numbered in the order of the file."""
+    path = stash_path(spark, "fastq")
+    x = Q.genomes(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.col("s").alias("seq")).withColumn("qual", F.translate("seq", "ACGT", "@+I!"))
+    sinks.write_lines(sinks.fastq_lines(x), path)
+    found = readers.reads(spark, f"{path}/part-*", 10_000)
+    at = F.col("read_id")
+    ends = found.agg(F.count("*").alias("n"), F.countDistinct("read_id").alias("ids"), F.max("read_id").alias("last"))
+    whole = (F.col("n") == F.col("ids")) & (F.col("last") == F.col("n") - 1)
+    return found.where(at >= 0).crossJoin(F.broadcast(ends)).select(F.col("name").cast("long").alias("doc_id"), F.md5("seq").alias("seq"), F.md5("qual").alias("qual"), whole.alias("numbered"))  # one row
+
+
+ORACLES["fastq_scan"] = f"SELECT doc_id, md5(s) AS seq, md5(translate(s, 'ACGT', '@+I!')) AS qual, true AS numbered FROM {G}"

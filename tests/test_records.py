@@ -172,3 +172,19 @@ def test_candidates_and_small_readers(spark, tmp_path):
     assert {r["node"] for r in M.candidates(oc, 2).collect()} == {"node_1", "x", "y"} and {r["node"] for r in M.candidates(oc, 2, True).collect()} == {"x", "y"}
     (tmp_path / "t").write_text("a 0.25\nb\t0.75\n")
     assert [tuple(r) for r in readers.true_abundances(spark, str(tmp_path / "t")).collect()] == [("a", 0.25), ("b", 0.75)]
+
+
+def test_alignment_records_of_pairs(spark):
+    """Mates' fields, signed spans and proper pairs; a read whose mate isn't aligned there goes; equal 5' ends give 0."""
+    rows = [("g", 0, False, 10, 20, "10M"), ("g", 1, True, 50, 60, "10M"), ("g", 2, False, 5, 15, "10M"), ("h", 3, True, 50, 60, "10M"), ("g", 4, True, 0, 10, "10M"), ("g", 5, False, 9, 19, "10M"), ("g", 6, False, 0, 10, "10M"), ("g", 7, True, 2000, 2010, "10M")]
+    found = spark.createDataFrame([(*r, "10", 0, 60) for r in rows], "node string, read_id long, rev boolean, start long, end long, cigar string, md string, edits long, quality int")
+    reads = spark.createDataFrame([(i, f"q{i // 2}/{i % 2 + 1}", "AACCGGTTAC", "ABCDEFGHIJ") for i in range(8)], "read_id long, name string, seq string, qual string")
+    got = {(r["name"], r["flag"] & 64): r for r in R.sam_records(found, reads, True).collect()}
+    assert set(got) == {(f"q{i}", m) for i in (0, 2, 3) for m in (0, 64)}
+    assert [(got["q0", m]["flag"], got["q0", m]["tlen"], got["q0", m]["mate_start"]) for m in (64, 0)] == [(99, 50, 50), (147, -50, 10)]
+    assert (got["q0", 0]["seq"], got["q0", 0]["qual"]) == ("GTAACCGGTT", "JIHGFEDCBA")
+    assert [(got["q2", m]["flag"], got["q2", m]["tlen"]) for m in (64, 0)] == [(81, 0), (161, 0)]
+    assert [got["q3", m]["flag"] for m in (64, 0)] == [97, 145]
+    lone = R.sam_records(found.where("read_id = 4"), reads).first()
+    assert (lone["flag"], lone["mate_reference"], lone["mate_start"], lone["tlen"]) == (16, None, -1, 0)
+    assert R.record_lines(R.sam_records(found.where("read_id = 0"), reads)).first()["value"] == "q0\t0\tg\t11\t60\t10M\t*\t0\t0\tAACCGGTTAC\tABCDEFGHIJ\tNM:i:0\tMD:Z:10"
