@@ -136,16 +136,49 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made
 
 
+#: Bytes from which on a range's hash also holds a second one, modulo a prime: long ranges of a regular form (the Thue-Morse word and
+#: its complement) have equal polynomials modulo 2**64, whatever the base and the letters' values.
+LONG, PRIME, PRIME_BASE = 256, (1 << 31) - 1, 0x4F1BBCDD
+
+
+@functools.lru_cache(maxsize=1)
+def prime_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE**i and its inverse modulo PRIME for i <= size."""
+    made = []
+    for base in (PRIME_BASE, pow(PRIME_BASE, -1, PRIME)):
+        out, known = np.ones(size + 1, np.uint64), 1
+        while known <= size:
+            step = np.uint64(pow(base, known, PRIME))
+            out[known : 2 * known] = out[: min(known, size + 1 - known)] * step % np.uint64(PRIME)
+            known *= 2
+        made.append(out)
+    return made[0], made[1]
+
+
 class Hashed:
     """Prefix sums from which the hash of any byte range of a chunk follows in constant time."""
 
     def __init__(self, data: np.ndarray, fold: bool = False):
         up, self.down = powers(len(data))
+        self.data, self.fold, self.second = data, fold, None
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(LETTERS[fold][data] * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        out = mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        far = np.flatnonzero(end - start >= LONG)
+        if len(far):
+            out[far] = mix(out[far] ^ mix(self.prime(start[far], end[far])))
+        return out
+
+    def prime(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The second hash of ranges; its sums are made when the first long range asks for them."""
+        p, n = np.uint64(PRIME), max(len(self.data), CHUNK)
+        up, down = prime_powers(n) if n == CHUNK else prime_powers.__wrapped__(n)
+        if self.second is None:
+            self.second = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((LETTERS[self.fold] >> np.uint64(34))[self.data] * up[: len(self.data)] % p, out=self.second[1:])
+        return (self.second[end] - self.second[start]) % p * down[start] % p
 
 
 def words(data: np.ndarray, off: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -32,6 +32,33 @@ def test_base_counts_match_brute_force():
         assert np.concatenate(got).tolist() == [base(t) for t in texts]
 
 
+def thue_morse(n, letters):
+    """A word of 2^n letters and its complement, which polynomial hashes modulo 2^64 don't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_regular_words_and_lines_have_hashes_of_their_own(spark):
+    from arborseed.llm import jaccard_join
+    from arborseed.llm.common import Hashed
+
+    for n in (7, 8, 10, 12, 21):
+        for letters in ("ab", "Ab", "01"):
+            one, two = thue_morse(n, letters)
+            data = np.frombuffer(f"x {one} {two} {one}".encode(), np.uint8)
+            size = 1 << n
+            at = np.array([2, 3 + size, 4 + 2 * size])
+            for fold in (False, True):
+                h = Hashed(data, fold).of(at, at + size)
+                assert h[0] == h[2] and h[0] != h[1]
+    one, two = thue_morse(11, "ab")
+    for text, dups in ((f"{one}\n{two}", 0), (f"{one}\n{two}\n{one}", 1)):
+        got = np.concatenate([kn_quality.base_counts(d, o) for _, _, d, o in chunks(pa.array([text], pa.string()))])
+        assert got.tolist() == [base(text)] and got[0][3] == dups
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def kn_by_hand(train, context, symbol):
     """Interpolated modified Kneser-Ney over character tuples, straight from its definition."""
     levels = {4: Counter(train)}
