@@ -27,7 +27,7 @@ SLOTS = 1 << SLOT_BITS
 #: What each predictor sees of a context: the nearest bytes, then a hash of what is before them in the word.
 SEEN = [np.uint64((1 << 8 * k) - 1) for k in range(1, NEAR + 1)] + [np.uint64((1 << 56) - 1)]
 #: Training tokens of a word from which on its beginnings are contexts.
-OFTEN = 8
+OFTEN = 1
 #: Vocabulary entries, and events, that a worker holds at a time; larger tables are looked up in several passes.
 HELD = 8_000_000
 #: Events of a partition, about, and of a part of it that is handled at a time; contexts with the same two nearest bytes stay together.
