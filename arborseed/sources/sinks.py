@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators.placement import METRICS
 from ..operators.tree import newick, orientation_changes, row_numbers
+from ..operators.tours import jplace_tokens
 from .readers import FORMAT_VERSION
 
 
@@ -69,6 +70,12 @@ def jplace(nodes: list[tuple[str, str | None]], assigned: DataFrame) -> str:
     return json.dumps({"version": 3, "tree": newick(nodes), "fields": ["edge_num", "node_id"], "placements": placed, "metadata": {}})
 
 
+def write_jplace(tree: DataFrame, assigned: DataFrame, path: str) -> None:
+    """tours.jplace_tokens as text files that follow each other, with a space between pieces; nothing is collected."""
+    order = ["section", "place", "part"]
+    jplace_tokens(tree, assigned).repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def write_index(nodes: DataFrame, changes: DataFrame, path: str, **parameters) -> None:
     """nodes and seed_changes, clustered by seed so that a query's seeds read few files, and the parameters they depend on."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
