@@ -16,6 +16,7 @@ from ..operators import placement as P
 from ..operators import ranges as R
 from ..operators import tree as T
 from ..operators import variants as V
+from ..operators.tours import lowest_common, numbered_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,7 +269,7 @@ def leaf_only(spark, d):
 def common_ancestors(spark, d):
     """For each market segment and balance class the deepest node above all its customers."""
     members = table(spark, d, "customer").select(F.concat_ws("-", "c_mktsegment", F.floor(F.col("c_acctbal") / 500).cast("string")).alias("key"), F.concat(F.lit("c"), F.format_string("%08d", "c_custkey")).alias("node_id"))
-    return T.common_ancestors(members, T.ancestors(_paths(spark, d))).select("key", "lca", long("lca_depth").alias("lca_depth"))
+    return lowest_common(members, numbered_tree(_place_nodes(spark, d))).select("key", "lca", long("lca_depth").alias("lca_depth"))
 
 
 @query
@@ -385,15 +386,17 @@ def ambiguity_band(spark, d):
     return _assigned(spark, d, 3).groupBy("read_id").agg(F.count("*").alias("nodes"), F.min("node").alias("first_node"))
 
 
-def _doc_ancestors(spark, d):
-    _, _, docs = _tree_counts(spark, d)
-    return docs.select(F.col("doc").alias("node_id"), F.posexplode(F.array(F.lit("root"), "lang", "source_node", "doc")).alias("ancestor_depth", "ancestor"))
+def _doc_nodes(spark, d):
+    """The tree of documents: the root, languages, sources of a language, documents."""
+    docs = genomes(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), F.concat_ws("|", "lang", "source").alias("source_node"), "lang")
+    level = lambda c, up: docs.select(F.col(c).alias("node_id"), up.alias("parent_id")).distinct()
+    return spark.createDataFrame([("root", None)], "node_id string, parent_id string").unionAll(level("lang", F.lit("root"))).unionAll(level("source_node", F.col("lang"))).unionAll(level("doc", F.col("source_node")))
 
 
 @query
 def assign_lca(spark, d):
     members = _assigned(spark, d).select(F.col("read_id").alias("key"), F.concat(F.lit("d"), F.col("node").cast("string")).alias("node_id"))
-    x = T.common_ancestors(members, _doc_ancestors(spark, d))
+    x = lowest_common(members, numbered_tree(_doc_nodes(spark, d)))
     return x.groupBy("lca").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("ids"))
 
 
