@@ -60,3 +60,32 @@ def flank_masked(bases: DataFrame, key: str, flank: int) -> DataFrame:
     real = (F.col("base") != "-").cast("int")
     x = bases.withColumn("_l", F.sum(real).over(W.partitionBy(key).orderBy("pos"))).withColumn("_r", F.sum(real).over(W.partitionBy(key).orderBy(F.col("pos").desc())))
     return x.where((F.col("_l") > flank) & (F.col("_r") > flank)).drop("_l", "_r")
+
+
+def kept_extent(bases: DataFrame, key: str, flank: int = 0) -> DataFrame:
+    """(key, low, high): the places between which a genome of bases(key, pos, base) counts: behind its first `flank` bases that aren't gaps, and before its last.
+
+    Of a genome without so many bases nothing counts: it has no row.
+    """
+    real = bases.where(F.col("base") != "-").select(key, "pos")
+    ahead = real.withColumn("_l", F.row_number().over(W.partitionBy(key).orderBy("pos"))).withColumn("_n", F.count("*").over(W.partitionBy(key)))
+    inside = ahead.where((F.col("_l") > flank) & (F.col("_l") <= F.col("_n") - flank))
+    return inside.groupBy(key).agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+
+
+def inherited_seeds(own: DataFrame, bounds: DataFrame, up: DataFrame) -> DataFrame:
+    """(node, pos, seed, keeper): the seeds that hold at each node where masked places take what holds at the parent.
+
+    own(node, pos, seed) are the seeds of the nodes' genomes, bounds(node, low, high) the places that count there (none without a row),
+    up(node_id, ancestor, ancestor_depth) each node's path, itself included. A place is kept by the nearest node on the path where it
+    counts; if that has no seed there, none holds. A node's nearer bounds are gathered along its path, so no place meets another.
+    """
+    path = up.join(bounds.select(F.col("node").alias("_b"), "low", "high"), F.col("ancestor") == F.col("_b"))
+    nearer = W.partitionBy("node_id").orderBy(F.col("ancestor_depth").desc()).rowsBetween(W.unboundedPreceding, -1)
+    path = path.select("node_id", "ancestor", "low", "high", F.collect_list(F.struct("low", "high")).over(nearer).alias("before"))
+    # bounds within nearer ones keep nothing
+    path = path.where(~F.exists("before", lambda x: (x["low"] <= F.col("low")) & (x["high"] >= F.col("high"))))
+    seeds = own.select(F.col("node").alias("_n"), "pos", "seed")
+    held = path.join(seeds, (F.col("ancestor") == F.col("_n")) & F.col("pos").between(F.col("low"), F.col("high")))
+    held = held.where(~F.exists("before", lambda x: F.col("pos").between(x["low"], x["high"])))
+    return held.select(F.col("node_id").alias("node"), "pos", "seed", F.col("ancestor").alias("keeper"))

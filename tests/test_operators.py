@@ -114,3 +114,29 @@ def test_refinement_aligns_all_candidates(spark):
     want = {n: -sum(V.best_strand(q, r)[2] for q in reads.values()) for n, r in refs.items()}
     assert {r["node"]: r["align_score"] for r in found.collect()} == want
     assert {(r["metric"], r["node"]) for r in P.refined(chosen.join(found, "node")).collect()} == {(m, 2) for m in P.METRICS}
+
+
+def test_masked_places_hold_what_the_parent_has(spark):
+    """Place by place along each path, with bounds that overlap, lie within each other, apart, or are missing."""
+    import random
+
+    from arborseed.operators import ranges as R
+
+    rng = random.Random(1)
+    parent = {0: None, **{i: rng.randrange(i) for i in range(1, 25)}}
+    bounds = {i: tuple(sorted((rng.randint(1, 30), rng.randint(1, 30)))) for i in parent if i % 6}
+    own = {(i, p): rng.randrange(100) for i in parent for p in range(1, 31) if rng.random() < 0.5}
+    path = lambda i: [] if i is None else [*path(parent[i]), i]
+    want = set()
+    for i in parent:
+        for p in range(1, 31):
+            keeper = next((a for a in reversed(path(i)) if a in bounds and bounds[a][0] <= p <= bounds[a][1]), None)
+            if (keeper, p) in own:
+                want.add((i, p, own[keeper, p], keeper))
+    up = spark.createDataFrame([(i, a, k) for i in parent for k, a in enumerate(path(i))], "node_id int, ancestor int, ancestor_depth int")
+    seeds = spark.createDataFrame([(i, p, s) for (i, p), s in own.items()], "node int, pos int, seed long")
+    got = R.inherited_seeds(seeds, spark.createDataFrame([(i, *b) for i, b in bounds.items()], "node int, low int, high int"), up).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    bases = spark.createDataFrame([(1, p, c) for p, c in enumerate("--AC-GT--A-", 1)] + [(2, 1, "A"), (3, 1, "-")], "node int, pos int, base string")
+    assert sorted(map(tuple, R.kept_extent(bases, "node").collect())) == [(1, 3, 10), (2, 1, 1)]
+    assert sorted(map(tuple, R.kept_extent(bases, "node", 2).collect())) == [(1, 6, 6)]
