@@ -148,26 +148,28 @@ def genotypes(piled: DataFrame) -> DataFrame:
 
 
 def calls(sites: DataFrame, min_depth: int = 1, min_qual: float = 0.0) -> DataFrame:
-    """(node, pos, ref, alt, depth, support, qual) of genotypes' rows: the records of a haploid genome, one for each place.
+    """(node, pos, ref, alt, depth, support, qual, ref_n, ref_pl) of genotypes' rows: the records of a haploid genome, one for each place.
 
     A place is called where its likeliest allele differs from the reference, more than half of the depth has it, and the next best
     allele is less likely by min_qual or more. Insertions and deletions are written
-    with the base before them, as called.
+    with the base before them, as called. ref_n and ref_pl are the depth and the likelihood of the reference.
     """
     top = F.get("alleles", F.lit(0))
     margin = F.coalesce(F.get("alleles", F.lit(1))["pl"], F.lit(0.0))
     good = (F.col("depth") >= min_depth) & (top["n"] * 2 > F.col("depth")) & (margin >= min_qual)
     differs = F.when(F.col("gap"), top["allele"] != "").otherwise(top["allele"] != F.col("ref"))
-    found = sites.where(good & differs)
+    same = F.get(F.filter("alleles", lambda x: x["allele"] == F.when(F.col("gap"), "").otherwise(F.col("ref"))), F.lit(0))
+    found = sites.where(good & differs).withColumn("same", same)
     pick = lambda c, x: F.max(F.when(c, x))
     each = found.groupBy("node", "pos", F.col("ref").alias("base")).agg(
-        pick(~F.col("gap"), top["allele"]).alias("snp"), pick(F.col("gap"), top["allele"]).alias("indel"), F.max("depth").alias("depth"), F.min(top["n"]).alias("support"), F.min(margin).alias("qual"))
+        pick(~F.col("gap"), top["allele"]).alias("snp"), pick(F.col("gap"), top["allele"]).alias("indel"), F.max("depth").alias("depth"), F.min(top["n"]).alias("support"), F.min(margin).alias("qual"),
+        F.max("same.n").alias("ref_n"), F.min("same.pl").alias("ref_pl"))
     called = F.coalesce("snp", "base")
     text = F.substring(F.col("indel"), F.lit(2), F.length("indel"))
     gone = F.coalesce(F.col("indel").startswith("-"), F.lit(False))
     ref = F.when(gone, F.concat("base", text)).otherwise(F.col("base"))
     alt = F.when(F.col("indel").isNull() | gone, called).otherwise(F.concat(called, text))
-    return each.select("node", "pos", ref.alias("ref"), alt.alias("alt"), "depth", "support", "qual")
+    return each.select("node", "pos", ref.alias("ref"), alt.alias("alt"), "depth", "support", "qual", "ref_n", "ref_pl")
 
 
 def aligned_bases(found: DataFrame, reads: DataFrame, references: DataFrame) -> DataFrame:

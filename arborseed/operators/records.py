@@ -139,11 +139,13 @@ MAX_SPAN = 800
 def sam_records(found: DataFrame, reads: DataFrame, paired: bool = False, max_span: int = MAX_SPAN) -> DataFrame:
     """What alignment files hold of alignments(node, read_id, rev, start, end, cigar, md, edits, quality) of reads(read_id, name, seq, qual).
 
+    If reads have a node, ids are unique within it only.
     Paired reads have ids 2 * pair + mate; a mate's fields come from its alignment on the same node, and a read whose mate isn't
     aligned there is left out. A pair is proper if it lies on opposite strands, the forward read first, within max_span bases.
     """
-    own = reads.select(F.col("read_id").alias("_id"), S.without_mate("name").alias("name"), F.col("seq").alias("_seq"), F.col("qual").alias("_qual"))
-    x = found.join(own, F.col("read_id") == F.col("_id"))
+    at = [F.col("node").alias("_node")] if "node" in reads.columns else []
+    own = reads.select(F.col("read_id").alias("_id"), *at, S.without_mate("name").alias("name"), F.col("seq").alias("_seq"), F.col("qual").alias("_qual"))
+    x = found.join(own, (F.col("read_id") == F.col("_id")) & (F.col("node") == F.col("_node") if at else F.lit(True)))
     seq, qual = oriented(F.col("_seq"), F.col("_qual"), F.col("rev"))
     none, no = F.lit(None).cast("string"), F.lit(False)
     if paired:

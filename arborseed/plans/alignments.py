@@ -228,3 +228,28 @@ def fastq_scan(spark, d):
 
 
 ORACLES["fastq_scan"] = f"SELECT doc_id, md5(s) AS seq, md5(translate(s, 'ACGT', '@+I!')) AS qual, true AS numbered FROM {G}"
+
+
+# ---------------------------------------------------------------- samples from reads to consensus
+
+
+@query
+def sample_consensus(spark, d):
+    """Each strain as a sample of its own: placed on the passages by a written index, aligned, called; the consensus of all samples."""
+    from .. import samples
+    from ..parameters import Parameters
+
+    x = strains(spark, d)
+    at = F.explode(F.sequence(F.lit(0), F.length("strain") - LENGTH, F.lit(TURN // 2)))
+    last = F.substring(F.col("strain"), F.length("strain") - LENGTH + 1, F.lit(LENGTH))
+    tiled = x.select("read_id", "strain", at.alias("at")).select(F.col("read_id").alias("p"), "at", F.substring(F.col("strain"), F.col("at") + 1, F.lit(LENGTH)).alias("seq"))
+    tiled = tiled.unionAll(x.select(F.col("read_id").alias("p"), F.lit(1_000_000).alias("at"), last.alias("seq")))
+    reads = tiled.select(F.concat(F.lit("s"), "p").alias("sample"), F.col("at").cast("long").alias("read_id"), F.concat(F.lit("r"), "at").alias("name"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"))
+    genomes = Q.reads(spark, d).select(F.col("read_id").alias("node"), F.col("s").alias("reference"))
+    p, path = Parameters(k=15, s=8, l=1), stash_path(spark, "index")
+    samples.index(genomes, p, path)
+    found = samples.run(reads, genomes, p, samples.load(spark, path, p))
+    return found.genomes.select("sample", long("node").alias("node"), F.md5("consensus").alias("strain"))
+
+
+ORACLES["sample_consensus"] = ORACLES["strain_consensus"].replace("SELECT read_id AS node", "SELECT 's' || read_id AS sample, read_id AS node", 1)
