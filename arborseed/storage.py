@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a new temporary one where that is unset and there is one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         made = tempfile.mkdtemp(prefix="arborseed-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         at = "file://" + made
