@@ -217,26 +217,56 @@ def compressed(seq: str) -> tuple[str, list[int]]:
     return "".join(seq[i] for i in starts), starts
 
 
+def dust_of(code: np.ndarray, row: np.ndarray, rows: int, window: int = 64) -> np.ndarray:
+    """DUST complexity of each row of base codes: of all of it up to `window` three-mers, else the largest of the full windows but the first.
+
+    A place meets the window - 1 places before it, a distance at a time for all rows; what a window gains at its end and loses at its
+    beginning sums up to its pairs of equal three-mers.
+    """
+    row, code = row[code < 4], code[code < 4]
+    whole = row[2:] == row[:-2]
+    three, own = (16 * code[:-2] + 4 * code[1:-1] + code[2:])[whole], row[:-2][whole]
+    behind, ahead = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    for k in range(1, min(window, len(own))):
+        same = (three[k:] == three[:-k]) & (own[k:] == own[:-k])
+        behind[k:] += same
+        ahead[:-k] += same
+    size = np.bincount(own, minlength=rows)
+    first = np.cumsum(size) - size
+    place = np.arange(len(own)) - first[own]
+    far = place >= window
+    behind[far] -= ahead[np.flatnonzero(far) - window]
+    pairs = np.cumsum(behind)
+    pairs -= (pairs - behind)[first[own]] if len(own) else 0
+    most = np.zeros(rows, np.int64)
+    last = size <= window
+    some = last & (size > 0)
+    most[some] = pairs[(first + size - 1)[some]]
+    np.maximum.at(most, own[far], pairs[far])
+    n = np.minimum(size, window)
+    return np.where(n < 2, 0.0, 200.0 * most / np.maximum(1, n * (n - 1)))
+
+
 def dust(seq: str, window: int = 64) -> float:
-    """DUST complexity: of the whole read up to `window` three-mers, else the largest of the full windows but the first."""
-    code = [i for i in _CODE[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)].tolist() if i < 4]
-    three = [16 * a + 4 * b + c for a, b, c in zip(code, code[1:], code[2:], strict=False)]
-    counts, pairs, most = [0] * 64, 0, 0
-    for i, x in enumerate(three):
-        if i >= window:
-            out = three[i - window]
-            counts[out] -= 1
-            pairs -= counts[out]
-        pairs += counts[x]
-        counts[x] += 1
-        if i >= window:
-            most = max(most, pairs)
-    n = min(len(three), window)
-    if n < 2:
-        return 0.0
-    return 200.0 * (most if len(three) > window else pairs) / (n * (n - 1))
+    """DUST complexity of a sequence."""
+    code = codes(seq or "")
+    return float(dust_of(code, np.zeros(len(code), np.int64), 1, window)[0])
 
 
 def dust_score(column):
-    """An Arrow UDF: the DUST complexity of each sequence."""
-    return F.pandas_udf(lambda seqs: seqs.map(dust), "double")(column)
+    """An Arrow UDF: the DUST complexity of each sequence; null is empty."""
+
+    @F.arrow_udf("double")
+    def run(seqs: pa.Array) -> pa.Array:
+        seqs = seqs.fill_null("").cast(pa.large_string())
+        raw, n, first = seqs.buffers(), len(seqs), seqs.offset
+        off = np.frombuffer(raw[1], np.int64, count=first + n + 1)[first:] if n else np.zeros(1, np.int64)
+        data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None and raw[2].size else np.zeros(0, np.uint8)
+        out, i = [np.zeros(0)], 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + PASS, "right")) - 1)
+            out.append(dust_of(_CODE[data[off[i] : off[j]]], np.repeat(np.arange(j - i), np.diff(off[i : j + 1])), j - i))
+            i = j
+        return pa.array(np.concatenate(out))
+
+    return run(column)

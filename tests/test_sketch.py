@@ -79,3 +79,22 @@ def test_sketch_udf(spark):
     assert got[1]["x"] == []
     with pytest.raises(ValueError):
         K.sketch("s", 5, 8)
+
+
+def test_dust_matches_counting_all_pairs(spark):
+    rng = random.Random(6)
+    texts = [None, "", "A", "ACG", "NNN", *("".join(rng.choices(letters, k=n)) for n in (3, 10, 65, 66, 67, 68, 70, 130, 400) for letters in ("ACGT", "AC", "AN", "ACGTNacgt-"))]
+
+    def plain(seq, window):
+        s = "".join(c for c in (seq or "").upper() if c in "ACGT")
+        three = [s[i : i + 3] for i in range(len(s) - 2)]
+        n = min(len(three), window)
+        pairs = lambda x: sum(a == b for i, a in enumerate(x) for b in x[:i])
+        windows = [three] if len(three) <= window else [three[i - window + 1 : i + 1] for i in range(window, len(three))]
+        return 0.0 if n < 2 else max(200.0 * pairs(x) / (n * (n - 1)) for x in windows)
+
+    for t in texts:
+        assert K.dust(t) == pytest.approx(plain(t, 64)) and K.dust(t, 8) == pytest.approx(plain(t, 8))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(2)
+    got = {r["i"]: r["d"] for r in df.select("i", K.dust_score("s").alias("d")).collect()}
+    assert got == {i: pytest.approx(plain(t, 64)) for i, t in enumerate(texts)}
