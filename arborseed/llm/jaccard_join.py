@@ -301,3 +301,17 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         out = out.join(roots.select(F.col("node").alias("own_id"), F.col("root").alias("own_root")), F.col("doc_id") == F.col("own_id"), "left")
     found = F.coalesce(*([F.col("own_root")] if some else []), F.col("component"), F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), found).alias("component_id"))
+
+
+def oracle(docs: str = "documents", words: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL for jaccard_components: documents meet at each shingle that they share; labels go along links until none is less."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - {words - 2}))) AS i FROM w WHERE len(w) >= {words})
+      UNION ALL SELECT DISTINCT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND {words - 1}),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= {percent} * (x.n + y.n - c.c)),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS label FROM {docs} UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a WHERE r.label < e.b)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.label::BIGINT AS component_id FROM {docs} d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(label) AS label FROM r GROUP BY node) m ON m.node = d.doc_id"""

@@ -89,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_line_spread": line_spread.oracle(),
+    "op5_jaccard_join": jaccard_join.oracle(),
     "op8_secret_ledger": secret_ledger.oracle(),
     "op11_target_resampling": target_resampling.oracle(),
     "op12_exact_dedup": exact_dedup.oracle(),
