@@ -143,8 +143,28 @@ def load_mixture_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     meta = spark.read.parquet(f"{path}/meta").first().asDict()
     if meta["format_version"] != FORMAT_VERSION or meta.get("kind") != "mixture":
         raise ValueError(f"not a mixture index of format {FORMAT_VERSION}")
-    changes = spark.read.parquet(f"{path}/changes").join(spark.read.parquet(f"{path}/dictionary"), "seed_id").select("node", "seed", "d_fwd", "d_rev")
-    return changes, spark.read.parquet(f"{path}/tree"), meta
+    rows, words, tree = (spark.read.parquet(f"{path}/{x}") for x in ("changes", "dictionary", "tree"))
+    checked_changes(rows, words, tree)
+    return rows.join(words, "seed_id").select("node", "seed", "d_fwd", "d_rev"), tree, meta
+
+
+def checked_changes(changes: DataFrame, dictionary: DataFrame, tree: DataFrame) -> None:
+    """An error if the dictionary's ids aren't 0 to n - 1, a change has none of them, or one belongs to no node."""
+    ids = dictionary.agg(F.count("*").alias("n"), F.min("seed_id").alias("low"), F.max("seed_id").alias("high"), F.countDistinct("seed_id").alias("kinds")).first()
+    if ids["n"] and (ids["low"], ids["high"] + 1, ids["kinds"]) != (0, ids["n"], ids["n"]):
+        raise ValueError("the dictionary's ids have gaps")
+    if changes.where(~F.col("seed_id").between(0, ids["n"] - 1)).limit(1).count():
+        raise ValueError("a change has a seed that the dictionary doesn't have")
+    if changes.select("node").distinct().join(tree.select("node"), "node", "left_anti").limit(1).count():
+        raise ValueError("a change belongs to no node")
+
+
+def index_taxa(spark: SparkSession, path: str) -> DataFrame:
+    """(node, taxon) that a mixture index was written with; no rows where it has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/taxa")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "node string, taxon string")
+    return spark.read.parquet(f"{path}/taxa")
 
 
 def alignments(spark: SparkSession, path: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_no_prior_without_changes(spark):
     assert V.substitution_prior(still).count() == 0
     moved = spark.createDataFrame([("A", "A", 0.9), ("A", "C", 0.1)], "base_from string, base_to string, rate double")
     assert {r["base_to"]: round(r["phred"], 3) for r in V.substitution_prior(moved).collect()} == {"A": 0.458, "C": 10.0}
+
+
+def test_mixture_indexes_are_checked_and_keep_their_taxa(spark, tmp_path):
+    path = str(tmp_path / "m")
+    nodes = spark.createDataFrame([("r", 5, 1, 0), ("a", 5, 2, 0), ("a", 7, 0, 1)], "node string, seed long, n_fwd long, n_rev long")
+    parents = spark.createDataFrame([("r", None), ("a", "r")], "node string, parent string")
+    sinks.write_mixture_index(nodes, parents, path, k=15)
+    assert readers.index_taxa(spark, path).count() == 0
+    sinks.write_mixture_index(nodes, parents, path, spark.createDataFrame([("a", "T")], "node string, taxon string"), k=15)
+    assert [tuple(r) for r in readers.index_taxa(spark, path).collect()] == [("a", "T")]
+    assert sorted(tuple(r) for r in readers.load_mixture_index(spark, path)[0].collect()) == [("a", 5, 1, 0), ("a", 7, 0, 1), ("r", 5, 1, 0)]
+    changes, words, tree = (spark.read.parquet(f"{path}/{x}") for x in ("changes", "dictionary", "tree"))
+    for bad, text in (((changes.withColumn("seed_id", changes["seed_id"] + 9), words, tree), "dictionary"), ((changes, words, tree.where("node = 'r'")), "node"), ((changes, words.where("seed_id = 1"), tree), "gaps")):
+        with pytest.raises(ValueError, match=text):
+            readers.checked_changes(*bad)
