@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.tree import row_numbers
-from .common import BATCH, buffers, chunks, drop_stash, stash, summed, text_column, tidy, words
+from .common import BATCH, chunks, stash, summed, text_column, tidy, words
 
 #: Words of the longest n-gram; buckets; words that a drawn document has at least; per cent that are drawn; the noise's seed.
 GRAMS, BUCKETS, MIN_WORDS, PERCENT, SEED = 1, 10_000, 20, 10, 2024
